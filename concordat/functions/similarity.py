@@ -77,6 +77,14 @@ def best_similarities(needles: pd.Series, text: pd.Series) -> pd.Series:
     )
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def pairwise_similarities(needles: pd.Series, texts: pd.Series) -> pd.Series:
+    """One similarity per (needle, text) pair of two parallel arrays."""
+    return pd.Series(
+        [[best_ratio(a, b) for a, b in zip(ns, ts)] for ns, ts in zip(needles, texts)]
+    )
+
+
 def levenshtein_similarity(a, b):
     """A native stand-in: one minus the edit distance over the longer length."""
     longest = F.greatest(F.length(a), F.length(b))
