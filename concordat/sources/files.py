@@ -190,7 +190,6 @@ def current_version(spark: SparkSession, path: str) -> str | None:
     )
     if not names:
         return None
-    text = spark.read.option("wholetext", "true").text(f"{path}/{names[-1]}") if False else None
     stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{path}/{names[-1]}"))
     try:
         return f"{path}/{jvm.org.apache.commons.io.IOUtils.toString(stream, 'UTF-8')}"
@@ -213,84 +212,75 @@ def _next_number(fs, root) -> int:
     return max(taken, default=0) + 1
 
 
-def mint_keys(new: DataFrame, existing: DataFrame, order: Sequence[str], key: str = "ttb_id") -> DataFrame:
+RANK_SLICE = 1_000_000
+
+
+def spread_rank(df: DataFrame, key: str, order: str, out: str) -> DataFrame:
+    """1-based rank by a whole-number column inside ``key``, in bounded groups.
+
+    Rows are ranked inside (key, slice of the order column) and moved up by the
+    sizes of the slices before, so a hot key is shared by many tasks.
+    """
+    sliced = df.withColumn("_slice", F.floor(F.col(order) / RANK_SLICE))
+    sizes = sliced.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_c"))
+    before = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    inside = W.partitionBy(key, "_slice").orderBy(order)
+    return (
+        sliced.withColumn("_in", F.row_number().over(inside))
+        .join(sizes, [key, "_slice"])
+        .withColumn(out, (F.col("_in") + F.col("_before")).cast("bigint"))
+        .drop("_in", "_before", "_slice")
+    )
+
+
+def mint_keys(new: DataFrame, existing: DataFrame, order: str, key: str = "ttb_id") -> DataFrame:
     """Copies under fresh keys ``<stem>-ENQ<n>`` with the lowest free numbers.
 
-    Copies of one stem are numbered without gathering the stem in one task: a
-    rank inside (stem, slice), plus the counts of the slices before it, gives the
-    rank of a copy, and free numbers are found from the gaps between the taken
-    ones rather than by listing all numbers.
+    The r-th free number of a stem is r plus the taken numbers below it.  If the
+    k-th taken number is n, then n - k numbers are free before it, so it lies
+    below the r-th free number exactly when n - k < r.  Ranks and this look-up
+    run in slices, never over a whole stem at once.  ``order`` is a whole-number
+    column that numbers the copies.
     """
     stem = F.coalesce(nullify_blank(key), F.lit("ENQUEUED"))
-    wanted = new.withColumn("_stem", stem)
-    wanted = spread_rank(wanted, "_stem", order, "_rank")
-    # Taken numbers of the stems in question, as gaps of free numbers between them.
-    number = F.regexp_extract(key, "^(.*)-ENQ([1-9]\\d{0,17})$", 2)
+    wanted = spread_rank(new.withColumn("_stem", stem), "_stem", order, "_rank")
+    pattern = "^(.*)-ENQ([1-9]\\d{0,17})$"
     taken = (
         existing.select(
-            F.regexp_extract(key, "^(.*)-ENQ([1-9]\\d{0,17})$", 1).alias("_stem"), number.alias("_n")
+            F.regexp_extract(key, pattern, 1).alias("_stem"), F.regexp_extract(key, pattern, 2).alias("_n")
         )
         .filter("_n != ''")
-        .select("_stem", F.col("_n").cast("bigint").alias("_n"))
+        .withColumn("_n", F.col("_n").cast("bigint"))
         .join(wanted.select("_stem").distinct(), "_stem", "left_semi")
         .distinct()
     )
-    ranked = spread_rank(taken, "_stem", ("_n",), "_k")
-    # Before the k-th taken number there are (n - k) free ones: the r-th free
-    # number is r + (how many taken numbers have n - k < r).
-    free_before = ranked.select("_stem", (F.col("_n") - F.col("_k")).alias("_free"))
-    steps = free_before.groupBy("_stem", "_free").agg(F.count(F.lit(1)).alias("_c"))
-    run = W.partitionBy("_stem").orderBy("_free").rowsBetween(W.unboundedPreceding, W.currentRow)
-    steps = steps.withColumn("_skip", F.sum("_c").over(run))
-    marks = wanted.select("_stem", "_rank").withColumn("_is", F.lit(1)).unionByName(
-        steps.select("_stem", (F.col("_free") + 1).alias("_rank"), F.lit(0).alias("_is"), "_skip"),
-        allowMissingColumns=True,
+    gaps = (
+        spread_rank(taken, "_stem", "_n", "_k")
+        .groupBy("_stem", (F.col("_n") - F.col("_k") + 1).alias("_rank"))
+        .agg(F.max("_k").alias("_skip"))
     )
-    look = W.partitionBy("_stem").orderBy("_rank", "_is").rowsBetween(W.unboundedPreceding, W.currentRow)
+    part = F.floor(F.col("_rank") / RANK_SLICE).alias("_part")
+    marks = wanted.select("_stem", "_rank", part, F.lit(1).alias("_is")).unionByName(
+        gaps.select("_stem", "_rank", part, F.lit(0).alias("_is"), "_skip"), allowMissingColumns=True
+    )
+    earlier = W.partitionBy("_stem").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    carry = (
+        marks.groupBy("_stem", "_part")
+        .agg(F.max("_skip").alias("_top"))
+        .select("_stem", "_part", F.max("_top").over(earlier).alias("_carry"))
+    )
+    upto = W.partitionBy("_stem", "_part").orderBy("_rank", "_is").rowsBetween(W.unboundedPreceding, W.currentRow)
     skips = (
-        marks.withColumn("_skipped", F.coalesce(F.last("_skip", ignorenulls=True).over(look), F.lit(0)))
+        marks.withColumn("_seen", F.max("_skip").over(upto))
         .filter("_is = 1")
-        .select("_stem", "_rank", "_skipped")
+        .join(carry, ["_stem", "_part"])
+        .select("_stem", "_rank", F.greatest(F.coalesce("_seen", F.lit(0)), F.coalesce("_carry", F.lit(0))).alias("_skipped"))
     )
-    out = wanted.join(skips, ["_stem", "_rank"])
-    n = F.col("_rank") + F.col("_skipped")
-    return out.select(
-        *[
-            F.concat(F.col("_stem"), F.lit("-ENQ"), n.cast("string")).alias(c)
-            if c == key
-            else (F.concat(F.lit("ENQ-"), n.cast("string")).alias(c) if c == "serial_number" else F.col(c))
-            for c in new.columns
-        ]
-    )
-
-
-def spread_rank(df: DataFrame, key: str, order: Sequence[str], out: str, slices: int = 64) -> DataFrame:
-    """1-based rank inside ``key``; a hot key is ranked in many tasks.
-
-    Rows are hashed into slices by nothing but a range of their order value, so
-    the rank inside a slice plus the sizes of the earlier slices is exact.
-    """
-    first = order[0]
-    numeric = F.xxhash64(first) if dict(df.dtypes)[first] in ("string", "binary") else F.col(first)
-    if dict(df.dtypes)[first] in ("string", "binary"):
-        w = W.partitionBy(key).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("bigint"))
-    bounds = df.agg(F.min(numeric).alias("_lo"), F.max(numeric).alias("_hi"))
-    sliced = df.join(F.broadcast(bounds), F.lit(True), "inner").withColumn(
-        "_slice",
-        F.coalesce(
-            F.floor((numeric - F.col("_lo")) * slices / (F.col("_hi") - F.col("_lo") + 1)), F.lit(0)
-        ).cast("int"),
-    ).drop("_lo", "_hi")
-    sizes = sliced.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_c"))
-    before = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    inside = W.partitionBy(key, "_slice").orderBy(*order)
-    return (
-        sliced.withColumn("_in", F.row_number().over(inside))
-        .join(sizes, [key, "_slice"])
-        .withColumn(out, (F.col("_in") + F.col("_before")).cast("bigint"))
-        .drop("_in", "_before", "_slice")
+    n = (F.col("_rank") + F.col("_skipped")).cast("string")
+    fresh = {key: F.concat(F.col("_stem"), F.lit("-ENQ"), n), "serial_number": F.concat(F.lit("ENQ-"), n)}
+    return wanted.join(skips, ["_stem", "_rank"]).select(
+        *[fresh[c].alias(c) if c in fresh else F.col(c) for c in new.columns]
     )
 
 
