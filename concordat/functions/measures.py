@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from concordat import vocab
-from concordat.functions.text import LINE_BREAKS, any_word, line_form, lookup, normalize_text
+from concordat.functions.text import LINE_BREAKS, any_word, let, line_form, lookup, normalize_text
 
 # Spellings of each unit, longest first, and its canonical form.
 UNIT_FORMS = {
@@ -53,18 +53,16 @@ def plain_number(value: Column) -> Column:
 
 
 def measures_in(folded: Column) -> Column:
-    """Every ``number unit`` token of folded text, in order."""
-    text = strip_thousands(folded)
-    numbers = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
-    units = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(2))
-    pairs = F.zip_with(
-        numbers,
-        units,
-        lambda n, u: F.struct(
-            n.try_cast(VALUE_TYPE).alias("value"), canonical_unit(u).alias("unit")
+    """Every ``number unit`` token of folded text, in order; one scan of the text."""
+    hits = F.regexp_extract_all(strip_thousands(folded), F.lit(TOKEN), F.lit(0))
+    parsed = F.transform(
+        hits,
+        lambda hit: F.struct(
+            F.regexp_extract(hit, f"^{NUMBER}", 0).try_cast(VALUE_TYPE).alias("value"),
+            canonical_unit(F.regexp_replace(hit, f"^{NUMBER} *", "")).alias("unit"),
         ),
     )
-    return F.filter(pairs, lambda m: m["value"].isNotNull() & m["unit"].isNotNull())
+    return F.filter(parsed, lambda m: m["value"].isNotNull() & m["unit"].isNotNull())
 
 
 def parse_all_numeric(col: Column | str, key: str) -> Column:
@@ -104,28 +102,18 @@ def unit_tokens(col: Column | str, spans: bool = False) -> Column:
     around it, so the cost stays linear in the text.  ``spans`` adds the token's
     ``start`` and ``end`` offsets.
     """
-    c = _as_col(col)
-    gaps = F.split(c, SCAN_TOKEN, -1)
-    hits = F.regexp_extract_all(c, F.lit(SCAN_TOKEN), F.lit(0))
-    numbers = F.regexp_extract_all(c, F.lit(SCAN_TOKEN), F.lit(1))
-    units = F.regexp_extract_all(c, F.lit(SCAN_TOKEN), F.lit(2))
-    pieces = F.flatten(
-        F.zip_with(gaps, hits, lambda g, h: F.array(g, F.coalesce(h, F.lit(""))))
-    )
     # A token is two characters or more, so this many pieces always cover the reach.
     reach = vocab.CUE_REACH
     span = reach + 2
 
-    def describe(hit, i):
+    def describe(hit, i, pieces):
         at = i * 2 + 2  # 1-based place of this hit in `pieces`
         first = F.greatest(F.lit(1), at - span)
         before = F.array_join(F.slice(pieces, first, at - first), "")
         after = F.array_join(F.slice(pieces, at + 1, F.lit(span)), "")
         near = F.concat(F.right(before, F.lit(reach)), hit, F.left(after, F.lit(reach)))
-        parsed = F.get(measures_in(F.lower(F.concat(F.get(numbers, i), F.get(units, i)))), 0)
         fields = [
-            parsed["value"].alias("value"),
-            parsed["unit"].alias("unit"),
+            F.get(measures_in(F.lower(F.regexp_replace(hit, "\\s+", ""))), 0).alias("m"),
             F.lower(near).alias("near"),
         ]
         if spans:
@@ -133,7 +121,28 @@ def unit_tokens(col: Column | str, spans: bool = False) -> Column:
             fields += [start.alias("start"), (start + F.length(hit)).alias("end")]
         return F.struct(*fields)
 
-    return F.filter(F.transform(hits, describe), lambda t: t["value"].isNotNull())
+    def scan(text):
+        return let(
+            lambda gaps, hits: let(
+                lambda pieces, hits: F.transform(hits, lambda h, i: describe(h, i, pieces)),
+                pieces=F.flatten(
+                    F.zip_with(gaps, hits, lambda g, h: F.array(g, F.coalesce(h, F.lit(""))))
+                ),
+                hits=hits,
+            ),
+            gaps=F.split(text, SCAN_TOKEN, -1),
+            hits=F.regexp_extract_all(text, F.lit(SCAN_TOKEN), F.lit(0)),
+        )
+
+    found = F.filter(let(scan, text=_as_col(col)), lambda t: t["m"].isNotNull())
+    extra = ("start", "end") if spans else ()
+    return F.transform(
+        found,
+        lambda t: F.struct(
+            t["m"]["value"].alias("value"), t["m"]["unit"].alias("unit"), t["near"].alias("near"),
+            *[t[name].alias(name) for name in extra],
+        ),
+    )
 
 
 def cue_near(token: Column, cues: Iterable[str]) -> Column:
@@ -143,11 +152,18 @@ def cue_near(token: Column, cues: Iterable[str]) -> Column:
 def pick_abv(tokens: Column, text: Column | str) -> Column:
     """The stated strength: the first cued percentage, else the only percentage
     when an abbreviation word occurs anywhere, else NULL."""
-    pct = F.filter(tokens, lambda t: t["unit"] == "%")
-    cued = F.filter(pct, lambda t: cue_near(t, vocab.ABV_CUES))
-    return F.when(F.size(cued) > 0, F.get(cued, 0)["value"]).when(
-        (F.size(pct) == 1) & any_word(F.lower(_as_col(text)), vocab.ABV_WORDS),
-        F.get(pct, 0)["value"],
+    def choose(pct, worded):
+        return let(
+            lambda pct, cued, worded: F.when(F.size(cued) > 0, F.get(cued, 0)["value"]).when(
+                (F.size(pct) == 1) & worded, F.get(pct, 0)["value"]
+            ),
+            pct=pct, worded=worded, cued=F.filter(pct, lambda t: cue_near(t, vocab.ABV_CUES)),
+        )
+
+    return let(
+        choose,
+        pct=F.filter(tokens, lambda t: t["unit"] == "%"),
+        worded=any_word(F.lower(_as_col(text)), vocab.ABV_WORDS),
     )
 
 
@@ -163,10 +179,16 @@ def pick_size_ml(tokens: Column) -> Column:
             t["near"].alias("near"),
         ),
     )
-    cued = F.filter(sized, lambda t: cue_near(t, vocab.NET_CUES))
-    return F.when(F.size(cued) > 0, F.element_at(cued, -1)["value"]).when(
-        F.size(sized) > 0, F.element_at(sized, -1)["value"]
-    )
+
+    def choose(sized):
+        return let(
+            lambda sized, cued: F.coalesce(
+                F.try_element_at(cued, F.lit(-1))["value"], F.try_element_at(sized, F.lit(-1))["value"]
+            ),
+            sized=sized, cued=F.filter(sized, lambda t: cue_near(t, vocab.NET_CUES)),
+        )
+
+    return let(choose, sized=sized)
 
 
 def first_of_unit(tokens: Column, unit: str) -> Column:
@@ -178,18 +200,14 @@ def numeric_line(text: Column | str, filed: Column | str | None, key: str) -> Co
     value, of any unit that suits the field."""
     any_unit = {"alcohol_content": ("%", "proof"), "net_contents": ("ml", "l")}[key]
     unit = parse_numeric(filed, key)["unit"] if filed is not None else F.lit(None).cast("string")
-    pairs = F.zip_with(
-        F.split(_as_col(text), LINE_BREAKS),
-        F.split(line_form(text), "\n"),
-        lambda raw, folded: F.struct(raw.alias("raw"), folded.alias("folded")),
-    )
 
-    def holds(line):
-        return F.exists(
-            measures_in(line["folded"]),
-            lambda m: F.when(unit.isNotNull(), m["unit"] == unit).otherwise(
-                m["unit"].isin(*any_unit)
-            ),
+    def first_line(raw, folded, unit):
+        pairs = F.zip_with(
+            F.split(raw, LINE_BREAKS), F.split(folded, "\n"),
+            lambda r, f: F.struct(r.alias("raw"), f.alias("folded")),
         )
+        fits = lambda m: F.when(unit.isNotNull(), m["unit"] == unit).otherwise(m["unit"].isin(*any_unit))
+        holding = F.filter(pairs, lambda line: F.exists(measures_in(line["folded"]), fits))
+        return F.trim(F.get(holding, 0)["raw"])
 
-    return F.trim(F.get(F.filter(pairs, holds), 0)["raw"])
+    return let(first_line, raw=_as_col(text), folded=line_form(text), unit=unit)

@@ -19,6 +19,10 @@ DIFF_TYPE = T.ArrayType(
     )
 )
 
+WINDOW_TYPE = T.StructType(
+    [T.StructField("window", T.StringType()), T.StructField("score", T.DoubleType())]
+)
+
 
 def window_bounds(needle: str, words: list[str], size: int) -> np.ndarray:
     """Upper bound on the similarity of ``needle`` to every run of ``size`` words.
@@ -108,7 +112,7 @@ def char_diff(expected: pd.Series, found: pd.Series) -> pd.Series:
     return pd.Series([script(a, b) for a, b in zip(expected, found)])
 
 
-@F.pandas_udf("struct<window:string,score:double>")
+@F.pandas_udf(WINDOW_TYPE)
 def best_window(needle: pd.Series, raw: pd.Series) -> pd.DataFrame:
     """The verbatim run of words closest to ``needle`` (a comparison form).
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -170,10 +170,19 @@ def count_phrases(col: Column | str, phrases: Iterable[str]) -> Column:
 
 def lookup(col: Column, table: Mapping[str, str]) -> Column:
     """Value of a small fixed table, NULL where the key is unknown."""
-    out = None
-    for key, value in table.items():
-        out = F.when(col == key, F.lit(value)) if out is None else out.when(col == key, F.lit(value))
-    return out
+    entries = [F.lit(part) for pair in table.items() for part in pair]
+    return F.try_element_at(F.create_map(*entries), col)
+
+
+def let(body: Callable[..., Column], **values: Column) -> Column:
+    """``body`` over values that are each evaluated once per row.
+
+    The optimizer merges projections and may repeat an expression wherever its
+    column was named, also inside a lambda, where it would run per element.
+    Binding the values to a lambda variable rules that out.
+    """
+    packed = F.array(F.struct(*[v.alias(name) for name, v in values.items()]))
+    return F.get(F.transform(packed, lambda s: body(**{name: s[name] for name in values})), 0)
 
 
 def edit_rate(extracted: Column | str, gold: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat import vocab
-from concordat.functions.text import literal_regex, normalize_text
+from concordat.functions.text import let, literal_regex, normalize_text
 from concordat.session import small_enough
 from concordat.vocab import FAIL, PASS, REVIEW
 
@@ -19,12 +19,18 @@ def phrase_pattern(phrase: str) -> str:
 
 
 def keyword_mask(normalized: Column, catalog: Mapping[str, str] = vocab.CLASS_KEYWORDS) -> Column:
-    """One bit per catalog keyword found; bits of several texts merge by OR."""
-    mask = F.lit(0).cast("bigint")
-    for bit, word in enumerate(catalog):
-        hit = F.coalesce(normalized.rlike(phrase_pattern(word)), F.lit(False))
-        mask = mask.bitwiseOR(F.when(hit, F.lit(1 << bit).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return mask
+    """One bit per catalog keyword found; bits of several texts merge by OR.
+
+    A plain substring test comes first, so the pattern runs on likely texts only.
+    """
+    def scan(text):
+        mask = F.lit(0).cast("bigint")
+        for bit, word in enumerate(catalog):
+            hit = F.contains(text, F.lit(word.split(" ")[0])) & text.rlike(phrase_pattern(word))
+            mask = mask.bitwiseOR(F.when(hit, F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint"))
+        return mask
+
+    return let(scan, text=F.coalesce(normalized, F.lit("")))
 
 
 def _bits(mask: Column, wanted: int) -> Column:
@@ -60,15 +66,20 @@ def conflict(
 
     A conflict needs a declared exclusive group and two groups in all.
     """
-    both = declared.bitwiseOR(observed)
-    groups = groups_in(both, catalog, skip)
-    is_conflict = (F.size(groups_in(declared, catalog, skip)) > 0) & (F.size(groups) >= 2)
     exclusive = sum(1 << b for b, g in enumerate(catalog.values()) if g not in skip)
-    words = F.array_sort(keywords_in(_bits(both, exclusive), catalog))
-    return F.struct(
-        is_conflict.alias("conflict"),
-        F.when(is_conflict, groups).alias("groups"),
-        F.when(is_conflict, words).alias("keywords"),
+
+    def judge(declared, both, groups):
+        is_conflict = (F.size(groups_in(declared, catalog, skip)) > 0) & (F.size(groups) >= 2)
+        words = F.array_sort(keywords_in(_bits(both, exclusive), catalog))
+        return F.struct(
+            is_conflict.alias("conflict"),
+            F.when(is_conflict, groups).alias("groups"),
+            F.when(is_conflict, words).alias("keywords"),
+        )
+
+    return let(
+        lambda d, both: let(judge, declared=d, both=both, groups=groups_in(both, catalog, skip)),
+        d=declared, both=declared.bitwiseOR(observed),
     )
 
 
@@ -83,24 +94,41 @@ def conflict_groups(df: DataFrame, declared: str, observed: str, **kw) -> DataFr
 
 def class_verdict(declared: Column, observed: Column, designation: Column, catalog=vocab.CLASS_KEYWORDS, skip=vocab.NON_EXCLUSIVE_GROUPS) -> Column:
     """``struct<verdict, detail>``: conflict, else recognition, else a person."""
-    c = conflict(declared, observed, catalog, skip)
-    words = F.when(F.size(keywords_in(declared, catalog)) > 0, F.get(keywords_in(declared, catalog), 0)).otherwise(
-        F.get(keywords_in(observed, catalog), 0)
-    )
     cite = F.lit(f" | {vocab.CLASS_CITATION}")
-    verdict = F.when(c["conflict"], FAIL).when(words.isNotNull(), PASS).otherwise(REVIEW)
-    detail = (
-        F.when(
-            c["conflict"],
-            F.concat(
-                F.lit("classes conflict: "), F.array_join(c["keywords"], ", "),
-                F.lit(" in "), F.array_join(c["groups"], ", "), cite,
-            ),
+
+    def judge(c, word, name):
+        return (
+            F.when(
+                c["conflict"],
+                F.struct(
+                    F.lit(FAIL).alias("verdict"),
+                    F.concat(
+                        F.lit("classes conflict: "), F.array_join(c["keywords"], ", "),
+                        F.lit(" in "), F.array_join(c["groups"], ", "), cite,
+                    ).alias("detail"),
+                ),
+            )
+            .when(
+                word.isNotNull(),
+                F.struct(F.lit(PASS).alias("verdict"), F.concat(F.lit("known class: "), word, cite).alias("detail")),
+            )
+            .otherwise(
+                F.struct(
+                    F.lit(REVIEW).alias("verdict"),
+                    F.concat(F.lit("class is not in the catalog: "), F.coalesce(name, F.lit("")), cite).alias("detail"),
+                )
+            )
         )
-        .when(words.isNotNull(), F.concat(F.lit("known class: "), words, cite))
-        .otherwise(F.concat(F.lit("class is not in the catalog: "), F.coalesce(designation, F.lit("")), cite))
+
+    return let(
+        lambda d, o, name: let(
+            judge,
+            c=conflict(d, o, catalog, skip),
+            word=F.coalesce(F.get(keywords_in(d, catalog), 0), F.get(keywords_in(o, catalog), 0)),
+            name=name,
+        ),
+        d=declared, o=observed, name=designation,
     )
-    return F.struct(verdict.alias("verdict"), detail.alias("detail"))
 
 
 def class_type(df: DataFrame, declared: str, observed: str, catalog=vocab.CLASS_KEYWORDS, skip=vocab.NON_EXCLUSIVE_GROUPS) -> DataFrame:

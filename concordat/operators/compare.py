@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from concordat import vocab
 from concordat.functions.measures import measures_by_line, parse_numeric, plain_number
 from concordat.functions.similarity import best_similarity, levenshtein_similarity
-from concordat.functions.text import has_value, normalize_text
+from concordat.functions.text import has_value, let, normalize_text
 from concordat.operators.rollup import agree
 from concordat.vocab import FAIL, MATCH, MISMATCH, MISSING, PASS, REVIEW, UNVERIFIABLE
 
@@ -66,14 +66,17 @@ def text_outcome(filed_norm: Column, observed_norm: Column, similarity: Column)
 
 def closest(filed: Column, tokens: Column) -> Column:
     """The same-unit value nearest to the filed one; the first of equals."""
-    same = F.filter(tokens, lambda t: t["unit"] == filed["unit"])
-    ranked = F.transform(
-        same,
-        lambda t, i: F.struct(
-            F.abs(t["value"] - filed["value"]).alias("gap"), i.alias("at"), t["value"].alias("value")
-        ),
-    )
-    return F.array_min(ranked)
+    def nearest(filed, tokens):
+        same = F.filter(tokens, lambda t: t["unit"] == filed["unit"])
+        ranked = F.transform(
+            same,
+            lambda t, i: F.struct(
+                F.abs(t["value"] - filed["value"]).alias("gap"), i.alias("at"), t["value"].alias("value")
+            ),
+        )
+        return F.array_min(ranked)
+
+    return let(nearest, filed=filed, tokens=tokens)
 
 
 def numeric_outcome(filed: Column, near: Column, tolerance) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from concordat import vocab
 from concordat.functions.similarity import char_diff
 from concordat.functions.text import (
-    collapse_ws, count_phrases, dehyphenate, has_value, initial_capital, is_all_caps,
-    letters_only, literal_regex, normalize_text,
+    collapse_ws, count_phrases, dehyphenate, has_value, initial_capital, is_all_caps, let,
+    literal_regex, normalize_text,
 )
 from concordat.session import small_enough
 from concordat.vocab import FAIL, PASS, REVIEW
@@ -59,20 +59,22 @@ def statement_region(text: Column | str, anchors=vocab.STATEMENT_ANCHORS) -> Col
 
 def clip_statement(text: Column | str, spec: Statement = WARNING) -> Column:
     """The statement without the label copy that follows it."""
-    flat = collapse_ws(text)
-    low = F.lower(flat)
     limit = len(spec.full) + vocab.STATEMENT_DISPLAY_MARGIN
-    out = None
-    for anchor in spec.end_anchors:
-        end = F.locate(anchor, low) + len(anchor)
-        stop = F.when(F.substring(flat, end, F.lit(1)) == ".", end).otherwise(end - 1)
-        cut = F.substring(flat, F.lit(1), stop)
-        hit = F.locate(anchor, low) > 0
-        out = F.when(hit, cut) if out is None else out.when(hit, cut)
-    short = F.when(F.length(flat) <= limit, flat).otherwise(
-        F.concat(F.rtrim(F.substring(flat, 1, limit)), F.lit("…"))
+
+    def clip(flat, low):
+        out = F.when(F.lit(False), flat)
+        for anchor in spec.end_anchors:
+            at = F.locate(anchor, low)
+            end = at + len(anchor)
+            stop = F.when(F.substring(flat, end, F.lit(1)) == ".", end).otherwise(end - 1)
+            out = out.when(at > 0, F.substring(flat, F.lit(1), stop))
+        return out.when(F.length(flat) <= limit, flat).otherwise(
+            F.concat(F.rtrim(F.substring(flat, 1, limit)), F.lit("…"))
+        )
+
+    return let(
+        lambda flat: let(clip, flat=flat, low=F.lower(flat)), flat=collapse_ws(text)
     )
-    return short if out is None else out.otherwise(short)
 
 
 def header_pattern(header: str) -> str:
@@ -86,33 +88,18 @@ def judge_statement(text: Column | str, spec: Statement = WARNING, bold_unsure:
     a short stretch behind it; the rest of the text is read only where hyphens
     used that stretch up.
     """
-    flat = collapse_ws(text)
     header = " ".join(spec.header.split())
     pattern = header_pattern(spec.header)
     body = " ".join(spec.body.split())
     letters = "".join(ch for ch in body.lower() if "a" <= ch <= "z")
     need, stretch, width = len(body), 4 * len(body), len(header)
-    gaps = F.split(flat, pattern, -1)
-    hits = F.regexp_extract_all(flat, F.lit(pattern), F.lit(0))
+    only_letters = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
 
-    def judge(found_header, i):
-        start = F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda n, g: n + F.length(g))
-        end = start + (i + 1) * width
-        near = dehyphenate(F.ltrim(F.substring(flat, end + 1, F.lit(stretch))))
-        rest = F.ltrim(F.substr(flat, end + 1))
-        whole = dehyphenate(rest)
-        has_more = F.length(flat) - end > stretch
-        found = F.when(has_more & (F.length(near) < need + 2), whole).otherwise(near)
-        near_letters = F.regexp_replace(F.lower(near), "[^a-z]", "")
-        seen = F.when(has_more & (F.length(near_letters) <= len(letters)),
-                      F.regexp_replace(F.lower(whole), "[^a-z]", "")).otherwise(near_letters)
-        head = F.substring(found, 1, need)
-        wording = F.lower(head) == body.lower()
+    def verdict(found_header, at, head, seen, unsure):
         capitals = F.lit(True)
         for word in spec.capitals:
             capitals = capitals & initial_capital(head, word)
-        unsure = F.lit(False) if bold_unsure is None else F.coalesce(bold_unsure, F.lit(False))
-        at = start + i * width + 1
+        wording = F.lower(head) == body.lower()
         return (
             F.when(found_header != header, _found(FAIL, "reworded", "header casing", at))
             .when(~wording & (F.left(seen, F.lit(len(letters))) == letters), _found(REVIEW, COULD_NOT, "marks", at))
@@ -122,10 +109,57 @@ def judge_statement(text: Column | str, spec: Statement = WARNING, bold_unsure:
             .otherwise(_found(PASS, "pass", None, at))
         )
 
-    seen = F.transform(hits, judge)
-    passing = F.filter(seen, lambda o: o["verdict"] == PASS)
-    first = F.coalesce(F.get(passing, 0), F.get(seen, 0))
-    return first.alias("_first")
+    def occurrence(found_header, end, flat, unsure):
+        near = dehyphenate(F.ltrim(F.substring(flat, end + 1, F.lit(stretch))))
+        has_more = F.length(flat) - end > stretch
+        return let(
+            lambda near, more, end, flat, fh, unsure: let(
+                verdict,
+                found_header=fh,
+                at=end - width + 1,
+                head=F.substring(
+                    F.when(more & (F.length(near) < need + 2), _tail(flat, end)).otherwise(near), 1, need
+                ),
+                seen=only_letters(
+                    F.when(more & (F.length(only_letters(near)) <= len(letters)), _tail(flat, end)).otherwise(near)
+                ),
+                unsure=unsure,
+            ),
+            near=near, more=has_more, end=end, flat=flat, fh=found_header, unsure=unsure,
+        )
+
+    def scan(flat, gaps, hits, unsure):
+        def one(found_header, i):
+            start = F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda n, g: n + F.length(g))
+            return let(
+                lambda end, fh: occurrence(fh, end, flat, unsure),
+                end=start + (i + 1) * width, fh=found_header,
+            )
+
+        return F.transform(hits, one)
+
+    def pick(seen):
+        return F.coalesce(F.get(F.filter(seen, lambda o: o["verdict"] == PASS), 0), F.get(seen, 0))
+
+    unsure = F.lit(False) if bold_unsure is None else F.coalesce(bold_unsure, F.lit(False))
+    return let(
+        lambda flat, unsure: let(
+            lambda seen: pick(seen),
+            seen=let(
+                scan,
+                flat=flat,
+                gaps=F.split(flat, pattern, -1),
+                hits=F.regexp_extract_all(flat, F.lit(pattern), F.lit(0)),
+                unsure=unsure,
+            ),
+        ),
+        flat=collapse_ws(text),
+        unsure=unsure,
+    )
+
+
+def _tail(flat: Column, end: Column) -> Column:
+    return dehyphenate(F.ltrim(F.substr(flat, end + 1)))
 
 
 def _found(verdict: str, outcome: str, deviation: str | None, at: Column) -> Column:
