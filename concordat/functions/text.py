@@ -23,6 +23,8 @@ TRAILING_MARKS = ".,;:!?…'\" "
 
 ASCII_ONLY = "^[\\x00-\\x7F]*$"
 _RUN_OF_BLANKS = f"[{BLANKS}]+"
+# Only the runs that are not a single space already.
+_ODD_BLANKS = f"[{BLANKS}]{{2,}}|[{BLANKS.replace('x20', 'x1f')}]"
 LINE_BREAKS = "(?:\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029])"
 _PY_LINE_BREAK = re.compile(LINE_BREAKS)
 _QUOTE_TABLE = str.maketrans(STRAIGHT_QUOTES)
@@ -56,14 +58,12 @@ def nullify_blank(col: Column | str) -> Column:
 
 def collapse_ws(col: Column | str) -> Column:
     """Runs of blanks become one space; the ends are trimmed; case is kept."""
-    return F.trim(F.regexp_replace(_as_col(col), _RUN_OF_BLANKS, " "))
+    return F.trim(F.regexp_replace(_as_col(col), _ODD_BLANKS, " "))
 
 
 def dehyphenate(col: Column | str) -> Column:
     """Rejoin words split by a soft hyphen or by a hyphen before a blank."""
-    return F.regexp_replace(
-        F.regexp_replace(_as_col(col), "\\xad", ""), f"-{_RUN_OF_BLANKS}", ""
-    )
+    return F.regexp_replace(F.translate(_as_col(col), "\xad", ""), f"-{_RUN_OF_BLANKS}", "")
 
 
 def letters_only(col: Column | str) -> Column:

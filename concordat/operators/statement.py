@@ -95,37 +95,36 @@ def judge_statement(text: Column | str, spec: Statement = WARNING, bold_unsure:
     need, stretch, width = len(body), 4 * len(body), len(header)
     only_letters = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
 
-    def verdict(found_header, at, head, seen, unsure):
+    def verdict(fh, end, head, near, more, flat, unsure):
+        at = end - width + 1
         capitals = F.lit(True)
         for word in spec.capitals:
             capitals = capitals & initial_capital(head, word)
-        wording = F.lower(head) == body.lower()
+        # Branches run only when reached, so clean wording never pays for letters.
+        near_letters = only_letters(near)
+        seen = F.when(more & (F.length(near_letters) <= len(letters)), only_letters(_tail(flat, end))).otherwise(near_letters)
+        reworded = F.when(
+            F.left(seen, F.lit(len(letters))) == letters, _found(REVIEW, COULD_NOT, "marks", at)
+        ).otherwise(_found(FAIL, "reworded", "body wording or punctuation", at))
         return (
-            F.when(found_header != header, _found(FAIL, "reworded", "header casing", at))
-            .when(~wording & (F.left(seen, F.lit(len(letters))) == letters), _found(REVIEW, COULD_NOT, "marks", at))
-            .when(~wording, _found(FAIL, "reworded", "body wording or punctuation", at))
+            F.when(fh != header, _found(FAIL, "reworded", "header casing", at))
+            .when(F.lower(head) != body.lower(), reworded)
             .when(~is_all_caps(head) & ~capitals, _found(FAIL, "reworded", "capital initials", at))
             .when(unsure, _found(REVIEW, COULD_NOT, "styling", at))
             .otherwise(_found(PASS, "pass", None, at))
         )
 
-    def occurrence(found_header, end, flat, unsure):
+    def occurrence(fh, end, flat, unsure):
         near = dehyphenate(F.ltrim(F.substring(flat, end + 1, F.lit(stretch))))
-        has_more = F.length(flat) - end > stretch
         return let(
             lambda near, more, end, flat, fh, unsure: let(
                 verdict,
-                found_header=fh,
-                at=end - width + 1,
                 head=F.substring(
                     F.when(more & (F.length(near) < need + 2), _tail(flat, end)).otherwise(near), 1, need
                 ),
-                seen=only_letters(
-                    F.when(more & (F.length(only_letters(near)) <= len(letters)), _tail(flat, end)).otherwise(near)
-                ),
-                unsure=unsure,
+                near=near, more=more, end=end, flat=flat, fh=fh, unsure=unsure,
             ),
-            near=near, more=has_more, end=end, flat=flat, fh=found_header, unsure=unsure,
+            near=near, more=F.length(flat) - end > stretch, end=end, flat=flat, fh=fh, unsure=unsure,
         )
 
     def scan(flat, gaps, hits, unsure):
@@ -171,45 +170,43 @@ def _found(verdict: str, outcome: str, deviation: str | None, at: Column) -> Col
     )
 
 
-def with_statement(df: DataFrame, text: str, out: str, spec: Statement = WARNING, bold_unsure: str | None = None) -> DataFrame:
-    """Adds the full statement result of one text per row as a struct column.
+def statement_result(text: str, spec: Statement = WARNING, bold_unsure: str | None = None) -> Column:
+    """The full statement result of one text as a struct.
 
     The text shown to a reader is cut out for the chosen occurrence only.
     """
     unsure = F.col(bold_unsure) if bold_unsure else None
-    df = df.withColumn("_pick", judge_statement(text, spec, unsure))
-    flat = collapse_ws(text)
-    pick = F.col("_pick")
-    tail = F.substr(flat, pick["at"])
-    enough = anchor_hits(text, spec.anchors) >= vocab.STATEMENT_ANCHORS_NEEDED
-    shown = (pick["verdict"] == FAIL) | (pick["deviation"] == "marks")
-    result = (
-        F.when(
-            pick.isNotNull(),
-            _statement(
-                pick["verdict"], pick["outcome"],
-                F.when(pick["outcome"] == "reworded", pick["deviation"]),
-                F.when(shown, clip_statement(tail, spec)),
-                F.when(pick["deviation"] == "marks", F.lit("wording is present; confirm marks and casing on the label"))
-                .when(pick["deviation"] == "styling", F.lit("bold styling cannot be confirmed from a photo")),
-            ),
+
+    def finish(pick, text):
+        flat = collapse_ws(text)
+        shown = (pick["verdict"] == FAIL) | (pick["deviation"] == "marks")
+        read = _statement(
+            pick["verdict"], pick["outcome"],
+            F.when(pick["outcome"] == "reworded", pick["deviation"]),
+            F.when(shown, clip_statement(F.substr(flat, pick["at"]), spec)),
+            F.when(pick["deviation"] == "marks", F.lit("wording is present; confirm marks and casing on the label"))
+            .when(pick["deviation"] == "styling", F.lit("bold styling cannot be confirmed from a photo")),
         )
-        .when(
-            enough,
-            _statement(
-                F.lit(REVIEW), F.lit(COULD_NOT), F.lit(None),
-                clip_statement(statement_region(text, spec.anchors), spec),
-                F.lit("phrases of the statement were read, but not its header; confirm on the label"),
-            ),
-        )
-        .otherwise(
-            _statement(
-                F.lit(FAIL), F.lit("absent"), F.lit(None), F.lit(None),
-                F.lit("the statement was not found on any label"),
-            )
+        phrases = _statement(
+            F.lit(REVIEW), F.lit(COULD_NOT), F.lit(None),
+            clip_statement(statement_region(text, spec.anchors), spec),
+            F.lit("phrases of the statement were read, but not its header; confirm on the label"),
         )
+        enough = anchor_hits(text, spec.anchors) >= vocab.STATEMENT_ANCHORS_NEEDED
+        return F.when(pick.isNotNull(), read).when(enough, phrases).otherwise(absent())
+
+    return let(finish, pick=judge_statement(text, spec, unsure), text=F.col(text))
+
+
+def with_statement(df: DataFrame, text: str, out: str, spec: Statement = WARNING, bold_unsure: str | None = None) -> DataFrame:
+    return df.withColumn(out, statement_result(text, spec, bold_unsure))
+
+
+def absent() -> Column:
+    return _statement(
+        F.lit(FAIL), F.lit("absent"), F.lit(None), F.lit(None),
+        F.lit("the statement was not found on any label"),
     )
-    return df.withColumn(out, result).drop("_pick")
 
 
 def _statement(verdict, outcome, deviation, found, message) -> Column:
@@ -258,13 +255,9 @@ def required_statement(
     """
     judged = with_statement(texts.filter(has_value("text")), "text", "statement", spec, bold_unsure)
     best = best_source(judged.select("submission_id", "source_order", "statement"))
-    absent = _statement(
-        F.lit(FAIL), F.lit("absent"), F.lit(None), F.lit(None),
-        F.lit("the statement was not found on any label"),
-    )
     keys = texts.select("submission_id").distinct()
     return keys.join(best, "submission_id", "left").withColumn(
-        "statement", F.coalesce("statement", absent)
+        "statement", F.coalesce("statement", absent())
     )
 
 

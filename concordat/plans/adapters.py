@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Heavy per-row work on a table that comes in fewer files than there are
+    cores is spread first; a table of many files is left as it is scanned."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 # --- submissions from part -----------------------------------------------------
 
 FILED_SQL = """
@@ -97,7 +104,7 @@ def label_text():
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
-    li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    li, p = spread(table(spark, sf, "lineitem")), table(spark, sf, "part")
     return li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
         *LINE_KEY,
         F.col("l_partkey").alias("submission_id"),

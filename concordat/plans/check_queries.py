@@ -366,7 +366,7 @@ def catalog_hits(spark, sf):
     b = ad.table(spark, sf, "benchmark")
     words = b.select(F.explode(F.split(F.lower("text"), " ")).alias("phrase"))
     catalog = words.filter(F.col("phrase").rlike("^[a-z]{6,}$")).distinct()
-    docs = ad.table(spark, sf, "documents")
+    docs = ad.spread(ad.table(spark, sf, "documents"))
     return cat.catalog_hits(docs, catalog, "doc_id", max_words=1).groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
@@ -450,7 +450,7 @@ def proof_consistency(spark, sf):
     + "') then 'PASS' else 'REVIEW' end as verdict from documents",
 )
 def responsibility_phrase(spark, sf):
-    docs = ad.table(spark, sf, "documents")
+    docs = ad.spread(ad.table(spark, sf, "documents"))
     phrases = (*vocab.RESPONSIBILITY_PHRASES, "the on", "and the")
     return docs.select("doc_id", pol.responsibility_phrase(F.col("text"), phrases)["verdict"].alias("verdict"))
 
@@ -513,7 +513,7 @@ p_name || ' ' || case l_orderkey % 8
 
 def statement_texts(spark, sf):
     k = F.col("l_orderkey") % 8
-    li, p = ad.table(spark, sf, "lineitem"), ad.table(spark, sf, "part")
+    li, p = ad.spread(ad.table(spark, sf, "lineitem")), ad.table(spark, sf, "part")
     forms = {
         0: WARN, 1: "Government Warning: " + vocab.STATEMENT_BODY, 2: WARN.replace("General, women", "General women"),
         3: WARN.replace("birth defects", "illness"), 4: WARN.upper(), 5: WARN.replace("Surgeon", "surgeon"), 6: vocab.STATEMENT_BODY,
@@ -532,14 +532,14 @@ def statement_texts(spark, sf):
 STATEMENT_SQL = f"""
 with t as (select l_partkey as submission_id, l_orderkey, l_linenumber, l_suppkey, l_linenumber % 2 as source_order,
                   {STATEMENT_TEXT_SQL} as text from lineitem join part on l_partkey = p_partkey),
-h as (select *, strpos(lower(text), lower('{vocab.STATEMENT_HEADER}')) as at from t),
-b as (select *, substr(text, at, {len(vocab.STATEMENT_HEADER)}) as header,
-      ltrim(substr(text, at + {len(vocab.STATEMENT_HEADER)})) as rest from h),
+h as (select *, strpos(lower(text), lower('{vocab.STATEMENT_HEADER}')) as pos from t),
+b as (select *, substr(text, pos, {len(vocab.STATEMENT_HEADER)}) as header,
+      ltrim(substr(text, pos + {len(vocab.STATEMENT_HEADER)})) as rest from h),
 c as (select *, left(rest, {len(vocab.STATEMENT_BODY)}) as head,
       regexp_replace(lower(rest), '[^a-z]', '', 'g') as letters,
       regexp_replace(lower('{vocab.STATEMENT_BODY}'), '[^a-z]', '', 'g') as want from b),
 v as (select *, case
-   when at = 0 then case when (contains(lower(text),'surgeon general')::int + contains(lower(text),'during pregnancy')::int
+   when pos = 0 then case when (contains(lower(text),'surgeon general')::int + contains(lower(text),'during pregnancy')::int
         + contains(lower(text),'birth defects')::int) >= 2 then 'couldnt_verify' else 'absent' end
    when header <> '{vocab.STATEMENT_HEADER}' then 'reworded'
    when lower(head) <> lower('{vocab.STATEMENT_BODY}') then case when starts_with(letters, want) then 'couldnt_verify' else 'reworded' end
@@ -575,18 +575,18 @@ def statement_best_source(spark, sf):
     "(select doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as t from documents)",
 )
 def anchor_hits(spark, sf):
-    docs = ad.table(spark, sf, "documents")
+    docs = ad.spread(ad.table(spark, sf, "documents"))
     return docs.select("doc_id", st.anchor_hits("text", ("the the", "and the", "in the")).alias("hits"))
 
 
 @query(
     "statement_region",
     """with t as (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from documents),
-p as (select *, least(nullif(strpos(lower(t), 'the the'), 0), nullif(strpos(lower(t), 'and the'), 0)) as at from t)
-select doc_id, case when at is null then substr(t, 1, 400) else trim(substr(t, greatest(1, at - 60), 420)) end as region from p""",
+p as (select *, least(nullif(strpos(lower(t), 'the the'), 0), nullif(strpos(lower(t), 'and the'), 0)) as pos from t)
+select doc_id, case when pos is null then substr(t, 1, 400) else trim(substr(t, greatest(1, pos - 60), 420)) end as region from p""",
 )
 def statement_region(spark, sf):
-    docs = ad.table(spark, sf, "documents")
+    docs = ad.spread(ad.table(spark, sf, "documents"))
     return docs.select("doc_id", st.statement_region("text", ("the the", "and the")).alias("region"))
 
 
@@ -620,7 +620,7 @@ join (select item_id, {ad.sql_norm('text')} as s from benchmark) on contains(t,
 
 @query("statement_hits", HITS_SQL)
 def statement_hits(spark, sf):
-    docs = ad.table(spark, sf, "documents")
+    docs = ad.spread(ad.table(spark, sf, "documents"))
     items = ad.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("statement"))
     return st.statement_hits(docs, items, "doc_id", "item_id")
 

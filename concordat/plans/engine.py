@@ -27,7 +27,7 @@ from concordat.operators.compare import (
 from concordat.operators.policy import FORMAT_CHECKS, presence_trio, with_label_numbers
 from concordat.operators.rollup import agree_columns
 from concordat.operators.statement import (
-    WARNING, Statement, _statement, statement_detail, verdict_rank, with_statement,
+    WARNING, Statement, absent, statement_detail, statement_result, verdict_rank,
 )
 from concordat.rules import RULES, Rule
 from concordat.vocab import FAIL, MATCH, NA, PASS, REVIEW
@@ -199,50 +199,88 @@ def _evaluate(rule: Rule, ev: Evidence) -> Column:
 
 
 def _judge_text(df: DataFrame, method: str, spec: Statement, needs_numbers: bool) -> DataFrame:
-    """Adds the OCR-side findings of one text (a whole join, or one part of it)."""
-    df = df.withColumn("has_ocr", has_value("text")).withColumn("text_norm", normalize_text("text"))
-    df = df.withColumn("_tokens", measures_by_line("text"))
-    open_needles = []
-    for f in TEXT_FIELDS:
-        n = F.col(f"norm_{f}")
-        open_needles.append(
-            F.when(F.col("has_ocr") & (n != "") & ~F.contains("text_norm", n), n)
+    """Adds the OCR-side findings of one text (a whole join, or one part of it).
+
+    Columns are added in a few steps, each a single projection.
+    """
+    df = df.withColumns(
+        {
+            "text": F.coalesce("text", F.lit("")),
+            "has_ocr": has_value("text"),
+            "text_norm": normalize_text("text"),
+            "_tokens": measures_by_line("text"),
+        }
+    )
+    needles = [
+        F.when(
+            F.col("has_ocr") & (F.col(f"norm_{f}") != "") & ~F.contains("text_norm", F.col(f"norm_{f}")),
+            F.col(f"norm_{f}"),
         )
-    df = df.withColumn("_needles", F.array(*open_needles))
+        for f in TEXT_FIELDS
+    ]
     if method == "levenshtein":
-        sims = F.array(*[levenshtein_similarity(n, F.col("text_norm")) for n in open_needles])
+        df = df.withColumn("_sims", F.array(*[levenshtein_similarity(n, F.col("text_norm")) for n in needles]))
     else:
+        df = df.withColumn("_needles", F.array(*needles))
         is_open = F.exists("_needles", lambda n: n.isNotNull())
-        sims = best_similarities(F.when(is_open, F.col("_needles")), F.when(is_open, F.col("text_norm")))
-    df = df.withColumn("_sims", sims)
-    for i, f in enumerate(TEXT_FIELDS):
-        df = df.withColumn(f"raw_{f}", text_outcome(F.col(f"norm_{f}"), F.col("text_norm"), F.get("_sims", i)))
-    for f in vocab.NUMERIC_FIELDS:
-        df = df.withColumn(f"near_{f}", closest(F.col(f"num_{f}"), F.col("_tokens")))
-    df = df.withColumn("observed_mask", keyword_mask(F.col("text_norm")))
-    df = with_statement(df, "text", "ocr_statement", spec)
+        df = df.withColumn(
+            "_sims", best_similarities(F.when(is_open, F.col("_needles")), F.when(is_open, F.col("text_norm")))
+        ).drop("_needles")
+    found = {
+        f"raw_{f}": text_outcome(F.col(f"norm_{f}"), F.col("text_norm"), F.get("_sims", i))
+        for i, f in enumerate(TEXT_FIELDS)
+    }
+    found |= {f"near_{f}": closest(F.col(f"num_{f}"), F.col("_tokens")) for f in vocab.NUMERIC_FIELDS}
+    found["observed_mask"] = keyword_mask(F.col("text_norm"))
+    found["ocr_statement"] = statement_result("text", spec)
+    df = df.withColumns(found).drop("_tokens", "_sims")
+    return with_label_numbers(df) if needs_numbers else df
+
+
+def _merge_parts(df: DataFrame, kept: Sequence[str], needs_numbers: bool) -> DataFrame:
+    """One row per submission.  A submission normally has one part; the parts of
+    an oversized one meet here through partial aggregates, never as a list."""
+    quality = lambda c: F.struct(c["match_status"] == MATCH, F.coalesce(c["similarity"], F.lit(-1.0)))
+    first = F.struct(~F.col("has_ocr"), F.col("part_no"))
+    aggs = [F.any_value(c).alias(c) for c in kept]
+    aggs += [F.max_by(f"raw_{f}", quality(F.col(f"raw_{f}"))).alias(f"raw_{f}") for f in TEXT_FIELDS]
+    aggs += [F.min(f"near_{f}").alias(f"near_{f}") for f in vocab.NUMERIC_FIELDS]
+    rank = F.struct(
+        verdict_rank(F.col("ocr_statement.verdict")), F.col("ocr_statement.outcome") == "absent", "part_no"
+    )
+    aggs += [
+        F.bool_or("has_ocr").alias("has_ocr"),
+        F.bit_or("observed_mask").alias("observed_mask"),
+        F.min_by("ocr_statement", rank).alias("ocr_statement"),
+        # The first part stands for the text of an oversized submission.
+        F.min_by(F.struct("text", "text_norm"), first).alias("_t"),
+    ]
     if needs_numbers:
-        df = with_label_numbers(df)
-    return df.drop("_tokens", "_needles", "_sims")
+        aggs += [
+            F.min_by(c, F.when(F.col(c).isNotNull(), F.col("part_no"))).alias(c)
+            for c in ("abv", "proof", "size_ml")
+        ]
+    out = df.withColumn("part_no", F.coalesce("part_no", F.lit(0))).groupBy("id").agg(*aggs)
+    return out.select("*", "_t.text", "_t.text_norm").drop("_t")
 
 
 def _finish(df: DataFrame, method: str, spec: Statement) -> DataFrame:
     """Adds the valve, the model-side findings and the best statement."""
-    no = F.lit(False)
-    for f in TEXT_FIELDS:
-        judged = guard(F.col(f), F.when(F.col("has_ocr"), F.lit("x")), F.col(f"raw_{f}"))
-        df = df.withColumn(f"ocr_{f}", confidence_valve(judged, no, F.col("ocr_confidence")))
+    no, here = F.lit(False), F.when(F.col("has_ocr"), F.lit("x"))
+    step = {
+        f"ocr_{f}": confidence_valve(guard(F.col(f), here, F.col(f"raw_{f}")), no, F.col("ocr_confidence"))
+        for f in TEXT_FIELDS
+    }
     for f in vocab.NUMERIC_FIELDS:
-        judged = guard(
-            F.col(f), F.when(F.col("has_ocr"), F.lit("x")),
-            numeric_outcome(F.col(f"num_{f}"), F.col(f"near_{f}"), vocab.TOLERANCE[f]),
-        )
-        df = df.withColumn(f"ocr_{f}", confidence_valve(judged, no, F.col("ocr_confidence")))
-
+        judged = numeric_outcome(F.col(f"num_{f}"), F.col(f"near_{f}"), vocab.TOLERANCE[f])
+        step[f"ocr_{f}"] = confidence_valve(guard(F.col(f), here, judged), no, F.col("ocr_confidence"))
+        step[f"_ainear_{f}"] = closest(F.col(f"num_{f}"), measures_by_line(f"ai_{f}"))
     # The model's values are one short text per field.
-    norms = {f: normalize_text(f"ai_{f}") for f in TEXT_FIELDS}
-    for f in TEXT_FIELDS:
-        df = df.withColumn(f"_an_{f}", norms[f])
+    step |= {f"_an_{f}": normalize_text(f"ai_{f}") for f in TEXT_FIELDS}
+    step["ai_statement"] = statement_result("ai_government_warning", spec)
+    step["declared_mask"] = keyword_mask(F.col("norm_class_type_designation"))
+    df = df.withColumns(step)
+
     open_pair = {
         f: (F.col(f"norm_{f}") != "") & (F.col(f"_an_{f}") != "") & ~F.contains(f"_an_{f}", F.col(f"norm_{f}"))
         for f in TEXT_FIELDS
@@ -253,46 +291,24 @@ def _finish(df: DataFrame, method: str, spec: Statement) -> DataFrame:
         df = df.withColumn("_as", F.array(*[levenshtein_similarity(a, b) for a, b in zip(left, right)]))
     else:
         df = df.withColumn("_as", pairwise_similarities(F.array(*left), F.array(*right)))
+    step = {}
     for i, f in enumerate(TEXT_FIELDS):
         judged = text_outcome(F.col(f"norm_{f}"), F.col(f"_an_{f}"), F.get("_as", i))
-        df = df.withColumn(f"llm_{f}", guard(F.col(f), F.col(f"ai_{f}"), judged))
+        step[f"llm_{f}"] = guard(F.col(f), F.col(f"ai_{f}"), judged)
     for f in vocab.NUMERIC_FIELDS:
-        near = closest(F.col(f"num_{f}"), measures_by_line(f"ai_{f}"))
-        judged = numeric_outcome(F.col(f"num_{f}"), near, vocab.TOLERANCE[f])
-        df = df.withColumn(f"llm_{f}", guard(F.col(f), F.col(f"ai_{f}"), judged))
-
-    df = with_statement(df, "ai_government_warning", "ai_statement", spec)
-    has_ai = has_value("ai_government_warning")
-    absent = _statement(
-        F.lit(FAIL), F.lit("absent"), F.lit(None), F.lit(None), F.lit("the statement was not found on any label")
+        judged = numeric_outcome(F.col(f"num_{f}"), F.col(f"_ainear_{f}"), vocab.TOLERANCE[f])
+        step[f"llm_{f}"] = guard(F.col(f), F.col(f"ai_{f}"), judged)
+    source = lambda order, c: F.struct(
+        verdict_rank(F.col(c)["verdict"]).alias("rank"), F.lit(order).alias("o"), F.col(c).alias("s")
     )
     ranked = F.array_compact(
         F.array(
-            F.when(has_ai, F.struct(verdict_rank(F.col("ai_statement.verdict")).alias("rank"), F.lit(0).alias("o"), F.col("ai_statement").alias("s"))),
-            F.when(F.col("has_ocr"), F.struct(verdict_rank(F.col("ocr_statement.verdict")).alias("rank"), F.lit(1).alias("o"), F.col("ocr_statement").alias("s"))),
+            F.when(has_value("ai_government_warning"), source(0, "ai_statement")),
+            F.when(F.col("has_ocr"), source(1, "ocr_statement")),
         )
     )
-    df = df.withColumn("statement", F.coalesce(F.array_min(ranked)["s"], absent))
-    return df.withColumn("declared_mask", keyword_mask(F.col("norm_class_type_designation")))
-
-
-def _merge_parts(df: DataFrame, kept: Sequence[str], needs_numbers: bool) -> DataFrame:
-    """Findings of the parts of one oversized submission, by partial aggregates."""
-    quality = lambda c: F.struct(c["match_status"] == MATCH, F.coalesce(c["similarity"], F.lit(-1.0)))
-    aggs = [F.any_value(c).alias(c) for c in kept]
-    aggs += [F.max_by(f"raw_{f}", quality(F.col(f"raw_{f}"))).alias(f"raw_{f}") for f in TEXT_FIELDS]
-    aggs += [F.min(f"near_{f}").alias(f"near_{f}") for f in vocab.NUMERIC_FIELDS]
-    aggs += [
-        F.bool_or("has_ocr").alias("has_ocr"),
-        F.bit_or("observed_mask").alias("observed_mask"),
-        F.min_by("ocr_statement", F.struct(verdict_rank(F.col("ocr_statement.verdict")), F.col("ocr_statement.outcome") == "absent", "part_no")).alias("ocr_statement"),
-        # The full text of such a submission is not carried along.
-        F.min_by(F.col("text"), "part_no").alias("text"),
-        F.min_by(F.col("text_norm"), "part_no").alias("text_norm"),
-    ]
-    if needs_numbers:
-        aggs += [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("part_no"))).alias(c) for c in ("abv", "proof", "size_ml")]
-    return df.groupBy("id").agg(*aggs)
+    step["statement"] = F.coalesce(F.array_min(ranked)["s"], absent())
+    return df.withColumns(step)
 
 
 def gather_evidence(
@@ -305,41 +321,27 @@ def gather_evidence(
     ``llm`` needs ``submission_id, id, task, status, is_benchmark_only, result_text``.
     """
     fields = vocab.COMPARED_FIELDS
-    best = rd.best_ocr(ocr, order_id=ocr_order).select(
+    best = rd.best_ocr(ocr.select(*dict.fromkeys(("submission_id", "id", "status", "confidence", *ocr_order))), order_id=ocr_order)
+    best = best.select(
         F.col("submission_id").alias("id"),
         F.col("id").cast("string").alias("ocr_id"),
         F.col("confidence").alias("ocr_confidence"),
     )
-    model = rd.extracted_values(llm, (*fields, "government_warning"))
-    model = model.select(
+    model = rd.extracted_values(llm, (*fields, "government_warning")).select(
         F.col("submission_id").alias("id"),
         F.col("llm_id").cast("string").alias("llm_id"),
         *[F.col(f).alias(f"ai_{f}") for f in (*fields, "government_warning")],
     )
-    base = subs.select("id", "beverage_type", "source_of_product", *fields)
-    for f in TEXT_FIELDS:
-        base = base.withColumn(f"norm_{f}", normalize_text(f))
-    for f in vocab.NUMERIC_FIELDS:
-        base = base.withColumn(f"num_{f}", parse_numeric(f, f))
-    base = base.join(best, "id", "left").join(model, "id", "left")
-
-    rows = rd.ok_text(ocr).select(
-        F.col("submission_id").alias("id"),
-        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(ocr_order)],
-        "extracted_text",
-    )
-    order = [f"_o{i}" for i in range(len(ocr_order))]
-    small, large, large_ids = rd.split_by_size(rows, "id")
-    whole = base.join(large_ids, "id", "left_anti").join(
-        rd.join_small(small, "id", order), "id", "left"
-    )
-    whole = _judge_text(whole.withColumn("text", F.coalesce("text", F.lit(""))), method, spec, needs_numbers)
-    parts = base.join(
-        large.select("id", F.xxhash64(*order).alias("part_no"), F.col("extracted_text").alias("text")), "id"
+    base = subs.select(
+        "id", "beverage_type", "source_of_product", *fields,
+        *[normalize_text(f).alias(f"norm_{f}") for f in TEXT_FIELDS],
+        *[parse_numeric(f, f).alias(f"num_{f}") for f in vocab.NUMERIC_FIELDS],
     )
+    base = base.join(best, "id", "left").join(model, "id", "left")
+    texts = rd.joined_text(rd.ok_text(ocr), order_id=ocr_order).withColumnRenamed("submission_id", "id")
     kept = [c for c in base.columns if c != "id"]
-    merged = _merge_parts(_judge_text(parts, method, spec, needs_numbers), kept, needs_numbers)
-    return _finish(whole.unionByName(merged), method, spec)
+    read = _judge_text(base.join(texts, "id", "left"), method, spec, needs_numbers)
+    return _finish(_merge_parts(read, kept, needs_numbers), method, spec)
 
 
 # --- execution ------------------------------------------------------------------
@@ -361,11 +363,13 @@ def run_rules(
 
     # A result shared by several types (same key, field and strategy) is built once.
     names: dict[tuple, str] = {}
+    judged = {}
     for rule in rules:
         key = (rule.check_key, rule.field_key, rule.strategy)
         if key not in names:
             names[key] = f"res_{len(names)}"
-            df = df.withColumn(names[key], _evaluate(rule, ev))
+            judged[names[key]] = _evaluate(rule, ev)
+    df = df.withColumns(judged)
     per_type = None
     for kind in dict.fromkeys(r.beverage_type for r in rules):
         checks = F.array(
@@ -399,8 +403,13 @@ def run_rules(
 
 
 def checks_of(judged: DataFrame) -> DataFrame:
-    """One row per check; the primary comparison is the model's, else the OCR's."""
-    return judged.select("submission_id", F.inline("checks")).withColumn(
+    """One row per check; the primary comparison is the model's, else the OCR's.
+
+    The outer form of the generator keeps the optimizer from deriving a filter on
+    the nested array and copying the whole evaluation into it.
+    """
+    rows = judged.select("submission_id", F.inline_outer("checks")).filter("check_key is not null")
+    return rows.withColumn(
         "primary_source",
         F.when(F.exists("comparisons", lambda c: c["source"] == "llm"), "llm").otherwise(
             F.get("comparisons", 0)["source"]
@@ -409,10 +418,9 @@ def checks_of(judged: DataFrame) -> DataFrame:
 
 
 def comparisons_of(judged: DataFrame) -> DataFrame:
-    rows = judged.select("submission_id", F.explode("checks").alias("c"))
-    return rows.select(
-        "submission_id", "c.check_key", "c.field_key", F.inline("c.comparisons")
-    )
+    rows = judged.select("submission_id", F.inline_outer("checks"))
+    rows = rows.select("submission_id", "check_key", "field_key", F.inline_outer("comparisons"))
+    return rows.filter("check_key is not null and match_status is not null")
 
 
 def verdicts_of(judged: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # Large column expressions are built in Python; skip call-site capture.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -50,4 +52,4 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
 def small_enough(df: DataFrame, limit_bytes: int = 64 << 20) -> bool:
     """Whether the optimizer's size estimate proves ``df`` fits a broadcast."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString()) <= limit_bytes
+    return int(str(stats.sizeInBytes())) <= limit_bytes
