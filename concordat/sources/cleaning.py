@@ -36,7 +36,7 @@ DOMESTIC_ORIGINS = (
     "TEXAS", "WASHINGTON", "COLORADO", "ILLINOIS", "VIRGINIA", "MASSACHUSETTS",
     "PENNSYLVANIA", "MICHIGAN", "OHIO", "WISCONSIN", "MISSOURI", "GEORGIA",
 )
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " "}
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\xa0"}
 
 
 def _as_col(c: Column | str) -> Column:
