@@ -207,10 +207,8 @@ def accuracy(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     Field outcomes are counted inside the row first, so the shuffle carries one
     partial row per extractor and task.
     """
-    aggs = []
-    for name in vocab.MATCH_STATUSES:
-        hits = F.size(F.filter("scores", lambda x, n=name: x["match_status"] == n))
-        aggs.append(F.sum(hits).alias(name.lower()))
+    hits = lambda name: F.size(F.filter("scores", lambda x: x["match_status"] == name))
+    aggs = [F.sum(hits(name)).alias(name.lower()) for name in vocab.MATCH_STATUSES]
     s = F.col("statement")
     out = scored.groupBy(*by).agg(
         *aggs,

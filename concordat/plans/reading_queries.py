@@ -105,19 +105,19 @@ def conversation_text(spark, sf):
     return rd.joined_text(c, "conv_id", ("turn",), "text").select("conv_id", "text")
 
 
-@query("mean_confidence", "select user_id, round(avg(value) filter (where event_type <> 'error' and event_type <> 'view') / 100, 8) as confidence from events group by user_id")
+@query("mean_confidence", "select user_id, round(avg(value) filter (where event_type <> 'error' and event_type <> 'view') / 100, 10) as confidence from events group by user_id")
 def mean_confidence(spark, sf):
     t = F.col("event_type")
     e = ad.table(spark, sf, "events").withColumn(
         "conf", F.when(t == "error", "-1").when(t == "view", "n/a").otherwise(F.col("value").cast("string"))
     )
-    return rd.mean_confidence(e, ("user_id",)).withColumn("confidence", F.round("confidence", 8))
+    return rd.mean_confidence(e, ("user_id",)).withColumn("confidence", F.round("confidence", 10))
 
 
-@query("mean_score_clamped", "select user_id, round(least(1.0, greatest(0.0, avg(value / 40))), 8) as confidence from events group by user_id")
+@query("mean_score_clamped", "select user_id, round(least(1.0, greatest(0.0, avg(value / 40))), 10) as confidence from events group by user_id")
 def mean_score_clamped(spark, sf):
     e = ad.table(spark, sf, "events").withColumn("score", F.col("value") / 40)
-    return rd.mean_score_clamped(e, ("user_id",)).withColumn("confidence", F.round("confidence", 8))
+    return rd.mean_score_clamped(e, ("user_id",)).withColumn("confidence", F.round("confidence", 10))
 
 
 @query("best_ocr", f"select submission_id, id, confidence from ({BEST_SQL})")

@@ -280,7 +280,7 @@ def permit_and_applicant(spark, sf):
     return s.select("s_suppkey", cl.permit_code(raw).alias("permit"), cl.clean_applicant(raw).alias("applicant"))
 
 
-@query("unescape_pages", """select page_id, md5(replace(replace(replace(replace(replace(replace(replace(html,'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',''''),'&apos;',''''),'&nbsp;',chr(160)),'&amp;','&')) as digest
+@query("unescape_pages", """select page_id, md5(replace(replace(replace(replace(replace(replace(replace(replace(replace(html,'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',''''),'&apos;',''''),'&nbsp;',chr(160)),'&copy;','©'),'&middot;','·'),'&amp;','&')) as digest
   from pages""")
 def unescape_pages(spark, sf):
     return ad.spread(ad.table(spark, sf, "pages")).select("page_id", F.md5(cl.unescape_html("html")).alias("digest"))

@@ -36,7 +36,10 @@ DOMESTIC_ORIGINS = (
     "TEXAS", "WASHINGTON", "COLORADO", "ILLINOIS", "VIRGINIA", "MASSACHUSETTS",
     "PENNSYLVANIA", "MICHIGAN", "OHIO", "WISCONSIN", "MISSOURI", "GEORGIA",
 )
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\xa0"}
+ENTITIES = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\xa0",
+    "&copy;": "©", "&middot;": "·",
+}
 
 
 def _as_col(c: Column | str) -> Column:
@@ -65,7 +68,8 @@ def unescape_html(col: Column | str) -> Column:
     """HTML entities as characters.  The usual ones stay in the JVM; only texts
     with others are sent to Arrow."""
     c = _as_col(col)
-    rare = c.rlike("&(?!(?:lt|gt|quot|apos|nbsp|amp|#39);)#?\\w")
+    usual = "|".join(e[1:-1] for e in (*ENTITIES, "&amp;"))
+    rare = c.rlike(f"&(?!(?:{usual});)#?\\w")
     native = c
     for entity, char in ENTITIES.items():
         native = F.replace(native, F.lit(entity), F.lit(char))
