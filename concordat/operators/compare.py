@@ -49,18 +49,20 @@ def located(filed_norm: Column, observed_norm: Column) -> Column:
 
 def text_outcome(filed_norm: Column, observed_norm: Column, similarity: Column) -> Column:
     """Three bands; ``similarity`` is read only where containment failed."""
-    score = F.coalesce(similarity, F.lit(0.0))
-    shown = F.format_string("%.3f", score)
-    return (
-        F.when(
-            located(filed_norm, observed_norm),
-            outcome(MATCH, 1.0, PASS, F.concat(F.lit("found: "), filed_norm)),
-        )
-        .when(
-            score >= vocab.SIMILARITY_FLOOR,
-            outcome(MISMATCH, score, REVIEW, F.concat(F.lit("close but not equal: "), shown)),
+    def judge(filed, found, score):
+        shown = F.format_string("%.3f", score)
+        return (
+            F.when(found, outcome(MATCH, 1.0, PASS, F.concat(F.lit("found: "), filed)))
+            .when(
+                score >= vocab.SIMILARITY_FLOOR,
+                outcome(MISMATCH, score, REVIEW, F.concat(F.lit("close but not equal: "), shown)),
+            )
+            .otherwise(outcome(MISMATCH, score, FAIL, F.concat(F.lit("different: "), shown)))
         )
-        .otherwise(outcome(MISMATCH, score, FAIL, F.concat(F.lit("different: "), shown)))
+
+    return let(
+        judge, filed=filed_norm, found=located(filed_norm, observed_norm),
+        score=F.coalesce(similarity, F.lit(0.0)),
     )
 
 
@@ -81,17 +83,29 @@ def closest(filed: Column, tokens: Column) -> Column:
 
 def numeric_outcome(filed: Column, near: Column, tolerance) -> Column:
     """``filed`` is a measure, ``near`` the result of :func:`closest`."""
-    def pair(word: str) -> Column:
-        return F.concat(
-            plain_number(filed["value"]), filed["unit"], F.lit(f" {word} "),
-            plain_number(near["value"]), filed["unit"], F.lit(f" (±{tolerance})"),
+    def judge(filed, near):
+        def pair(word: str) -> Column:
+            return F.concat(
+                plain_number(filed["value"]), filed["unit"], F.lit(f" {word} "),
+                plain_number(near["value"]), filed["unit"], F.lit(f" (±{tolerance})"),
+            )
+
+        return (
+            F.when(filed.isNull(), outcome(UNVERIFIABLE, None, REVIEW, "the filed value is not a measure"))
+            .when(near.isNull(), outcome(UNVERIFIABLE, None, REVIEW, "no number of that unit on the label"))
+            .when(near["gap"] <= F.lit(tolerance), outcome(MATCH, 1.0, PASS, pair("is")))
+            .otherwise(outcome(MISMATCH, 0.0, FAIL, pair("is not")))
         )
 
-    return (
-        F.when(filed.isNull(), outcome(UNVERIFIABLE, None, REVIEW, "the filed value is not a measure"))
-        .when(near.isNull(), outcome(UNVERIFIABLE, None, REVIEW, "no number of that unit on the label"))
-        .when(near["gap"] <= F.lit(tolerance), outcome(MATCH, 1.0, PASS, pair("is")))
-        .otherwise(outcome(MISMATCH, 0.0, FAIL, pair("is not")))
+    return let(judge, filed=filed, near=near)
+
+
+def _as_review(result: Column, detail: Column) -> Column:
+    return F.struct(
+        result["match_status"].alias("match_status"),
+        result["similarity"].alias("similarity"),
+        F.lit(REVIEW).alias("verdict"),
+        detail.alias("detail"),
     )
 
 
@@ -99,26 +113,23 @@ def confidence_valve(
     result: Column, is_llm: Column, confidence: Column, floor: float = vocab.CONFIDENCE_FLOOR
 ) -> Column:
     """A weak OCR reading supports neither PASS nor FAIL."""
-    weak = ~is_llm & (result["verdict"] != REVIEW) & (confidence < floor)
-    softened = F.struct(
-        result["match_status"].alias("match_status"),
-        result["similarity"].alias("similarity"),
-        F.lit(REVIEW).alias("verdict"),
-        F.concat(result["detail"], F.format_string(" | reading confidence %.2f is low", confidence)).alias("detail"),
-    )
-    return F.when(F.coalesce(weak, F.lit(False)), softened).otherwise(result)
+    def judge(r, weak, confidence):
+        note = F.format_string(" | reading confidence %.2f is low", confidence)
+        return F.when(weak & (r["verdict"] != REVIEW), _as_review(r, F.concat(r["detail"], note))).otherwise(r)
+
+    weak = F.coalesce(~is_llm & (confidence < floor), F.lit(False))
+    return let(judge, r=result, weak=weak, confidence=confidence)
 
 
 def soften(result: Column, note: str | Column) -> Column:
     """FAIL becomes REVIEW with a note; anything else is unchanged."""
     text = note if isinstance(note, Column) else F.lit(note)
-    softened = F.struct(
-        result["match_status"].alias("match_status"),
-        result["similarity"].alias("similarity"),
-        F.lit(REVIEW).alias("verdict"),
-        F.concat(result["detail"], F.lit(" — "), text).alias("detail"),
-    )
-    return F.when(result["verdict"] == FAIL, softened).otherwise(result)
+
+    def judge(r, note):
+        softened = _as_review(r, F.concat(r["detail"], F.lit(" — "), note))
+        return F.when(r["verdict"] == FAIL, softened).otherwise(r)
+
+    return let(judge, r=result, note=text)
 
 
 # --- narrow form: one row per filed/observed pair ---------------------------

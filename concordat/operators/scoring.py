@@ -14,7 +14,7 @@ from concordat.functions.measures import measures_by_line, parse_numeric
 from concordat.functions.similarity import (
     best_similarities, levenshtein_similarity, pairwise_similarities,
 )
-from concordat.functions.text import edit_rate_normalized, has_value, normalize_text
+from concordat.functions.text import edit_rate_normalized, has_value, let, normalize_text
 from concordat.operators.compare import closest, located
 from concordat.operators.readings import scoring_rows
 from concordat.vocab import MATCH, MISMATCH, MISSING, UNVERIFIABLE
@@ -32,21 +32,23 @@ def _status(name: str, similarity) -> Column:
 
 def score_text(gold_norm: Column, extracted_norm: Column, similarity: Column) -> Column:
     """Contained, or close enough, is a match."""
-    s = F.coalesce(similarity, F.lit(0.0))
-    return (
-        F.when(located(gold_norm, extracted_norm), _status(MATCH, 1.0))
+    return let(
+        lambda found, s: F.when(found, _status(MATCH, 1.0))
         .when(s >= vocab.SIMILARITY_FLOOR, _status(MATCH, s))
-        .otherwise(_status(MISMATCH, s))
+        .otherwise(_status(MISMATCH, s)),
+        found=located(gold_norm, extracted_norm),
+        s=F.coalesce(similarity, F.lit(0.0)),
     )
 
 
 def score_numeric(gold: Column, near: Column, tolerance) -> Column:
     """A measure of another unit counts as not found here."""
-    return (
-        F.when(gold.isNull(), _status(UNVERIFIABLE, None))
+    return let(
+        lambda gold, near: F.when(gold.isNull(), _status(UNVERIFIABLE, None))
         .when(near.isNull(), _status(MISSING, None))
         .when(near["gap"] <= F.lit(tolerance), _status(MATCH, 1.0))
-        .otherwise(_status(MISMATCH, 0.0))
+        .otherwise(_status(MISMATCH, 0.0)),
+        gold=gold, near=near,
     )
 
 
@@ -97,18 +99,18 @@ def score_fields(
     """
     g = lambda f: F.col(f"{gold_prefix}{f}")
     texts = [f for f in fields if f not in vocab.NUMERIC_FIELDS]
+    numbers = [f for f in fields if f in vocab.NUMERIC_FIELDS]
     df = rows
     if structured:
-        for f in fields:
-            df = df.withColumn(f"_x_{f}", F.when(has_value(text), json_scalar(text, f)))
-        for f in texts:
-            df = df.withColumn(f"_n_{f}", normalize_text(f"_x_{f}"))
+        df = df.withColumns({f"_x_{f}": F.when(has_value(text), json_scalar(text, f)) for f in fields})
+        step = {f"_n_{f}": normalize_text(f"_x_{f}") for f in texts}
     else:
-        df = df.withColumn("_n", normalize_text(text)).withColumn("_m", measures_by_line(text))
+        step = {"_n": normalize_text(text), "_m": measures_by_line(text)}
+    step |= {f"_g_{f}": normalize_text(g(f)) for f in texts}
+    step |= {f"_p_{f}": parse_numeric(g(f), f) for f in numbers}
+    df = df.withColumns(step)
     value = lambda f: F.col(f"_x_{f}") if structured else F.col(text)
     norm = lambda f: F.col(f"_n_{f}") if structured else F.col("_n")
-    for f in texts:
-        df = df.withColumn(f"_g_{f}", normalize_text(g(f)))
     needles = [
         F.when(
             (F.col(f"_g_{f}") != "") & has_value(value(f)) & ~F.contains(norm(f), F.col(f"_g_{f}")),
@@ -116,35 +118,31 @@ def score_fields(
         )
         for f in texts
     ]
-    if not texts:
-        df = df.withColumn("_s", F.array().cast("array<double>"))
-    elif method == "levenshtein":
-        df = df.withColumn("_s", F.array(*[levenshtein_similarity(a, norm(f)) for a, f in zip(needles, texts)]))
-    elif structured:
-        df = df.withColumn("_s", pairwise_similarities(F.array(*needles), F.array(*[norm(f) for f in texts])))
+    if method == "levenshtein" or not texts:
+        similarity = {f: levenshtein_similarity(a, norm(f)) for a, f in zip(needles, texts)}
     else:
-        df = df.withColumn("_needles", F.array(*needles))
-        is_open = F.exists("_needles", lambda n: n.isNotNull())
-        df = df.withColumn("_s", best_similarities(F.when(is_open, F.col("_needles")), F.when(is_open, F.col("_n"))))
+        if structured:
+            found = pairwise_similarities(F.array(*needles), F.array(*[norm(f) for f in texts]))
+        else:
+            df = df.withColumn("_needles", F.array(*needles))
+            is_open = F.exists("_needles", lambda n: n.isNotNull())
+            found = best_similarities(F.when(is_open, F.col("_needles")), F.when(is_open, F.col("_n")))
+        df = df.withColumn("_s", found)
+        similarity = {f: F.get("_s", i) for i, f in enumerate(texts)}
     entries = []
     for f in fields:
         if f in vocab.NUMERIC_FIELDS:
-            gold = parse_numeric(g(f), f)
-            df = df.withColumn(f"_p_{f}", gold)
             tokens = measures_by_line(f"_x_{f}") if structured else F.col("_m")
             judged = score_numeric(F.col(f"_p_{f}"), closest(F.col(f"_p_{f}"), tokens), vocab.TOLERANCE[f])
         else:
-            judged = score_text(F.col(f"_g_{f}"), norm(f), F.get("_s", texts.index(f)))
-        scored = score_guard(g(f), value(f), judged)
-        entries.append(
-            F.struct(
-                F.lit(f).alias("field_key"),
-                scored["match_status"].alias("match_status"),
-                scored["similarity"].alias("similarity"),
-            )
+            judged = score_text(F.col(f"_g_{f}"), norm(f), similarity[f])
+        entry = lambda r: F.struct(
+            F.lit(f).alias("field_key"),
+            r["match_status"].alias("match_status"),
+            r["similarity"].alias("similarity"),
         )
-    df = df.withColumn("scores", F.array(*entries))
-    return df.select(*rows.columns, "scores")
+        entries.append(let(entry, r=score_guard(g(f), value(f), judged)))
+    return df.select(*rows.columns, F.array(*entries).alias("scores"))
 
 
 def score_readings(

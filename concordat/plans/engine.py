@@ -18,7 +18,7 @@ from concordat.functions.measures import measures_by_line, parse_numeric
 from concordat.functions.similarity import (
     best_similarities, levenshtein_similarity, pairwise_similarities,
 )
-from concordat.functions.text import has_value, normalize_text
+from concordat.functions.text import has_value, let, normalize_text
 from concordat.operators import readings as rd
 from concordat.operators.catalog import class_status, class_verdict, keyword_mask
 from concordat.operators.compare import (
@@ -85,37 +85,40 @@ def register_strategy(name: str, build: Strategy) -> None:
 
 
 def _compare_sources(field: str, note: str | None) -> Column:
-    filed = F.col(field)
     ocr, llm = F.col(f"ocr_{field}"), F.col(f"llm_{field}")
     if note is not None:
         ocr, llm = soften(ocr, note), soften(llm, note)
-    has_ocr, has_llm = F.col("has_ocr"), has_value(f"ai_{field}")
-    none = F.when(has_value(filed), outcome("MISSING", None, REVIEW, "not found on the label")).otherwise(
+    none = F.when(has_value(field), outcome("MISSING", None, REVIEW, "not found on the label")).otherwise(
         outcome("UNVERIFIABLE", None, REVIEW, "nothing was filed for this field")
     )
-    verdict = F.when(
-        has_ocr | has_llm,
-        agree_columns([F.when(has_ocr, ocr["verdict"]), F.when(has_llm, llm["verdict"])]),
-    ).otherwise(none["verdict"])
-    detail = F.when(
-        has_ocr | has_llm,
-        F.concat_ws(
+    nothing = F.lit(None).cast("string")
+
+    def combine(ocr, llm, none, has_ocr, has_llm, filed, text, value, ocr_id, llm_id):
+        any_read = has_ocr | has_llm
+        agreed = agree_columns([F.when(has_ocr, ocr["verdict"]), F.when(has_llm, llm["verdict"])])
+        notes = F.concat_ws(
             " | ",
             F.when(has_ocr, F.concat(F.lit("OCR: "), ocr["detail"])),
             F.when(has_llm, F.concat(F.lit("AI: "), llm["detail"])),
-        ),
-    ).otherwise(none["detail"])
-    rows = F.array_compact(
-        F.array(
-            F.when(has_ocr, comparison("ocr", F.col("ocr_id"), filed, F.col("text"), ocr["match_status"], ocr["similarity"])),
-            F.when(has_llm, comparison("llm", F.col("llm_id"), filed, F.col(f"ai_{field}"), llm["match_status"], llm["similarity"])),
-            F.when(
-                ~has_ocr & ~has_llm,
-                comparison(F.lit(None).cast("string"), F.lit(None), filed, F.lit(None).cast("string"), none["match_status"], F.lit(None)),
-            ),
         )
+        rows = F.array_compact(
+            F.array(
+                F.when(has_ocr, comparison("ocr", ocr_id, filed, text, ocr["match_status"], ocr["similarity"])),
+                F.when(has_llm, comparison("llm", llm_id, filed, value, llm["match_status"], llm["similarity"])),
+                F.when(~any_read, comparison(nothing, nothing, filed, nothing, none["match_status"], F.lit(None))),
+            )
+        )
+        return result(
+            F.when(any_read, agreed).otherwise(none["verdict"]),
+            F.when(any_read, notes).otherwise(none["detail"]),
+            rows,
+        )
+
+    return let(
+        combine, ocr=ocr, llm=llm, none=none, has_ocr=F.col("has_ocr"), has_llm=has_value(f"ai_{field}"),
+        filed=F.col(field), text=F.col("text"), value=F.col(f"ai_{field}"),
+        ocr_id=F.col("ocr_id"), llm_id=F.col("llm_id"),
     )
-    return result(verdict, detail, rows)
 
 
 def _field_match(rule: Rule, ev: Evidence) -> Column:

@@ -82,20 +82,20 @@ def scored(spark, sf, method="levenshtein"):
 
 @query("field_outcomes", f"{SCORED_SQL} select engine_name, image_variant, field_key, {COUNTS} from f group by all")
 def field_outcomes(spark, sf):
-    rows = scored(spark, sf).select(*KEYS, F.inline("scores"))
+    rows = scored(spark, sf).select(*KEYS, F.inline_outer("scores"))
     return sc.field_outcomes(rows, KEYS)
 
 
 @query("match_rate", f"{SCORED_SQL} select engine_name, image_variant, field_key, {RATE.replace('sum(', '(')} as match_rate from (select engine_name, image_variant, field_key, {COUNTS} from f group by all)")
 def match_rate(spark, sf):
-    rows = scored(spark, sf).select(*KEYS, F.inline("scores"))
+    rows = scored(spark, sf).select(*KEYS, F.inline_outer("scores"))
     out = sc.match_rate(sc.field_outcomes(rows, KEYS))
     return out.select(*KEYS, "field_key", F.round("match_rate", 8).alias("match_rate"))
 
 
 @query("overall_rate", f"{SCORED_SQL} select engine_name, image_variant, {RATE} as field_match_rate, sum(unverifiable)::bigint as unverifiable from (select engine_name, image_variant, field_key, {COUNTS} from f group by all) group by 1, 2")
 def overall_rate(spark, sf):
-    rows = scored(spark, sf).select(*KEYS, F.inline("scores"))
+    rows = scored(spark, sf).select(*KEYS, F.inline_outer("scores"))
     out = sc.overall_rate(sc.field_outcomes(rows, KEYS), KEYS)
     return out.withColumn("field_match_rate", F.round("field_match_rate", 8))
 
