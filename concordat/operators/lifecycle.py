@@ -78,13 +78,17 @@ def _replay(pdf: pd.DataFrame, state: str | None) -> pd.DataFrame:
     )
 
 
+def _micros() -> Column:
+    return F.unix_micros(F.col("occurred_at").cast("timestamp")).cast("double")
+
+
 def _slices(events: DataFrame, slice_rows: int) -> list:
     """Cut points in time so that a slice holds about ``slice_rows`` events."""
     wanted = max(1, events.count() // slice_rows)
     if wanted == 1:
         return []
     shares = [i / wanted for i in range(1, wanted)]
-    micros = events.select(F.unix_micros("occurred_at").cast("double").alias("t"))
+    micros = events.select(_micros().alias("t"))
     return sorted(set(micros.approxQuantile("t", shares, 0.1 / wanted)))
 
 
@@ -104,8 +108,8 @@ def lifecycle(events: DataFrame, slice_rows: int = 1_000_000) -> DataFrame:
     cuts = _slices(e, slice_rows)
     if not cuts:
         return e.groupBy("submission_id").applyInPandas(lambda pdf: _replay(pdf, None), RESULT)
-    micros = F.unix_micros("occurred_at").cast("double")
-    e = e.withColumn("slice", F.size(F.filter(F.lit(cuts), lambda c: c <= micros)))
+    e = e.withColumn("_t", _micros())
+    e = e.withColumn("slice", F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("_t")))).drop("_t")
 
     def chart(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["occurred_at", "event_id"], kind="stable")
@@ -164,8 +168,9 @@ def current_status(folded: DataFrame) -> DataFrame:
 def stuck(events: DataFrame, timeout: str, now: Column | None = None) -> DataFrame:
     """Submissions whose last event left them in PROCESSING for longer than
     ``timeout``, with the rescue row to append."""
+    moved = F.when(F.col("to_status").isNotNull(), F.struct("occurred_at", "event_id"))
     last = events.groupBy("submission_id").agg(
-        F.max_by("to_status", F.struct("occurred_at", "event_id")).alias("status"),
+        F.max_by("to_status", moved).alias("status"),
         F.max("occurred_at").alias("since"),
     )
     clock = F.current_timestamp() if now is None else now

@@ -205,10 +205,14 @@ def accuracy(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     Field outcomes are counted inside the row first, so the shuffle carries one
     partial row per extractor and task.
     """
-    hits = lambda name: F.size(F.filter("scores", lambda x: x["match_status"] == name))
-    aggs = [F.sum(hits(name)).alias(name.lower()) for name in vocab.MATCH_STATUSES]
+    def count(scores):
+        hits = lambda name: F.size(F.filter(scores, lambda x: x["match_status"] == name))
+        return F.struct(*[hits(name).alias(name.lower()) for name in vocab.MATCH_STATUSES])
+
+    counted = scored.select(*by, let(count, scores=F.col("scores")).alias("_h"), "statement")
+    aggs = [F.sum(f"_h.{name.lower()}").alias(name.lower()) for name in vocab.MATCH_STATUSES]
     s = F.col("statement")
-    out = scored.groupBy(*by).agg(
+    out = counted.groupBy(*by).agg(
         *aggs,
         F.count(F.lit(1)).alias("readings"),
         F.avg(s["present"].cast("double")).alias("presence_rate"),
