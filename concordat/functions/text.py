@@ -17,14 +17,18 @@ from pyspark.sql import types as T
 
 # The blank characters, quote pairs and trailing marks that the
 # comparison form ignores.
-BLANKS = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+ODD_BLANKS = "\\t\\n\\x0b\\f\\r\\x1c\\x1d\\x1e\\x1f\\x85\\xa0"
 STRAIGHT_QUOTES = {"‘": "'", "’": "'", "“": '"', "”": '"', "′": "'", "″": '"'}
 TRAILING_MARKS = ".,;:!?…'\" "
 
 ASCII_ONLY = "^[\\x00-\\x7F]*$"
+# The regex engine tests listed Latin characters by table and \\p{Z} by category,
+# which is far cheaper than a chain of ranges.  \\p{Z} covers the blanks above 0xff.
+BLANKS = f" {ODD_BLANKS}\\p{{Z}}"
 _RUN_OF_BLANKS = f"[{BLANKS}]+"
-# Only the runs that are not a single space already.
-_ODD_BLANKS = f"[{BLANKS}]{{2,}}|[{BLANKS.replace('x20', 'x1f')}]"
+# Runs that are not a single space already, in ASCII text and in any text.
+_ASCII_RUN = "[\\t\\n\\x0b\\f\\r\\x1c\\x1d\\x1e\\x1f][\\t\\n\\x0b\\f\\r\\x1c\\x1d\\x1e\\x1f ]*| [\\t\\n\\x0b\\f\\r\\x1c\\x1d\\x1e\\x1f ]+"
+_ODD_RUN = f"[{ODD_BLANKS}[\\p{{Z}}&&[^ ]]][{BLANKS}]*| [{BLANKS}]+"
 LINE_BREAKS = "(?:\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029])"
 _PY_LINE_BREAK = re.compile(LINE_BREAKS)
 _QUOTE_TABLE = str.maketrans(STRAIGHT_QUOTES)
@@ -58,7 +62,12 @@ def nullify_blank(col: Column | str) -> Column:
 
 def collapse_ws(col: Column | str) -> Column:
     """Runs of blanks become one space; the ends are trimmed; case is kept."""
-    return F.trim(F.regexp_replace(_as_col(col), _ODD_BLANKS, " "))
+    c = _as_col(col)
+    return F.trim(
+        F.when(is_ascii(c), F.regexp_replace(c, _ASCII_RUN, " ")).otherwise(
+            F.regexp_replace(c, _ODD_RUN, " ")
+        )
+    )
 
 
 def dehyphenate(col: Column | str) -> Column:

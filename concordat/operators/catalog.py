@@ -167,19 +167,17 @@ def catalog_hits(
     phrases = catalog.select(phrase).distinct().withColumn(
         "_key", F.substring_index(key(F.col(phrase)), " ", max_words)
     )
-    words = F.regexp_extract_all(F.col("_t"), F.lit("(?U)(\\w+)"), F.lit(1))
-    runs = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(max_words)),
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))),
-                    lambda i: F.array_join(F.slice("_w", i, n), " "),
-                ),
-            )
+    def runs_of(words):
+        of_length = lambda n: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))),
+            lambda i: F.array_join(F.slice(words, i, n), " "),
         )
-    )
-    t = texts.select(text_id, normalize_text(text).alias("_t")).withColumn("_w", words)
+        if max_words == 1:
+            return F.array_distinct(words)
+        return F.array_distinct(F.flatten(F.array(*[of_length(F.lit(n)) for n in range(1, max_words + 1)])))
+
+    t = texts.select(text_id, normalize_text(text).alias("_t"))
+    runs = let(runs_of, words=F.regexp_extract_all(F.col("_t"), F.lit("(?U)(\\w+)"), F.lit(1)))
     # The pattern mirrors `phrase_pattern` for a phrase that arrives as data.
     quoted = F.regexp_replace(F.col(phrase), "([\\\\.\\[\\]{}()*+?^$|])", "\\\\$1")
     pattern = F.concat(F.lit("(?U)\\b"), F.regexp_replace(quoted, " ", "[\\\\s-]+"), F.lit("\\b"))

@@ -283,13 +283,12 @@ GRAM = 5
 
 def _word_grams(text: Column, n: int) -> Column:
     """Hashes of all runs of ``n`` words of normalized text."""
-    words = F.split(text, " ")
-    last = F.size(words) - n + 1
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-        lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")),
-    )
-    return F.when(last > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+    def runs(words):
+        starts = F.sequence(F.lit(1), F.size(words) - n + 1)
+        hashed = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
+        return F.when(F.size(words) >= n, F.array_distinct(hashed))
+
+    return let(runs, words=F.split(text, " "))
 
 
 def statement_hits(
@@ -338,11 +337,14 @@ def _short_hits(t: DataFrame, s: DataFrame, text_id: str, statement_id: str) ->
     for n in (1, 2, 3):
         part = s.filter(F.length("_s") == n if n < 3 else F.length("_s") >= 3)
         keys = part.select(statement_id, "_s", F.left("_s", F.lit(n)).alias("_g"))
-        grams = F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length("_t") - n + 1, F.lit(1))),
-                lambda i: F.substring(F.col("_t"), i, F.lit(n)),
-            )
+        grams = let(
+            lambda t: F.array_distinct(
+                F.transform(
+                    F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))),
+                    lambda i: F.substring(t, i, F.lit(n)),
+                )
+            ),
+            t=F.col("_t"),
         )
         pairs = (
             t.select(text_id, F.explode(grams).alias("_g"))

@@ -86,12 +86,12 @@ def test_normalize_field(spark):
 
 
 def test_pick_abv_and_size(spark):
-    texts = ["30% off\nAlc. 12% by vol", "100% natural", "45%\nAlc./Vol.", "serving 50 ml NET 750 ml 10 ml", "1.75 L", "-750 ml", "12 liters"]
+    texts = ["30% off every case you buy this week\nAlc. 12% by vol", "100% natural", "45%\nAlc./Vol.", "NET 750 ml, and you may pour servings of 50 ml", "1.75 L", "-750 ml", "12 liters"]
     df = spark.createDataFrame([(t,) for t in texts], "v string").withColumn("t", ms.unit_tokens("v", spans=True))
     rows = df.select(ms.pick_abv(F.col("t"), "v").alias("abv"), ms.pick_size_ml(F.col("t")).alias("ml"), "t").collect()
     assert [r.abv for r in rows] == [Decimal(12), None, Decimal(45), None, None, None, None]
     assert [r.ml for r in rows] == [None, None, None, Decimal(750), Decimal(1750), None, None]
-    assert [(t.start, t.end) for t in rows[0].t] == [(0, 3), (13, 16)]
+    assert [(t.start, t.end) for t in rows[0].t] == [(0, 3), (42, 45)]
 
 
 def test_json_scalar(spark):

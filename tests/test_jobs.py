@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 from decimal import Decimal
 
 import pytest
@@ -208,12 +209,20 @@ def test_lifecycle_slices_and_stream_agree(spark):
 
 
 def test_stuck_submissions_are_rescued_on_the_stream(spark):
-    rows = [(1, 1, 0, "SEEDED", "RECEIVED"), (1, 2, 60, "OCR_STARTED", "PROCESSING"), (2, 3, 86_400, "SEEDED", "RECEIVED")]
-    df = spark.createDataFrame(rows, "submission_id bigint, event_id bigint, t bigint, event_type string, to_status string")
-    df = df.select("submission_id", "event_id", F.timestamp_seconds("t").alias("occurred_at"), "event_type", "to_status")
+    rows = [
+        [(1, 1, 0, "SEEDED", "RECEIVED"), (1, 2, 60, "OCR_STARTED", "PROCESSING")],
+        [(2, 3, 86_400, "SEEDED", "RECEIVED")],
+        [(3, 4, 90_000, "SEEDED", "RECEIVED")],
+    ]
     path = work_dir(spark, "stuck")
-    df.coalesce(1).write.parquet(path)
-    stream = lifecycle_stream(si.read_files(spark, path, df.schema), delay="1 minute", rescue_after_ms=3_600_000)
-    out = si.run_to_end(stream, work_dir(spark, "rescued"))
+    schema = None
+    for batch in rows:
+        df = spark.createDataFrame(batch, "submission_id bigint, event_id bigint, t bigint, event_type string, to_status string")
+        df = df.select("submission_id", "event_id", F.timestamp_seconds("t").alias("occurred_at"), "event_type", "to_status")
+        df.coalesce(1).write.mode("append").parquet(path)
+        schema = df.schema
+        time.sleep(1.1)  # files are read in the order of their times
+    source = si.read_files(spark, path, schema, files_per_trigger=1)
+    out = si.run_to_end(lifecycle_stream(source, delay="1 minute", rescue_after_ms=3_600_000), work_dir(spark, "rescued"))
     got = spark.read.parquet(out).filter("event_id = -1").collect()
     assert [(r.submission_id, r.from_status, r.to_status) for r in got] == [(1, "PROCESSING", "READY_FOR_REVIEW")]
