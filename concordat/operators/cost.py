@@ -122,8 +122,8 @@ def is_local(llm: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def with_price(costs: DataFrame, prices: DataFrame) -> DataFrame:
-    """Price columns by model; the price list is a short maintained table."""
-    return costs.join(F.broadcast(prices), "model_id", "left")
+    """Price columns by model, NULL where a model has no price."""
+    return costs.join(prices, "model_id", "left")
 
 
 def _money(mean: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -78,7 +77,3 @@ def overwrite_keys(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Old rows of keys that are not written again, plus all new rows."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
-
-def next_value_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    rank = W.partitionBy(key).orderBy(order)
-    return df.withColumn("n", F.row_number().over(rank))

@@ -25,10 +25,6 @@ def in_range(col: str, low=None, high=None) -> Column:
     return F.col(col).isNull() | ok
 
 
-#: The constraints of each table, by name.
-CONSTRAINTS: dict[str, dict[str, Column]] = {}
-
-
 def table_constraints(table: str) -> dict[str, Column]:
     """Named predicates that every row of ``table`` must satisfy."""
     non_negative = lambda *cols: {f"{c}_not_negative": in_range(c, 0) for c in cols}

@@ -162,7 +162,7 @@ def patch(df: DataFrame, overrides: DataFrame, key: str = "ttb_id") -> DataFrame
     """Rows with the values of an override table, a short hand-kept list."""
     named = [c for c in overrides.columns if c != key]
     o = overrides.select(key, *[F.col(c).alias(f"_o_{c}") for c in named])
-    joined = df.join(F.broadcast(o), key, "left")
+    joined = df.join(o, key, "left")
     source = {c: [f"_o_{c}"] if c in named else [] for c in df.columns}
     for filed, gold in MIRRORED.items():
         if filed in named and gold in source:
