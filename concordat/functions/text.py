@@ -21,7 +21,7 @@ ODD_BLANKS = "\\t\\n\\x0b\\f\\r\\x1c\\x1d\\x1e\\x1f\\x85\\xa0"
 STRAIGHT_QUOTES = {"‘": "'", "’": "'", "“": '"', "”": '"', "′": "'", "″": '"'}
 TRAILING_MARKS = ".,;:!?…'\" "
 
-# \\z and not $, which also matches before a final line separator such as U+2028.
+# \z and not $, which also matches before a final line separator such as U+2028.
 ASCII_ONLY = "^[\\x00-\\x7F]*\\z"
 # The regex engine tests listed Latin characters by table and \\p{Z} by category,
 # which is far cheaper than a chain of ranges.  \\p{Z} covers the blanks above 0xff.

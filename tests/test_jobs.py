@@ -218,7 +218,7 @@ def test_stuck_submissions_are_rescued_on_the_stream(spark):
     schema = None
     for batch in rows:
         df = spark.createDataFrame(batch, "submission_id bigint, event_id bigint, t bigint, event_type string, to_status string")
-        df = df.select("submission_id", "event_id", F.timestamp_seconds("t").alias("occurred_at"), "event_type", "to_status")
+        df = df.select("submission_id", "event_id", F.timestamp_seconds(F.col("t") + 1_700_000_000).alias("occurred_at"), "event_type", "to_status")
         df.coalesce(1).write.mode("append").parquet(path)
         schema = df.schema
         time.sleep(1.1)  # files are read in the order of their times
