@@ -57,11 +57,14 @@ def best_ratio(needle: str | None, text: str | None) -> float | None:
     best = 0.0
     if size and len(words) > size:
         bounds = window_bounds(needle, words, size)
+        rated = set()  # repeated readings repeat their windows
         for i in np.argsort(-bounds, kind="stable"):
             if bounds[i] <= best:
                 break
             window = " ".join(words[i : i + size])
-            best = max(best, SequenceMatcher(None, needle, window).ratio())
+            if window not in rated:
+                rated.add(window)
+                best = max(best, SequenceMatcher(None, needle, window).ratio())
     whole = SequenceMatcher(None, needle, text)
     if whole.real_quick_ratio() > best and whole.quick_ratio() > best:
         best = max(best, whole.ratio())
