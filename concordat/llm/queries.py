@@ -29,3 +29,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from concordat.llm.tokenfiles import token_files
 
     return token_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+@query
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordat.llm.bpe import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), keep=False)
