@@ -36,3 +36,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from concordat.llm.bpe import encode_decode
 
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), keep=False)
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordat.llm.warc import capture_history
+
+    history = capture_history(table(spark, sf_dir, "pages"))
+    return history.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "range_no", "position"
+    )
