@@ -46,3 +46,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "range_no", "position"
     )
+
+
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordat.llm.quality_rules import quality_rules
+
+    judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
