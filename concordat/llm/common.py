@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def words_of(text: str) -> list[bytes]:
 def slices(batches: Iterator[pa.RecordBatch], weight: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose ``weight`` column (text or binary) holds about ``limit`` bytes."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(weight)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(weight)).fill_null(0).to_pylist()
         start = total = 0
         for i, size in enumerate(sizes):
             if i > start and total + size > limit:

@@ -56,3 +56,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
     )
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordat.llm.toxicity import held_out, toxicity_scores
+
+    scored = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out())
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence")
+
+
+@query
+def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordat.llm.ranking import held_out, quality_scores
+
+    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out())
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")

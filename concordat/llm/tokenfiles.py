@@ -33,7 +33,9 @@ BLOCK = 4096
 #: Ids after which a segment is closed; a longer document makes a longer segment.
 SEGMENT_IDS = 1 << 19
 #: Distinct text chunks whose ids a Python worker remembers.
-MEMORY_CHUNKS = 400_000
+MEMORY_CHUNKS = 300_000
+#: Distinct pieces of chunks that it remembers.
+MEMORY_PIECES = 700_000
 DOCUMENT_END = 0
 
 SEGMENT_SCHEMA = (
@@ -41,42 +43,46 @@ SEGMENT_SCHEMA = (
 )
 
 
+_BITS_16 = np.array([v.bit_length() for v in range(1 << 16)], np.uint8)
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
-    """Bits that each value needs, exactly, also above 2**53."""
-    bits = np.zeros(len(values), np.uint8)
-    rest = values.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        high = rest >= np.uint64(1) << np.uint64(step)
-        bits[high] += np.uint8(step)
-        rest[high] >>= np.uint64(step)
-    return bits + (rest > 0)
+    """Bits that each value needs."""
+    bits, rest = _BITS_16[values & np.uint64(0xFFFF)], values >> np.uint64(16)
+    base = 16
+    while rest.any():
+        bits = np.where(rest > 0, base + _BITS_16[rest & np.uint64(0xFFFF)], bits).astype(np.uint8)
+        base, rest = base + 16, rest >> np.uint64(16)
+    return bits
+
+
+def _widest(need: np.ndarray) -> np.ndarray:
+    """For every place of every block (row) the selector that packs most ids from there on."""
+    best = np.full(need.shape, ESCAPE, np.uint8)
+    most = {1: need}
+    for s in range(len(SELECTORS) - 1, -1, -1):
+        count, bits = SELECTORS[s]
+        if count > 1:
+            # Maxima over ``count`` places from those over two shorter, overlapping runs.
+            half = max(c for c in most if 2 * c >= count and c < count) if count > 2 else 1
+            most[count] = np.maximum(most[half][:, : need.shape[1] - count + 1], most[half][:, count - half :])
+        best[:, : need.shape[1] - count + 1][most[count] <= bits] = s
+    return best
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words for ``values`` (uint64) and, for every block, the index of its first word.
+    """Words for ``values`` and, for every block, the index of its first word.
 
-    No word crosses a block, so each block decodes alone.  The widest selector that fits
-    is found for every position by sliding maxima; the words then hop from one to the next.
+    No word crosses a block, so each block decodes alone.  The selector that packs most is
+    found for every place at once; the words then hop from one place to the next.
     """
     values = np.ascontiguousarray(values, np.uint64)
     n = len(values)
     if n == 0:
         return np.zeros(0, "<u8"), np.zeros(0, np.int32)
-    need = _bits(values)
-    # No id is left uncovered: the last selector that fits is overwritten by denser ones.
-    best = np.full(n, ESCAPE, np.uint8)
-    room = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n))
-    for s in range(len(SELECTORS) - 1, -1, -1):
-        count, bits = SELECTORS[s]
-        if count > n:
-            continue
-        fits = np.flatnonzero((need <= bits) & (room >= count)) if count == 1 else None
-        if count == 1:
-            best[fits] = s
-            continue
-        wide = np.concatenate(([0], np.cumsum(need > bits, dtype=np.int64)))
-        clear = wide[count:] == wide[:-count]
-        best[: n - count + 1][clear & (room[: n - count + 1] >= count)] = s
+    need = np.full(-(-n // BLOCK) * BLOCK, 255, np.uint8)
+    need[:n] = _bits(values)
+    best = _widest(need.reshape(-1, BLOCK)).ravel()[:n]
     hop = np.array([c for c, _ in SELECTORS] + [1], np.int64)[best].tolist()
     starts, at = [], 0
     while at < n:
@@ -144,9 +150,9 @@ class ChunkEncoder(dict):
     """Ids of texts by a ``tokenizers`` file, remembering chunks between single blanks.
 
     A byte-level pre-tokenizer never joins pieces across a single blank with a non-blank on
-    both sides; the blank goes with what follows.  So a text is cut there and every distinct
-    chunk is given to the library once.  Texts with other runs of blanks or with an added
-    token's string in them go to the library whole.
+    both sides; the blank goes with what follows.  So a text is cut there, and the library's
+    pre-tokenizer and model see every distinct chunk and piece once.  Texts with other runs of
+    blanks or with an added token's string in them go to the library whole.
     """
 
     def __init__(self, path: str, memory: int = MEMORY_CHUNKS):
@@ -154,17 +160,26 @@ class ChunkEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory = memory
+        self.split, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model
+        self.memory, self.pieces = memory, {}
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r"\s\s", r"\A\s", r"\s\Z", *map(re.escape, added)]))
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) >= MEMORY_PIECES:
+                self.pieces.clear()
+            found = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+        return found
+
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.memory:
             self.clear()
-        out = self[chunk] = self.ids(" " + chunk)
+        out = self[chunk] = b"".join([self._piece(p) for p, _ in self.split(" " + chunk)])
         return out
 
     def encode(self, text: str) -> bytes:
