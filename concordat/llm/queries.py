@@ -72,3 +72,11 @@ def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out())
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordat.llm.hmm import held_out, language_model_scores
+
+    scored = language_model_scores(table(spark, sf_dir, "documents"), ~held_out())
+    return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
