@@ -80,3 +80,10 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scored = language_model_scores(table(spark, sf_dir, "documents"), ~held_out())
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordat.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
