@@ -29,9 +29,10 @@ FIT_DOCUMENTS = 1000
 RANK = 128
 OVERSAMPLE = 8
 POWER_STEPS = 2
+ITEM_WEIGHT = 4
 #: Words of a block; passages start at every block and have as many blocks as items need.
 BLOCK = 8
-COSINE = 0.6
+COSINE = 0.55
 #: Blocks whose passages are compared at once.
 PART = 4096
 #: Share of an item's words that must stand in the passage in order.
@@ -183,7 +184,8 @@ def _passages(texts: DataFrame, terms: dict[bytes, int], size: int, total: int)
 def singular_vectors(passages: DataFrame, own: list[list[int]], weights: np.ndarray) -> np.ndarray:
     """Leading right singular vectors (terms x ``RANK``) of the unit TF-IDF rows of ``passages``
     and of the items ``own``: a random start, then power steps, each one job in which every
-    partition adds up its share of A'AQ."""
+    partition adds up its share of A'AQ.  Items weigh ``ITEM_WEIGHT`` times the passages in
+    sum, so that the basis keeps apart what is asked for."""
     d = len(weights)
     width = min(RANK + OVERSAMPLE, d)
     rng = np.random.default_rng(11)
@@ -207,11 +209,12 @@ def singular_vectors(passages: DataFrame, own: list[list[int]], weights: np.ndar
                 total += product(batch.column(0).to_pylist(), q)
             yield pa.RecordBatch.from_pydict({"part": pa.array([total.tobytes()], pa.binary())})
 
-        total = product(own, q)
+        total = item_weight * product(own, q)
         for row in passages.coalesce(8).mapInArrow(run, "part binary").toLocalIterator():
             total += np.frombuffer(bytes(row["part"])).reshape(q.shape)
         return total
 
+    item_weight = ITEM_WEIGHT * max(1.0, passages.count() / len(own))
     for _ in range(POWER_STEPS):
         basis = np.linalg.qr(through(basis))[0]
     values, turn = np.linalg.eigh(basis.T @ through(basis))
