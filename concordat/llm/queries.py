@@ -87,3 +87,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from concordat.llm.decontaminate import leaks
 
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordat.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))

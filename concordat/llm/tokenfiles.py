@@ -12,6 +12,7 @@ Selector 15 is an escape: the next word holds one value of up to 64 bits as it i
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from concordat.llm.bpe import byte_symbols
 from concordat.llm.common import keyed_text
 from concordat.session import work_dir
 
@@ -146,6 +148,10 @@ def read_block(words: np.ndarray, block_words: np.ndarray, block: int, n_ids: in
     return unpack(words[block_words[block] : end], min(BLOCK, n_ids - block * BLOCK))
 
 
+#: A word and the marks after it; apostrophes can open a contraction and are left out.
+_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']*)")
+
+
 class ChunkEncoder(dict):
     """Ids of texts by a ``tokenizers`` file, remembering chunks between single blanks.
 
@@ -161,32 +167,42 @@ class ChunkEncoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.split, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model
-        self.memory, self.pieces = memory, {}
+        self.memory, self.pieces, self.symbols = memory, {}, dict(enumerate(byte_symbols()))
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s\s", r"\A\s", r"\s\Z", *map(re.escape, added)]))
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
+        """Ids of a piece that the pre-tokenizer leaves whole."""
         found = self.pieces.get(piece)
         if found is None:
             if len(self.pieces) >= MEMORY_PIECES:
                 self.pieces.clear()
-            found = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+            symbols = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols)
+            found = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
         return found
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.memory:
             self.clear()
-        out = self[chunk] = b"".join([self._piece(p) for p, _ in self.split(" " + chunk)])
+        shape = _WORD_AND_MARKS.fullmatch(chunk)
+        if shape and shape[1].isalpha():
+            # A run of letters takes the blank before it, a run of marks is a piece of its own.
+            out = self._piece(" " + shape[1]) + (self._piece(shape[2]) if shape[2] else b"")
+        else:
+            spaced = " " + chunk
+            out = b"".join([self._piece(spaced[lo:hi]) for _, (lo, hi) in self.split(spaced)])
+        self[chunk] = out
         return out
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.whole.search(text):
+        # Of equal length only if every run of blanks is one blank, with none at either end.
+        if len(" ".join(text.split())) != len(text) or (self.added and "<|" in text and self.added.search(text)):
             return self.ids(text)
         first, *rest = text.split(" ")
         return self.ids(first) + b"".join(map(self.__getitem__, rest))
