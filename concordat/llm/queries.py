@@ -94,3 +94,17 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from concordat.llm.jaccard import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordat.llm.dedup import removed_bytes
+
+    return removed_bytes(table(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
