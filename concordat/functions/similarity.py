@@ -6,6 +6,7 @@ equality or containment already settled, so only the residue pays for Python.
 
 from __future__ import annotations
 
+import unicodedata
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from concordat.functions.text import STRAIGHT_QUOTES, TRAILING_MARKS
+
 DIFF_TYPE = T.ArrayType(
     T.StructType(
         [T.StructField("op", T.StringType()), T.StructField("segment", T.StringType())]
@@ -98,58 +101,80 @@ def levenshtein_similarity(a, b):
     return F.when(longest == 0, F.lit(0.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def edit_steps(expected: str, found: str) -> list[dict[str, str]]:
+    """What lies between the blocks that both texts share, and the blocks."""
+    steps, seen, read = [], 0, 0
+    for block in SequenceMatcher(a=expected, b=found, autojunk=False).get_matching_blocks():
+        lost, gained = expected[seen : block.a], found[read : block.b]
+        if lost or gained:
+            kind = "replace" if lost and gained else "delete" if lost else "insert"
+            steps.append({"op": kind, "segment": "→".join(filter(None, (lost, gained)))})
+        seen, read = block.a + block.size, block.b + block.size
+        if block.size:
+            steps.append({"op": "equal", "segment": expected[block.a : seen]})
+    return steps
+
+
 @F.pandas_udf(DIFF_TYPE)
 def char_diff(expected: pd.Series, found: pd.Series) -> pd.Series:
-    """Character edit script; a replacement shows both sides with an arrow."""
+    """Character edit script; a replacement shows both sides with an arrow.
 
-    def script(a, b):
-        if a is None or b is None:
-            return None
-        steps = []
-        for op, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            old, new = a[i:j], b[k:m]
-            shown = f"{old}→{new}" if op == "replace" else (new if op == "insert" else old)
-            steps.append({"op": op, "segment": shown})
-        return steps
+    Readings repeat, so every distinct pair of a batch is compared once.
+    """
+    pairs = pd.DataFrame({"a": expected, "b": found})
+    known = pairs.dropna().drop_duplicates()
+    scripts = {(a, b): edit_steps(a, b) for a, b in known.itertuples(index=False)}
+    return pd.Series([scripts.get(pair) for pair in pairs.itertuples(index=False, name=None)], dtype=object)
 
-    return pd.Series([script(a, b) for a, b in zip(expected, found)])
 
+_QUOTES = str.maketrans(STRAIGHT_QUOTES)
 
-@F.pandas_udf(WINDOW_TYPE)
-def best_window(needle: pd.Series, raw: pd.Series) -> pd.DataFrame:
-    """The verbatim run of words closest to ``needle`` (a comparison form).
 
-    Runs of n and n+1 words are rated; the first highest score wins.
-    """
-    import unicodedata
+def fold(text: str) -> str:
+    """The comparison form of a piece of text, but for the marks at its end."""
+    return unicodedata.normalize("NFKC", " ".join(text.split())).casefold().translate(_QUOTES)
+
 
-    from concordat.functions.text import STRAIGHT_QUOTES, TRAILING_MARKS
+def closest_run(needle: str, words: list[str]) -> tuple[int, int, float]:
+    """``(first word, words, similarity)`` of the run of words closest to ``needle``.
 
-    quotes = str.maketrans(STRAIGHT_QUOTES)
+    Runs have as many words as the needle or one more.  They are rated in order of an upper
+    bound, and rating ends when no run left can win; among equals the shorter, then the
+    earlier run wins.
+    """
+    n = max(1, len(needle.split()))
+    folded = [fold(w) for w in words]
+    lengths = np.array([len(w) for w in folded])
+    # Marks at a run's end are not compared, which can raise its bound.
+    marks = np.array([len(w) - len(w.rstrip(TRAILING_MARKS)) for w in folded])
+    runs = []
+    for size in {min(n, len(words)), min(n + 1, len(words))}:
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        width = len(needle) + ends[size:] - ends[:-size] + size - 1
+        last = np.arange(size - 1, len(words))
+        bounds = np.where(marks[last] < lengths[last], window_bounds(needle, folded, size) * width / (width - marks[last]), 1.0)
+        runs += [(-bound, size, i) for i, bound in enumerate(bounds.tolist())]
+    best = (1.0, 0, 0)
+    for negative, size, i in sorted(runs):
+        if negative > best[0] + 1e-9:
+            break
+        run = " ".join(folded[i : i + size]).rstrip(TRAILING_MARKS)
+        best = min(best, (-SequenceMatcher(None, needle, run).ratio(), size, i))
+    return best[2], best[1], -best[0]
 
-    def fold(s):
-        s = unicodedata.normalize("NFKC", " ".join(s.split())).casefold()
-        return s.translate(quotes).rstrip(TRAILING_MARKS)
 
-    windows, scores = [], []
+@F.pandas_udf(WINDOW_TYPE)
+def best_window(needle: pd.Series, raw: pd.Series) -> pd.DataFrame:
+    """The verbatim run of words closest to ``needle`` (a comparison form)."""
+    found: dict[tuple[str, str], tuple[str, float]] = {}
+    rows = []
     for key, text in zip(needle, raw):
-        words = text.split() if text is not None else []
-        if not key or not words:
-            windows.append(None)
-            scores.append(None)
+        words = text.split() if key and text else []
+        if not words:
+            rows.append((None, None))
             continue
-        n = max(1, len(key.split()))
-        top, shown = -1.0, None
-        matcher = SequenceMatcher()
-        matcher.set_seq1(key)
-        for size in sorted({min(n, len(words)), min(n + 1, len(words))}):
-            for i in range(len(words) - size + 1):
-                window = " ".join(words[i : i + size])
-                matcher.set_seq2(fold(window))
-                if matcher.real_quick_ratio() > top and matcher.quick_ratio() > top:
-                    score = matcher.ratio()
-                    if score > top:
-                        top, shown = score, window
-        windows.append(shown)
-        scores.append(top)
-    return pd.DataFrame({"window": windows, "score": scores})
+        if (key, text) not in found:
+            i, size, score = closest_run(key, words)
+            found[key, text] = " ".join(words[i : i + size]), score
+        rows.append(found[key, text])
+    return pd.DataFrame(rows, columns=["window", "score"])

@@ -33,12 +33,27 @@ def upsert(target: DataFrame, updates: DataFrame, key: str, ts: str) -> DataFram
     return joined.select(*out)
 
 
-def update_columns(target: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Existing rows with new values; an update of an unknown key does nothing."""
-    named = [c for c in updates.columns if c != key]
-    new = updates.select(key, *[F.col(c).alias(f"_new_{c}") for c in named])
+def update_columns(
+    target: DataFrame, updates: DataFrame, key: str, ts: str | None = None, sets: str | None = None
+) -> DataFrame:
+    """Existing rows with new values; an update of an unknown key does nothing.
+
+    ``sets`` names an array column that lists the columns which an update sets, also to
+    NULL; without it an update sets the columns it has a value for.  ``ts`` orders several
+    updates of a key: per column the newest that sets it counts, the largest value among
+    those without an order.
+    """
+    named = [c for c in updates.columns if c not in (key, ts, sets)]
+    chosen = {c: F.array_contains(sets, c) if sets else F.col(c).isNotNull() for c in named}
+    order = (F.col(ts),) if ts else ()
+    new = updates.groupBy(key).agg(
+        *[F.max(F.when(chosen[c], F.struct(*order, F.col(c).alias("value")))).alias(f"_new_{c}") for c in named]
+    )
     return target.join(new, key, "left").select(
-        *[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in named else F.col(c) for c in target.columns]
+        *[
+            F.when(F.col(f"_new_{c}").isNotNull(), F.col(f"_new_{c}")["value"]).otherwise(F.col(c)).alias(c) if c in named else F.col(c)
+            for c in target.columns
+        ]
     )
 
 
@@ -68,8 +83,12 @@ def compare_and_swap(
             for c in target.columns
         ]
     )
-    won = winners.select(key, *order, F.lit(True).alias("won"))
-    outcome = requests.join(won, [key, *order], "left").withColumn("won", F.coalesce("won", F.lit(False)))
+    won = winners.select(*[F.col(c).alias(f"_{c}") for c in (key, *order)], F.lit(True).alias("won"))
+    same = F.col(key) == F.col(f"_{key}")
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    outcome = requests.join(won, same, "left").drop(*[f"_{c}" for c in (key, *order)])
+    outcome = outcome.withColumn("won", F.coalesce("won", F.lit(False)))
     return new, outcome
 
 

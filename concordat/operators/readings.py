@@ -12,10 +12,6 @@ from concordat import vocab
 from concordat.functions.jsonfields import json_scalar
 from concordat.functions.text import has_value, nullify_blank
 
-#: A submission with more readings than this is not joined into one string; its
-#: readings are judged one by one and merged (see `joined_text`).  Ten images by
-#: two engines by two variants is forty.
-JOIN_ROWS = 1024
 
 
 def tokens_to_text(
@@ -183,52 +179,16 @@ def extraction_degraded(subs: DataFrame, llm: DataFrame) -> DataFrame:
     ).drop("_failed")
 
 
-def split_by_size(
-    ocr: DataFrame, key: str = "submission_id", max_rows: int = JOIN_ROWS
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(small_rows, large_rows, large_keys)`` by readings per key.
-
-    The count is a partial aggregate over the key column alone.  Normally no key
-    is large, and adaptive execution drops the large branch as empty.
-    """
-    large = ocr.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
-    large = large.select(key)
-    return ocr.join(large, key, "left_anti"), ocr.join(large, key, "left_semi"), large
-
-
-def join_small(
-    rows: DataFrame, key: str, order_id: Sequence[str], text: str = "extracted_text"
-) -> DataFrame:
-    """Texts of keys known to be small, joined by newline in id order."""
-    order = ", ".join(f"`{c}`" for c in order_id)
-    return rows.groupBy(key).agg(
-        F.expr(f"listagg(`{text}`, '\n') within group (order by {order})").alias("text")
-    )
-
-
 def joined_text(
-    ocr: DataFrame,
-    key: str = "submission_id",
-    order_id: Sequence[str] = ("id",),
-    text: str = "extracted_text",
-    max_rows: int = JOIN_ROWS,
+    ocr: DataFrame, key: str = "submission_id", order_id: Sequence[str] = ("id",), text: str = "extracted_text"
 ) -> DataFrame:
-    """``(key, part_no, text)``: a submission's texts joined by newline in order.
+    """``(key, text)``: a key's texts joined by newline in order, one row per key.
 
-    A filed label has at most ten images, so a join is short and yields part 0
-    only.  A key beyond the bound (a hot key may hold a large share of all rows)
-    is never gathered: its rows stay parts of their own, and every caller merges
-    parts with partial aggregates.
+    One scan and one exchange.  The joined text is the unit that every check reads, so it is
+    whole at every size: a phrase may straddle any two readings.
     """
-    rows = ocr.select(key, *[c for c in order_id if c not in (key, text)], text)
-    small, large, _ = split_by_size(rows, key, max_rows)
-    whole = join_small(small, key, order_id, text).select(
-        key, F.lit(0).cast("bigint").alias("part_no"), "text"
-    )
-    parts = large.select(
-        key, F.xxhash64(*order_id).alias("part_no"), F.col(text).alias("text")
-    )
-    return whole.unionByName(parts)
+    order = ", ".join(f"`{c}`" for c in order_id)
+    return ocr.groupBy(key).agg(F.expr(f"listagg(`{text}`, '\n') within group (order by {order})").alias("text"))
 
 
 def submission_text(subs: DataFrame, ocr: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -17,7 +18,12 @@ def all_keys(acc: DataFrame, cost: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def report_join(acc: DataFrame, cost: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys of either side with NULL figures where a side has none."""
-    return acc.join(cost, list(keys), "full_outer")
+    right = cost.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in cost.columns if c not in keys])
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    # A side's marker tells an absent row from one with NULL keys.
+    joined = acc.withColumn("_here", F.lit(True)).join(right, same, "full_outer")
+    named = [F.when(F.col("_here"), F.col(k)).otherwise(F.col(f"_{k}")).alias(k) for k in keys]
+    return joined.select(*named, *[c for c in acc.columns if c not in keys], *[c for c in cost.columns if c not in keys])
 
 
 def flag_best(df: DataFrame, rate: str, keys: Sequence[str]) -> DataFrame:

@@ -15,10 +15,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Heavy per-row work on a table that comes in fewer files than there are
-    cores is spread first; a table of many files is left as it is scanned."""
+    """Heavy per-row work on a table that is scanned by fewer tasks than there are
+    cores is spread first.  Such a table is at most a few scan splits; any larger one is
+    left as it is scanned."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 # --- submissions from part -----------------------------------------------------

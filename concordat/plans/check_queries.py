@@ -125,8 +125,7 @@ def closest_token(spark, sf):
 
     df = texts.join(filed, "submission_id").withColumn("f", parse_numeric("net_contents", "net_contents"))
     near = cp.closest(F.col("f"), measures_by_line("text"))
-    parts = df.select("submission_id", "part_no", near.alias("n")).filter("n is not null")
-    return parts.groupBy("submission_id").agg(F.min_by("n", F.struct("n.gap", "part_no")).alias("n")).select(
+    return df.select("submission_id", near.alias("n")).filter("n is not null").select(
         "submission_id", F.col("n.value").cast("double").alias("nearest")
     )
 

@@ -202,7 +202,7 @@ def _evaluate(rule: Rule, ev: Evidence) -> Column:
 
 
 def _judge_text(df: DataFrame, method: str, spec: Statement, needs_numbers: bool) -> DataFrame:
-    """Adds the OCR-side findings of one text (a whole join, or one part of it).
+    """Adds the OCR-side findings of a submission's joined text.
 
     Columns are added in a few steps, each a single projection.
     """
@@ -240,33 +240,6 @@ def _judge_text(df: DataFrame, method: str, spec: Statement, needs_numbers: bool
     return with_label_numbers(df) if needs_numbers else df
 
 
-def _merge_parts(df: DataFrame, kept: Sequence[str], needs_numbers: bool) -> DataFrame:
-    """One row per submission.  A submission normally has one part; the parts of
-    an oversized one meet here through partial aggregates, never as a list."""
-    quality = lambda c: F.struct(c["match_status"] == MATCH, F.coalesce(c["similarity"], F.lit(-1.0)))
-    first = F.struct(~F.col("has_ocr"), F.col("part_no"))
-    aggs = [F.any_value(c).alias(c) for c in kept]
-    aggs += [F.max_by(f"raw_{f}", quality(F.col(f"raw_{f}"))).alias(f"raw_{f}") for f in TEXT_FIELDS]
-    aggs += [F.min(f"near_{f}").alias(f"near_{f}") for f in vocab.NUMERIC_FIELDS]
-    rank = F.struct(
-        verdict_rank(F.col("ocr_statement.verdict")), F.col("ocr_statement.outcome") == "absent", "part_no"
-    )
-    aggs += [
-        F.bool_or("has_ocr").alias("has_ocr"),
-        F.bit_or("observed_mask").alias("observed_mask"),
-        F.min_by("ocr_statement", rank).alias("ocr_statement"),
-        # The first part stands for the text of an oversized submission.
-        F.min_by(F.struct("text", "text_norm"), first).alias("_t"),
-    ]
-    if needs_numbers:
-        aggs += [
-            F.min_by(c, F.when(F.col(c).isNotNull(), F.col("part_no"))).alias(c)
-            for c in ("abv", "proof", "size_ml")
-        ]
-    out = df.withColumn("part_no", F.coalesce("part_no", F.lit(0))).groupBy("id").agg(*aggs)
-    return out.select("*", "_t.text", "_t.text_norm").drop("_t")
-
-
 def _finish(df: DataFrame, method: str, spec: Statement) -> DataFrame:
     """Adds the valve, the model-side findings and the best statement."""
     no, here = F.lit(False), F.when(F.col("has_ocr"), F.lit("x"))
@@ -342,9 +315,7 @@ def gather_evidence(
     )
     base = base.join(best, "id", "left").join(model, "id", "left")
     texts = rd.joined_text(rd.ok_text(ocr), order_id=ocr_order).withColumnRenamed("submission_id", "id")
-    kept = [c for c in base.columns if c != "id"]
-    read = _judge_text(base.join(texts, "id", "left"), method, spec, needs_numbers)
-    return _finish(_merge_parts(read, kept, needs_numbers), method, spec)
+    return _finish(_judge_text(base.join(texts, "id", "left"), method, spec, needs_numbers), method, spec)
 
 
 # --- execution ------------------------------------------------------------------

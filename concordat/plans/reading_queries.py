@@ -22,7 +22,7 @@ def tokens_to_text(spark, sf):
     d = ad.spread(ad.table(spark, sf, "documents"))
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     tokens = lines.select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("word_no", "text"))
-    tokens = tokens.withColumn("pos", F.col("line_no").cast("bigint") * 10_000_000 + F.col("word_no"))
+    tokens = tokens.withColumn("pos", F.struct("line_no", "word_no"))
     return rd.tokens_to_text(tokens, "doc_id", ("line_no",))
 
 

@@ -94,13 +94,13 @@ def has_value(spark, sf):
     f"""
 select d.doc_id, b.item_id, round(levenshtein({ad.sql_one_byte(ad.sql_norm('d.text'))}, {ad.sql_one_byte(ad.sql_norm('b.text'))})
    / length({ad.sql_norm('b.text')})::double, 6) as cer
-from documents d join benchmark b on b.item_id = d.doc_id % 40
+from documents d join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark)
 """,
 )
 def edit_rate(spark, sf):
     """Edit rate of each document against one benchmark item."""
-    d = docs(spark, sf).withColumn("item_id", F.col("doc_id") % 40)
     b = ad.table(spark, sf, "benchmark").withColumnRenamed("text", "gold")
+    d = docs(spark, sf).withColumn("item_id", F.col("doc_id") % b.count())
     return d.join(b, "item_id").select("doc_id", "item_id", F.round(tx.edit_rate("text", "gold"), 6).alias("cer"))
 
 
@@ -340,6 +340,7 @@ def best_window(spark, sf):
     """The closest run of words of each document to a benchmark title."""
     from concordat.functions.similarity import best_window as window
 
-    d = docs(spark, sf).withColumn("item_id", F.col("doc_id") % 40)
-    b = ad.table(spark, sf, "benchmark").select("item_id", tx.normalize_text(F.substring_index("text", " ", 3)).alias("needle"))
+    items = ad.table(spark, sf, "benchmark")
+    d = docs(spark, sf).withColumn("item_id", F.col("doc_id") % items.count())
+    b = items.select("item_id", tx.normalize_text(F.substring_index("text", " ", 3)).alias("needle"))
     return d.join(b, "item_id").withColumn("w", window("needle", "text")).select("doc_id", "w.window", F.round("w.score", 6).alias("score"))

@@ -137,7 +137,7 @@ def clean_class(col: Column | str) -> Column:
         ),
     ).otherwise(words)
     return F.array_join(
-        F.transform(moved, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 1 << 20)))), " "
+        F.transform(moved, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2))))), " "
     )
 
 

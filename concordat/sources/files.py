@@ -245,13 +245,14 @@ def mint_keys(new: DataFrame, existing: DataFrame, order: str, key: str = "ttb_i
     """
     stem = F.coalesce(nullify_blank(key), F.lit("ENQUEUED"))
     wanted = spread_rank(new.withColumn("_stem", stem), "_stem", order, "_rank")
-    pattern = "^(.*)-ENQ([1-9]\\d{0,17})$"
+    pattern = "^(.*)-ENQ([1-9]\\d*)$"
     taken = (
         existing.select(
             F.regexp_extract(key, pattern, 1).alias("_stem"), F.regexp_extract(key, pattern, 2).alias("_n")
         )
         .filter("_n != ''")
-        .withColumn("_n", F.col("_n").cast("bigint"))
+        # A number beyond 18 digits lies above every number that is minted.
+        .withColumn("_n", F.when(F.length("_n") > 18, F.lit(10**18)).otherwise(F.col("_n").cast("bigint")))
         .join(wanted.select("_stem").distinct(), "_stem", "left_semi")
         .distinct()
     )

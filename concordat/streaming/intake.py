@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from concordat.operators.queue import oldest_ready_per_type, waiting_by_type
 from concordat.plans.engine import run_rules
 from concordat.rules import RULES, Rule
-from concordat.session import work_dir
 
 
 def read_files(
@@ -26,15 +25,16 @@ def read_files(
 
 
 def run_to_end(
-    stream: DataFrame, out: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None
+    stream: DataFrame, out: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None,
+    progress: str | None = None,
 ) -> str:
     """Process everything that is available, then stop.  Returns ``out``.
 
-    Progress is kept in the shared folder, so a restarted run continues.
+    Progress and state are kept in ``progress``, by default beside ``out``, so a further run
+    to the same output goes on where the last one ended.
     """
-    spark = stream.sparkSession
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True)
-    writer = writer.option("checkpointLocation", work_dir(spark, "progress"))
+    writer = writer.option("checkpointLocation", progress or f"{out.rstrip('/')}.progress")
     query = writer.foreachBatch(each).start() if each else writer.format("parquet").start(out)
     query.awaitTermination()
     return out
@@ -49,19 +49,29 @@ def batch_sink(out: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def earlier_batches(spark: SparkSession, path: str, columns: Sequence[str], batch_id: int) -> DataFrame | None:
+    """What the batches before ``batch_id`` have written to a batch sink; None before the first."""
+    if not batch_id:
+        return None
+    return spark.read.parquet(path).filter(F.col("batch_id") < batch_id).select(*columns)
+
+
 def stream_verify(
     stream: DataFrame, ocr: DataFrame, llm: DataFrame, out: str,
     rules: Sequence[Rule] = RULES, method: str = "sequence", ocr_order: Sequence[str] = ("id",),
 ) -> str:
-    """Verify each arriving submission once; a batch is a bounded set of files.
+    """Verify each arriving submission once ever; a batch is a bounded set of files.
 
-    The readings of a batch are cut down to its submissions before they are
-    joined, and the results of a batch land as a whole.
+    Ids that an earlier batch has verified are left out.  The readings of a batch are cut
+    down to its submissions before they are joined, and its results land as a whole.
     """
     sink = batch_sink(out)
 
     def verify(subs: DataFrame, batch_id: int) -> None:
         once = subs.dropDuplicates(["id"])
+        done = earlier_batches(subs.sparkSession, out, ["submission_id"], batch_id)
+        if done is not None:
+            once = once.join(done.withColumnRenamed("submission_id", "id"), "id", "left_anti")
         keys = once.select(F.col("id").alias("submission_id"))
         judged = run_rules(
             once,
@@ -96,12 +106,15 @@ def throughput(events: DataFrame, width: str, delay: str, ts: str = "occurred_at
 def serve_queue(stream: DataFrame, table: str, out: str) -> str:
     """Refresh the waiting counts and next items after every batch.
 
-    Arrived rows are appended to ``table``; both views are small aggregates of it.
+    Arrived rows are appended to ``table``; both views are small aggregates of the newest row
+    of every id, by batch and, within one, by ``updated_at`` where the rows have it.
     """
 
     def refresh(subs: DataFrame, batch_id: int) -> None:
         subs.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-        current = subs.sparkSession.read.schema(subs.schema).parquet(table)
+        rows = subs.sparkSession.read.parquet(table).filter(F.col("batch_id") <= batch_id)
+        newest = F.struct("batch_id", *[c for c in ("updated_at",) if c in subs.columns])
+        current = rows.groupBy("id").agg(F.max_by(F.struct(*subs.columns), newest).alias("_r")).select("_r.*")
         waiting_by_type(current).write.mode("overwrite").parquet(f"{out}/waiting")
         oldest_ready_per_type(current).write.mode("overwrite").parquet(f"{out}/next")
 

@@ -68,12 +68,19 @@ def test_run_rules(spark):
     judged.unpersist()
 
 
-def test_oversized_submissions_are_merged_from_parts(spark, monkeypatch):
-    subs, ocr, llm = frames(spark)
-    whole = as_dict(engine.run_rules(subs, ocr, llm))
-    original = rd.joined_text
-    monkeypatch.setattr(rd, "joined_text", lambda *a, **k: original(*a, **{**k, "max_rows": 1}))
-    assert as_dict(engine.run_rules(subs, ocr, llm)) == whole
+def test_a_phrase_may_straddle_readings_at_any_size(spark):
+    """Brand, measure and statement verdicts do not depend on how many readings there are."""
+    subs, ocr, llm = frames(spark, 1)
+    first = ocr.filter("submission_id = 0")
+    filler = spark.range(1000, 2500).select(
+        *[F.col("id").cast(t).alias("id") if c == "id" else F.lit(0).cast(t).alias(c) if c == "submission_id"
+          else F.lit("filler").alias(c) if c == "extracted_text" else F.lit("OK").alias(c) if c == "status"
+          else F.lit(0.99).cast(t).alias(c) if c == "confidence" else F.lit(None).cast(t).alias(c) for c, t in ocr.dtypes]
+    )
+    whole = as_dict(engine.run_rules(subs, first, llm))
+    assert as_dict(engine.run_rules(subs, first.unionByName(filler), llm)) == whole
+    texts = rd.joined_text(first.unionByName(filler))
+    assert texts.count() == 1 and texts.filter(F.contains("text", F.lit("filler\nfiller"))).count() == 1
 
 
 def test_unknown_and_broken_strategies_review(spark):
