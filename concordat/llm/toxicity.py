@@ -234,5 +234,5 @@ def toxicity_scores(
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    """The fold that no toxicity label is learned from."""
+    """The fold that no toxicity label is learned from; a NULL id is not in it."""
     return F.coalesce(fold(id_col, 5) == 0, F.lit(False))

@@ -140,7 +140,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     rows.append(
                         (run, None, headers["WARC-Date"], _page(headers["WARC-Record-ID"]), url, headers["WARC-Type"], refers and _page(refers), size, digest, offset)
                     )
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _INDEX_ARROW)], schema=_INDEX_ARROW)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _INDEX_ARROW)], schema=_INDEX_ARROW)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
     return files.mapInArrow(entries, INDEX_SCHEMA).withColumn("url_key", url_key(F.col("url")))
