@@ -24,10 +24,10 @@ def is_json_object(col: Column | str) -> Column:
     return F.coalesce(kind.startswith("OBJECT"), F.lit(False))
 
 
-def json_scalar(col: Column | str, key: str) -> Column:
+def json_scalar(col: Column | str, key: str, numbers: bool = True) -> Column:
     """A scalar member of a JSON object as text.
 
-    Text stays text and a number becomes plain decimal text; lists, objects and
+    Without ``numbers`` only text counts.  Text stays text and a number becomes plain decimal text; lists, objects and
     booleans, blanks, missing keys, other JSON and broken JSON give NULL.
     """
     v = _variant(col)
@@ -41,6 +41,7 @@ def json_scalar(col: Column | str, key: str) -> Column:
         .when(kind == "BIGINT", as_text)
         .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), fraction)
     )
+    value = value if numbers else F.when(kind == "STRING", as_text)
     return F.when(is_json_object(col), nullify_blank(value))
 
 

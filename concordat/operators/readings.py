@@ -198,11 +198,14 @@ def submission_text(subs: DataFrame, ocr: DataFrame) -> DataFrame:
 
 
 def extracted_values(llm: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """The newest extraction's fields, one column each (NULL where unusable)."""
+    """The newest extraction's fields, one column each (NULL where unusable).
+
+    A statement's transcription is text; a number there is none.
+    """
     return latest_extraction(llm).select(
         "submission_id",
         F.col("id").alias("llm_id"),
-        *[json_scalar("result_text", f).alias(f) for f in fields],
+        *[json_scalar("result_text", f, numbers=f != "government_warning").alias(f) for f in fields],
     )
 
 
