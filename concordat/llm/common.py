@@ -27,6 +27,17 @@ def fold(col: Column | str, modulus: int) -> Column:
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")) % modulus
 
 
+def first_by_hash(rows: DataFrame, key: Column, n: int, total: int, *ties: str) -> DataFrame:
+    """The ``n`` of about ``total`` rows with the smallest 64-bit hash ``key``.
+
+    Rows whose hash is not among the smallest 2n/total of all hashes are left out before they
+    are ordered, so that no task, however many there are, sends n rows of its own.
+    """
+    if total > 2 * n:
+        rows = rows.filter(key < F.lit(-(2**63) + (2**64 * 2 * n) // total))
+    return rows.orderBy(key, *ties).limit(n)
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Writes ``df`` into the shared folder and reads it back: cuts lineage for good."""
     spark = df.sparkSession

@@ -120,8 +120,11 @@ class _Forest:
         return i
 
     def join(self, i: int, others: list[int]) -> None:
+        # The smallest row of a set is its root: rows are in order of their nodes, so the sets that
+        # different groups find have few roots, and their edges repeat each other.
         for j in others:
-            self.up[self.root(j)] = self.root(i)
+            a, b = self.root(i), self.root(j)
+            self.up[max(a, b)] = min(a, b)
 
     def stars(self) -> list[tuple[int, int]]:
         return [(i, self.root(i)) for i in range(len(self.up)) if self.root(i) != i]
@@ -161,7 +164,7 @@ def _split(rows: DataFrame, parts: str, node: str) -> DataFrame:
 
 def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return rows.repartition(n, *keys).sortWithinPartitions(*keys)
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys, "node")
 
 
 def nodes_of(texts: DataFrame) -> DataFrame:

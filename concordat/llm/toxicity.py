@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.common import fold, keyed_text, slices, stored
+from concordat.llm.common import first_by_hash, fold, keyed_text, slices, stored
 
 #: Labelled rows that serve as examples, chosen by a hash of their id.
 EXAMPLES = 16_384
@@ -169,7 +169,7 @@ def learn_index(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """Index over a bounded sample of the labelled rows; the driver holds that sample alone."""
     texts = keyed_text(docs, id_col, text_col)
     given = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null")
-    chosen = stored(given.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(EXAMPLES), "toxic-sample")
+    chosen = stored(first_by_hash(given, F.xxhash64("doc_id"), EXAMPLES, given.count(), "doc_id", "y"), "toxic-sample")
     examples = stored(texts.join(F.broadcast(chosen), "doc_id"), "toxic-examples")
     sizes = {r["y"]: r["count"] for r in examples.groupBy("y").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
