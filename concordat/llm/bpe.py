@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from concordat.llm.common import keyed_text, slices
 
 #: Distinct chunks and distinct pieces whose ids a Python worker remembers.
-MEMORY_CHUNKS = 400_000
+MEMORY_CHUNKS = 250_000
 #: Chunks and pieces beyond this length are encoded but not remembered.
 MEMORY_LENGTH = 200
 # The characters of the Unicode property White_Space.
@@ -180,6 +180,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                 [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns) + 1],
             )
+        # Workers live on for other jobs, which need the room.
+        model.chunk_ids.clear()
+        model.piece_ids.clear()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return keyed_text(docs, id_col, text_col).mapInArrow(run, schema + (", ids binary, decoded string" if keep else ""))
