@@ -38,6 +38,8 @@ KEY_ROWS = 2048
 #: Nodes and shingles of a cluster's part; every pair of parts is one group.
 PART_NODES = 512
 PART_SHINGLES = 1_000_000
+#: Words whose hashes a Python worker remembers.
+MEMORY_WORDS = 150_000
 
 _MULTIPLIERS = np.random.default_rng(5).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -46,7 +48,7 @@ class _Hashes(dict):
     """64-bit hashes of words; forgets all when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > MEMORY_WORDS:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
@@ -185,6 +187,7 @@ def nodes_of(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "node", "n_shingles", "bands", "brief"]
             )
+        _hashes.clear()
 
     return texts.mapInArrow(run, "doc_id long, node binary, n_shingles int, bands array<long>, brief binary")
 
@@ -263,6 +266,7 @@ def _verified(texts: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFr
             sets = pa.array([r.tobytes() for r in rows], pa.binary())
             out = pa.RecordBatch.from_arrays([*batch.columns[:-1], sets], [*batch.schema.names[:-1], "shingles"])
             yield out.filter(pa.array(own))
+        _hashes.clear()
 
     named = with_text.select("node", "component", "parts", "copies", "brief", "text")
     named = named.mapInArrow(sets_of, "node binary, component binary, parts long, copies long, brief binary, shingles binary").dropDuplicates(["node"])
@@ -308,8 +312,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are those of ``words_of``, A-Z in lower case.  ``n_links`` counts the other documents
     whose similarity is ``THRESHOLD`` or more, copies included; ``class_id`` is the smallest
     doc_id that is reached over links.  A text without a word is its own class; one of fewer
-    than ``WORDS`` words has all of them as its one shingle.  Rows with a NULL id link as others do
-    but name no class; rows that repeat an id count as documents of their own.
+    than ``WORDS`` words has all of them as its one shingle.  A NULL id names no class, and a shingle
+    set that only rows without an id have links to its copies alone; rows that repeat an id
+    count as documents of their own.
     """
     texts = keyed_text(docs, id_col, text_col)
     rows = stored(nodes_of(texts), "near-rows")
