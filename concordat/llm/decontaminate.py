@@ -1,18 +1,22 @@
 """Benchmark passages in documents: latent semantic search, then word-order and answer checks.
 
 Passages are runs of words; their TF-IDF vectors over the benchmark's words are projected on
-the leading singular vectors of a randomised decomposition, and near items by cosine are
-candidates.  A candidate counts if the longest common subsequence of words says so, or if it
-says nearly so and the item's answer stands in the passage.  The benchmark is the query set:
-it is read in blocks of ``ITEMS``, and every passage of every document meets every block.
+the singular vectors of a block of items.  A block has as many vectors as its items need to be
+held whole, so a product with an item is the same there as over all words.  An item is a
+candidate where that product is as large as the words in order that ``check`` asks for make it
+at least, so no passage that would pass is left out.  A candidate counts if the longest common
+subsequence of words says so, or if it says nearly so and the item's answer stands in the
+passage.  The benchmark is the query set: every passage of every document meets every block.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,20 +25,21 @@ from pyspark.sql import functions as F
 
 from concordat.llm.common import keyed_text, slices, stored
 
-#: Items that one pass over the documents looks for.
-ITEMS = 20_000
-#: Documents, about, whose passages the decomposition is fitted on, chosen by a hash of their
-#: id; the items themselves are fitted on too.  All passages are searched.
-FIT_DOCUMENTS = 1000
-RANK = 128
-OVERSAMPLE = 8
-POWER_STEPS = 2
-ITEM_WEIGHT = 4
+#: Items that the driver holds at a time.
+READ_ITEMS = 20_000
+#: Items of a block, which have a space of their own.
+ITEMS = 256
+#: Blocks that one pass over the documents looks for.
+PASS_BLOCKS = 8
+#: Singular values below this share of the largest are rounding, not directions of the items.
+NULL_VALUE = 1e-7
 #: Words of a block; passages start at every block and have as many blocks as items need.
 BLOCK = 8
-COSINE = 0.55
+#: What single precision may take off a product: a share of the bound, and a length.
+ROUNDING = 0.02
+ROUNDING_LENGTH = 0.005
 #: Blocks whose passages are compared at once.
-PART = 4096
+PART = 1024
 #: Share of an item's words that must stand in the passage in order.
 LCS_SURE = 0.8
 #: The same where the item's answer, its last sentence, stands in the passage unbroken.
@@ -93,36 +98,39 @@ def as_item(item_id: int, text: str | None) -> Item | None:
     return Item(item_id, words, sentences[-1], _masks(words), blocks)
 
 
+def least_product(item: Item, weights: dict[bytes, float]) -> float:
+    """The smallest product of the item's TF-IDF vector with that of a passage that ``check``
+    accepts: of the words that have to be there, the lightest are taken."""
+    counts, answer = Counter(item.words), Counter(item.words) & Counter(item.answer)
+    weigh = {w: n * weights[w] ** 2 for w, n in counts.items()}
+
+    def lightest(words: Counter[bytes], n: int) -> float:
+        return sum(sorted(weigh[w] for w in words.elements())[: max(0, n)])
+
+    sure, some = (math.ceil(share * len(item.words) - 1e-9) for share in (LCS_SURE, LCS_WITH_ANSWER))
+    with_answer = lightest(answer, answer.total()) + lightest(counts - answer, some - answer.total())
+    return min(lightest(counts, sure), with_answer)
+
+
 @dataclass
 class Space:
-    """The projection: term numbers, weighted singular vectors, items by passage size."""
+    """The projection for a block of items: weighted singular vectors, items by passage size."""
 
-    terms: dict[bytes, int]
-    #: A row per term and a row of zeros for every other word.
+    #: The row of each term of the benchmark; terms of other blocks share a row of zeros.
+    rows: np.ndarray
     vectors: np.ndarray
-    #: Blocks of the passages, and the vectors and items compared with them.
-    sizes: list[tuple[int, np.ndarray, list[Item]]]
+    #: Blocks of the passages, and the unit vectors, least products and items compared with them.
+    sizes: list[tuple[int, np.ndarray, np.ndarray, list[Item]]]
 
-    def candidates(self, docs: list[list[bytes]]) -> Iterator[tuple[int, int, int, Item, float]]:
-        """``(document, first word, last word, item, cosine)`` of near passages.
+    def candidates(self, places: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, Item, float]]:
+        """``(document, first word, last word, item, cosine)`` of passages that may repeat an item.
 
         Block vectors are summed once; a passage is the difference of two running sums, and
         longer passages start at every second or third block.
         """
-        other = len(self.terms)
-        get = self.terms.get
-        counts = np.array([-(-len(d) // BLOCK) for d in docs], np.int64)
-        ids = np.full(int(counts.sum()) * BLOCK, other, np.int32)
-        ends = np.cumsum(counts)
-        for words, end, n in zip(docs, ends.tolist(), counts.tolist()):
-            at = (end - n) * BLOCK
-            ids[at : at + len(words)] = [get(w, other) for w in words]
-        if not len(ids):
-            return
-        places = ids.reshape(-1, BLOCK)
         # Running sums start anew in every part, so that single precision is enough.
         for lo in range(0, len(places), PART):
-            part = places[lo : lo + PART + self.sizes[-1][0]]
+            part = self.rows[places[lo : lo + PART + self.sizes[-1][0]]]
             blocks = self.vectors[part[:, 0]]
             for i in range(1, BLOCK):
                 blocks += self.vectors[part[:, i]]
@@ -131,22 +139,34 @@ class Space:
     def _near(self, blocks: np.ndarray, lo: int, n: int, counts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, Item, float]]:
         sums = np.zeros((len(blocks) + 1, blocks.shape[1]), np.float32)
         np.cumsum(blocks, axis=0, out=sums[1:])
-        for size, items, own in self.sizes:
+        for size, items, least, own in self.sizes:
             starts = np.arange(0, n, max(1, size // 4))
             owner = np.searchsorted(ends, starts + lo, side="right")
             stops = np.minimum(starts + size, ends[owner] - lo)
             windows = sums[stops] - sums[starts]
             lengths = np.sqrt(np.einsum("ij,ij->i", windows, windows))
             dots = windows @ items.T
-            near, which = np.nonzero(dots >= (COSINE * np.maximum(lengths, 1e-6))[:, None])
+            near, which = np.nonzero(dots >= least)
             for w, i in zip(near.tolist(), which.tolist()):
                 doc = int(owner[w])
                 base = int(ends[doc] - counts[doc]) - lo
                 yield doc, (int(starts[w]) - base) * BLOCK, (int(stops[w]) - base) * BLOCK, own[i], float(dots[w, i] / lengths[w])
 
 
-def _spread(texts: DataFrame, terms: dict[bytes, int]) -> tuple[np.ndarray, int]:
-    """In how many documents each term occurs, and how many documents there are: over all."""
+def numbered(docs: list[list[bytes]], terms: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term numbers of the documents' words, a row per block; blocks of each, and their ends."""
+    other = len(terms)
+    counts = np.array([-(-len(d) // BLOCK) for d in docs], np.int64)
+    ids = np.full(int(counts.sum()) * BLOCK, other, np.int32)
+    ends = np.cumsum(counts)
+    for words, end, n in zip(docs, ends.tolist(), counts.tolist()):
+        at = (end - n) * BLOCK
+        ids[at : at + len(words)] = [terms.get(w, other) for w in words]
+    return ids.reshape(-1, BLOCK), counts, ends
+
+
+def word_weights(texts: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
+    """Inverse document frequencies of the terms, over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(len(terms) + 1, np.int64)
@@ -161,85 +181,33 @@ def _spread(texts: DataFrame, terms: dict[bytes, int]) -> tuple[np.ndarray, int]
     counts = np.zeros(len(terms) + 1, np.int64)
     for row in texts.select("text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
         counts[row["i"]] = row["n"]
-    return counts[:-1], int(counts[-1])
-
-
-def _passages(texts: DataFrame, terms: dict[bytes, int], size: int, total: int) -> DataFrame:
-    """Passages of about ``FIT_DOCUMENTS`` of ``total`` documents as lists of term numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            rows = []
-            for text in batch.column(0):
-                words = words_of(text.as_py())
-                for at in range(0, len(words), size):
-                    rows.append([terms[w] for w in words[at : at + size] if w in terms])
-            yield pa.RecordBatch.from_pydict({"terms": pa.array([r for r in rows if r], pa.list_(pa.int32()))})
-
-    parts = max(1, total // FIT_DOCUMENTS)
-    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0).select("text")
-    return sample.mapInArrow(run, "terms array<int>")
-
-
-def singular_vectors(passages: DataFrame, own: list[list[int]], weights: np.ndarray) -> np.ndarray:
-    """Leading right singular vectors (terms x ``RANK``) of the unit TF-IDF rows of ``passages``
-    and of the items ``own``: a random start, then power steps, each one job in which every
-    partition adds up its share of A'AQ.  Items weigh ``ITEM_WEIGHT`` times the passages in
-    sum, so that the basis keeps apart what is asked for."""
-    d = len(weights)
-    width = min(RANK + OVERSAMPLE, d)
-    rng = np.random.default_rng(11)
-    basis = rng.standard_normal((d, width))
-
-    def product(rows: list[list[int]], q: np.ndarray) -> np.ndarray:
-        out, chunk = np.zeros_like(q), max(1, (1 << 22) // d)
-        for lo in range(0, len(rows), chunk):
-            part = rows[lo : lo + chunk]
-            dense = np.zeros((len(part), d))
-            np.add.at(dense, (np.repeat(np.arange(len(part)), [len(r) for r in part]), np.concatenate(part)), 1)
-            dense *= weights
-            dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
-            out += dense.T @ (dense @ q)
-        return out
-
-    def through(q: np.ndarray) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros_like(q)
-            for batch in batches:
-                total += product(batch.column(0).to_pylist(), q)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([total.tobytes()], pa.binary())})
-
-        total = item_weight * product(own, q)
-        for row in passages.coalesce(8).mapInArrow(run, "part binary").toLocalIterator():
-            total += np.frombuffer(bytes(row["part"])).reshape(q.shape)
-        return total
-
-    item_weight = ITEM_WEIGHT * max(1.0, passages.count() / len(own))
-    for _ in range(POWER_STEPS):
-        basis = np.linalg.qr(through(basis))[0]
-    values, turn = np.linalg.eigh(basis.T @ through(basis))
-    return basis @ turn[:, np.argsort(-values)[:RANK]]
-
-
-def latent_space(texts: DataFrame, items: list[Item]) -> Space:
-    terms: dict[bytes, int] = {}
-    for item in items:
-        for word in item.words:
-            terms.setdefault(word, len(terms))
-    frequencies, total = _spread(texts, terms)
-    weights = np.log((1 + total) / (1 + frequencies)) + 0.1
-    passages = stored(_passages(texts, terms, 48, total), "leak-sample")
-    own = [[terms[w] for w in item.words] for item in items]
-    base = singular_vectors(passages, own, weights)
-    vectors = np.zeros((len(terms) + 1, base.shape[1]), np.float32)
-    vectors[:-1] = weights[:, None] * base
+    return np.log((1 + counts[-1]) / (1 + counts[:-1])) + 0.1
+
+
+def latent_space(items: list[Item], terms: dict[bytes, int], weights: np.ndarray) -> Space:
+    """The space of one block: all singular vectors of its items' unit TF-IDF rows."""
+    own = sorted({terms[w] for i in items for w in i.words})
+    rows = np.full(len(terms) + 1, len(own), np.int32)
+    rows[own] = np.arange(len(own))
+    dense = np.zeros((len(items), len(own)))
+    for i, item in enumerate(items):
+        np.add.at(dense[i], rows[[terms[w] for w in item.words]], 1)
+    dense *= weights[own]
+    norms = np.linalg.norm(dense, axis=1)
+    dense /= norms[:, None]
+    _, values, base = np.linalg.svd(dense, full_matrices=False)
+    base = base[values > NULL_VALUE * values[0]].T
+    vectors = np.zeros((len(own) + 1, base.shape[1]), np.float32)
+    vectors[:-1] = weights[own][:, None] * base
+    unit = (dense @ base).astype(np.float32)
+    weigh = {w: float(weights[terms[w]]) for i in items for w in i.words}
+    least = np.array([least_product(i, weigh) for i in items]) / norms
+    least = (least * (1 - ROUNDING) - ROUNDING_LENGTH).astype(np.float32)
     sizes = []
     for size in sorted({i.blocks for i in items}):
-        group = [(i, p) for i, p in zip(items, own) if i.blocks == size]
-        rows = np.array([vectors[p].sum(0) for _, p in group])
-        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-        sizes.append((size, rows, [i for i, _ in group]))
-    return Space(terms, vectors, sizes)
+        at = [k for k, i in enumerate(items) if i.blocks == size]
+        sizes.append((size, unit[at], least[at], [items[k] for k in at]))
+    return Space(rows, vectors, sizes)
 
 
 LEAK_SCHEMA = "doc_id long, item_id long, cosine double, lcs double, answer_found boolean, first_word long, last_word long"
@@ -252,15 +220,16 @@ def check(passage: list[bytes], item: Item) -> tuple[float, bool, bool]:
     return share, answer, share >= LCS_SURE or answer
 
 
-def _leaks_of(texts: DataFrame, items: list[Item]) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(latent_space(texts, items))
+def _leaks_of(texts: DataFrame, terms: dict[bytes, int], spaces: list[Space]) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast((terms, spaces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = shared.value
+        terms, spaces = shared.value
         for batch in slices(batches, "text", 1 << 20):
             docs = [words_of(t.as_py()) for t in batch.column(1)]
+            places = numbered(docs, terms)
             best: dict[tuple[int, int], tuple] = {}
-            for doc, first, last, item, cosine in space.candidates(docs):
+            for doc, first, last, item, cosine in chain.from_iterable(s.candidates(*places) for s in spaces):
                 first, last = max(0, first - BLOCK), min(last + BLOCK, len(docs[doc]))
                 share, answer, leaked = check(docs[doc][first:last], item)
                 key = doc, id(item)
@@ -285,13 +254,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     texts = keyed_text(docs, id_col, text_col)
     asked = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    blocks = max(1, math.ceil(asked.count() / ITEMS))
+    parts = max(1, math.ceil(asked.count() / READ_ITEMS))
     out = docs.sparkSession.createDataFrame([], LEAK_SCHEMA)
-    for b in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        items = [i for i in (as_item(r["item_id"], r["text"]) for r in sorted(rows, key=lambda r: (str(r["item_id"]), r["text"] or ""))) if i]
-        if items:
-            out = out.unionByName(_leaks_of(texts, items))
+    for part in range(parts):
+        rows = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
+        items = [i for i in (as_item(r["item_id"], r["text"]) for r in rows) if i]
+        # Items of like size share a block, so that a block has few sizes of passages.
+        items.sort(key=lambda i: (i.blocks, str(i.item_id), i.words))
+        terms: dict[bytes, int] = {}
+        for item in items:
+            for word in item.words:
+                terms.setdefault(word, len(terms))
+        weights = word_weights(texts, terms) if items else np.zeros(0)
+        for lo in range(0, len(items), ITEMS * PASS_BLOCKS):
+            own = items[lo : lo + ITEMS * PASS_BLOCKS]
+            spaces = [latent_space(own[at : at + ITEMS], terms, weights) for at in range(0, len(own), ITEMS)]
+            out = out.unionByName(_leaks_of(texts, terms, spaces))
     return out
 
 

@@ -203,6 +203,40 @@ def test_leaks_against_all_windows(spark, documents):
     assert d.leaks(documents(rows), benchmark.filter("item_id > 80")).count() == 0
 
 
+def test_leaks_whose_words_are_the_common_ones(spark, documents):
+    from concordat.llm import decontaminate as d
+
+    # 0.6 of each item are words of every document, so what is kept of it says little of it by cosine.
+    common = [f"c{k}" for k in range(24)]
+    r = random.Random(8)
+    items = [(i, " ".join([*r.sample(common, 16), *(f"i{i}w{k}" for k in range(12))]) + ". " + " ".join(r.sample(common, 4))) for i in range(30)]
+    rows = []
+    for i in range(60):
+        item = [w for w in items[i % 30][1].split() if w[0] == "c"] if i < 30 else []
+        assert not item or d.check(d.words_of(" ".join(item)), d.as_item(*items[i]))[2]
+        rows.append((i, " ".join([*item, prose(i, 200), " ".join(sorted(common))])))
+    found = {(r.doc_id, r.item_id) for r in d.leaks(documents(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(i, i) for i in range(30)} <= found
+
+
+def test_no_leak_is_lost_among_many_items(spark, documents):
+    from concordat.llm import decontaminate as d
+
+    # No two items share a word, and other items' words stand around each planted one.
+    own = [[f"i{i}w{k}" for k in range(16 + i % 30)] for i in range(400)]
+    items = [(i, " ".join(w) + f". so i{i}x i{i}y") for i, w in enumerate(own)]
+    r, rows = random.Random(5), []
+    for i in range(80):
+        item = items[5 * i][1].split()
+        if i % 2:
+            item[: int(0.4 * len(item)) - 1] = ["changed"] * (int(0.4 * len(item)) - 1)
+        assert d.check(d.words_of(" ".join(item)), d.as_item(*items[5 * i]))[2]
+        around = [[r.choice(r.choice(own)) for _ in range(r.randint(40, 90))] for _ in range(2)]
+        rows.append((i, " ".join([*around[0], *item, *around[1]])))
+    found = {(r.doc_id, r.item_id) for r in d.leaks(documents(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(i, 5 * i) for i in range(80)}
+
+
 # 4 and 8
 
 STRANGE = ["Hello Wörld İΣΑΣ<|endoftext|>  it's 123", "a\x1cb \x1f c\x85d '''s", "日本語 😀 ½Ⅷ", "x" * 3000, "tab\tnew\n\nline ", " lead", "I'LL we've", "<|startoftext|>"]
