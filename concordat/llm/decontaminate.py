@@ -75,6 +75,11 @@ def _holds(passage: list[bytes], run: list[bytes]) -> bool:
     return bool(run) and any(passage[i : i + len(run)] == run for i in range(len(passage) - len(run) + 1))
 
 
+def stride(blocks: int) -> int:
+    """Blocks from the start of one passage to the next."""
+    return max(1, blocks // 4)
+
+
 @dataclass
 class Item:
     item_id: int
@@ -91,9 +96,10 @@ def as_item(item_id: int, text: str | None) -> Item | None:
     if not words:
         return None
     sentences = [w for w in map(words_of, _SENTENCE.split(text or "")) if w]
-    # Sizes grow by halves, so that few serve all items; a passage holds the item wherever it starts.
+    # Sizes grow by halves, so that few serve all items; wherever an item starts, some passage holds
+    # its words and a block more.
     blocks = 2
-    while blocks * BLOCK < len(words) + BLOCK * max(1, blocks // 4):
+    while blocks * BLOCK < len(words) + BLOCK * (stride(blocks) + 1):
         blocks = math.ceil(blocks * 1.5)
     return Item(item_id, words, sentences[-1], _masks(words), blocks)
 
@@ -126,7 +132,7 @@ class Space:
         """``(document, first word, last word, item, cosine)`` of passages that may repeat an item.
 
         Block vectors are summed once; a passage is the difference of two running sums, and
-        longer passages start at every second or third block.
+        the first starts where the document does, the others a ``stride`` further each.
         """
         # Running sums start anew in every part, so that single precision is enough.
         for lo in range(0, len(places), PART):
@@ -139,9 +145,11 @@ class Space:
     def _near(self, blocks: np.ndarray, lo: int, n: int, counts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, Item, float]]:
         sums = np.zeros((len(blocks) + 1, blocks.shape[1]), np.float32)
         np.cumsum(blocks, axis=0, out=sums[1:])
+        owners = np.searchsorted(ends, np.arange(lo, lo + n), side="right")
+        place = np.arange(lo, lo + n) - (ends - counts)[owners]
         for size, items, least, own in self.sizes:
-            starts = np.arange(0, n, max(1, size // 4))
-            owner = np.searchsorted(ends, starts + lo, side="right")
+            starts = np.flatnonzero(place % stride(size) == 0)
+            owner = owners[starts]
             stops = np.minimum(starts + size, ends[owner] - lo)
             windows = sums[stops] - sums[starts]
             lengths = np.sqrt(np.einsum("ij,ij->i", windows, windows))
@@ -230,7 +238,8 @@ def _leaks_of(texts: DataFrame, terms: dict[bytes, int], spaces: list[Space]) ->
             places = numbered(docs, terms)
             best: dict[tuple[int, int], tuple] = {}
             for doc, first, last, item, cosine in chain.from_iterable(s.candidates(*places) for s in spaces):
-                first, last = max(0, first - BLOCK), min(last + BLOCK, len(docs[doc]))
+                reach = stride(item.blocks) * BLOCK
+                first, last = max(0, first - reach), min(last + reach, len(docs[doc]))
                 share, answer, leaked = check(docs[doc][first:last], item)
                 key = doc, id(item)
                 if leaked and (key not in best or share > best[key][3]):

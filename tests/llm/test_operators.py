@@ -237,6 +237,23 @@ def test_no_leak_is_lost_among_many_items(spark, documents):
     assert found == {(i, 5 * i) for i in range(80)}
 
 
+def test_items_at_the_start_of_documents(spark, documents):
+    from concordat.llm import decontaminate as d
+
+    # Without their answers, the items need all their other words, wherever a batch has the documents.
+    items = [(i, prose(100 + i, n) + ". " + prose(200 + i, 4)) for i, n in enumerate((45, 70, 109))]
+    rows = []
+    for i in range(60):
+        item = items[i % 3][1].split()
+        lost = int(0.18 * len(item))
+        item[-lost:] = ["changed"] * lost
+        assert d.check(d.words_of(" ".join(item)), d.as_item(*items[i % 3]))[2]
+        rows.append((i, " ".join(item) + " " + prose(300 + i, 8 * (i % 7))))
+    docs = documents(rows).coalesce(1)
+    found = {(r.doc_id, r.item_id) for r in d.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(i, i % 3) for i in range(60)}
+
+
 # 4 and 8
 
 STRANGE = ["Hello Wörld İΣΑΣ<|endoftext|>  it's 123", "a\x1cb \x1f c\x85d '''s", "日本語 😀 ½Ⅷ", "x" * 3000, "tab\tnew\n\nline ", " lead", "I'LL we've", "<|startoftext|>"]
