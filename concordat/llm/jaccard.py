@@ -164,6 +164,12 @@ def _split(rows: DataFrame, parts: str, node: str) -> DataFrame:
     return rows.withColumn("pair", pair.cast("long")).drop("other")
 
 
+def _of_two_parts(group: pa.Table) -> bool:
+    """Whether a group is a pair of different parts, told by its number: one of them may be empty."""
+    pair, parts = (group.column(c)[0].as_py() for c in ("pair", "parts"))
+    return pair // parts != pair % parts
+
+
 def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return rows.repartition(n, *keys).sortWithinPartitions(*keys, "node")
@@ -207,7 +213,7 @@ def _likely_edges(nodes: DataFrame) -> DataFrame:
                 ids = group.column(2).to_pylist()
                 brief = np.frombuffer(b"".join(group.column(4).to_pylist()), np.uint8).reshape(n, BRIEF)
                 sizes, side = (np.array(group.column(i).to_pylist(), np.int64) for i in (3, 5))
-                mixed, forest = side.min() != side.max(), _Forest(n)
+                mixed, forest = _of_two_parts(group), _Forest(n)
                 for i in range(n - 1):
                     others = np.arange(i + 1, n)
                     found = likely(brief, sizes, i, others[side[others] != side[i]] if mixed else others)
@@ -219,7 +225,7 @@ def _likely_edges(nodes: DataFrame) -> DataFrame:
         if out:
             yield _edge_batch(out)
 
-    ready = _dealt(met.select("key", "pair", "node", "n_shingles", "brief", "side"), ["key", "pair"])
+    ready = _dealt(met.select("key", "pair", "node", "n_shingles", "brief", "side", "parts"), ["key", "pair"])
     return ready.mapInArrow(run, "a binary, b binary").distinct()
 
 
@@ -271,7 +277,7 @@ def _verified(texts: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFr
     named = with_text.select("node", "component", "parts", "copies", "brief", "text")
     named = named.mapInArrow(sets_of, "node binary, component binary, parts long, copies long, brief binary, shingles binary").dropDuplicates(["node"])
     dealt = _split(named, "parts", "node")
-    dealt = _dealt(dealt.select("component", "pair", "node", "copies", "brief", "shingles", "side"), ["component", "pair"])
+    dealt = _dealt(dealt.select("component", "pair", "node", "copies", "brief", "shingles", "side", "parts"), ["component", "pair"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 2):
@@ -280,7 +286,7 @@ def _verified(texts: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFr
             brief = np.frombuffer(b"".join(group.column(4).to_pylist()), np.uint8).reshape(n, BRIEF)
             sets = [np.frombuffer(s, np.uint64) for s in group.column(5).to_pylist()]
             side = np.array(group.column(6).to_pylist(), np.int64)
-            sizes, mixed = np.array([len(s) for s in sets]), side.min() != side.max()
+            sizes, mixed = np.array([len(s) for s in sets]), _of_two_parts(group)
             pairs = []
             for i in range(n - 1):
                 others = np.arange(i + 1, n)

@@ -478,6 +478,17 @@ def test_near_duplicates(documents, monkeypatch, parts):
     assert {r.doc_id for r in kept.collect()} == {int(c) for i, c, _ in classes_by_force(rows) if i != "None" and int(i) > 9}
 
 
+@pytest.mark.parametrize("size", [20, 40, 70])
+def test_links_are_counted_once_where_parts_are_empty(documents, monkeypatch, size):
+    from concordat.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "PART_SHINGLES", size)
+    base = prose(77, 120).split()
+    rows = [(i, " ".join(base[: 120 - 3 * i])) for i in range(3)]
+    got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in jaccard.near_duplicates(documents(rows)).collect())
+    assert got == sorted(classes_by_force(rows)) and {n for *_, n in got} == {2}
+
+
 def test_near_duplicates_of_nothing(documents):
     from concordat.llm import jaccard
 
