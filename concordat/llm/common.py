@@ -22,6 +22,21 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+#: Column of a row's own number in ``numbered_rows``.
+ROW = "_row_number"
+
+
+def numbered_rows(docs: DataFrame, purpose: str) -> DataFrame:
+    """The rows with a number each, ``ROW``, that stays the same however often they are read:
+    ids can be NULL or repeat, so what is decided of a row is told by this number."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), purpose)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``numbered_rows`` whose number is not in the one column of ``gone``."""
+    return docs.join(gone.toDF("_gone"), F.col(ROW) == F.col("_gone"), "left_anti").drop(ROW)
+
+
 def fold(col: Column | str, modulus: int) -> Column:
     """Remainder of crc32 of an id's decimal text, which deals rows into folds."""
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")) % modulus

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.common import keyed_text, slices, stored
+from concordat.llm.common import ROW, keyed_text, numbered_rows, slices, stored, without_rows
 
 #: Items that the driver holds at a time.
 READ_ITEMS = 20_000
@@ -282,7 +282,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents whose id has no leak, with all their columns; rows with a NULL id are kept."""
-    found = stored(leaks(docs, benchmark, id_col, text_col).select("doc_id").distinct(), "leaks")
-    return docs.join(found.withColumnRenamed("doc_id", "_leaked"), F.col(id_col) == F.col("_leaked"), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows without a leak, with all their columns, whatever their id."""
+    docs = numbered_rows(docs, "leak-docs")
+    return without_rows(docs, stored(leaks(docs, benchmark, ROW, text_col).select("doc_id").distinct(), "leaks"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.common import keyed_text, slices, stored, words_of
+from concordat.llm.common import ROW, keyed_text, numbered_rows, slices, stored, without_rows, words_of
 from concordat.llm.components import components
 
 WORDS = 5
@@ -176,12 +176,12 @@ def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def nodes_of(texts: DataFrame) -> DataFrame:
-    """``doc_id, node, n_shingles, bands, brief`` per text; ``node`` is NULL without a word."""
+    """``row, doc_id, hash, node, n_shingles, bands, brief`` per text; ``node`` is NULL without a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             rows = []
-            for text in batch.column(1):
+            for text in batch.column(3):
                 own = shingles(text.as_py())
                 if len(own):
                     least = min_hashes(own)
@@ -191,11 +191,12 @@ def nodes_of(texts: DataFrame) -> DataFrame:
                     rows.append((None, 0, None, None))
             kinds = (pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "node", "n_shingles", "bands", "brief"]
+                [*batch.columns[:3], *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], [*batch.schema.names[:3], "node", "n_shingles", "bands", "brief"]
             )
         _hashes.clear()
 
-    return texts.mapInArrow(run, "doc_id long, node binary, n_shingles int, bands array<long>, brief binary")
+    hashed = texts.select("row", "doc_id", F.xxhash64("text").alias("hash"), "text")
+    return hashed.mapInArrow(run, "row long, doc_id long, hash long, node binary, n_shingles int, bands array<long>, brief binary")
 
 
 def _likely_edges(nodes: DataFrame) -> DataFrame:
@@ -258,24 +259,21 @@ def _intersections(sets: list[np.ndarray], pairs: list[tuple[int, np.ndarray]])
 def _verified(texts: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFrame:
     """For every node of a cluster and group: the documents it links to, and an edge (``root``)
     for each set of linked nodes in the group."""
-    members = clusters.join(nodes.select("node", "doc_id", "n_shingles", "copies", "brief"), "node")
+    members = clusters.join(nodes.select("node", "first.row", "n_shingles", "copies", "brief"), "node")
     sizes = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("total"))
     parts = F.ceil(F.greatest(F.col("m") / PART_NODES, F.col("total") / PART_SHINGLES))
     members = members.join(sizes.select("component", parts.alias("parts")), "component")
-    with_text = members.join(texts, "doc_id")
+    with_text = members.join(texts.select("row", "text"), "row")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             rows = [shingles(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))]
-            # A repeated id brings texts of other nodes along; only the node's own text counts.
-            own = [hashlib.blake2b(r.tobytes(), digest_size=16).digest() == n for r, n in zip(rows, batch.column(0).to_pylist())]
             sets = pa.array([r.tobytes() for r in rows], pa.binary())
-            out = pa.RecordBatch.from_arrays([*batch.columns[:-1], sets], [*batch.schema.names[:-1], "shingles"])
-            yield out.filter(pa.array(own))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sets], [*batch.schema.names[:-1], "shingles"])
         _hashes.clear()
 
     named = with_text.select("node", "component", "parts", "copies", "brief", "text")
-    named = named.mapInArrow(sets_of, "node binary, component binary, parts long, copies long, brief binary, shingles binary").dropDuplicates(["node"])
+    named = named.mapInArrow(sets_of, "node binary, component binary, parts long, copies long, brief binary, shingles binary")
     dealt = _split(named, "parts", "node")
     dealt = _dealt(dealt.select("component", "pair", "node", "copies", "brief", "shingles", "side", "parts"), ["component", "pair"])
 
@@ -312,21 +310,16 @@ def _verified(texts: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFr
     return dealt.mapInArrow(run, "node binary, root binary, links long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, class_id, n_links, n_copies`` for every row of ``docs``.
-
-    Words are those of ``words_of``, A-Z in lower case.  ``n_links`` counts the other documents
-    whose similarity is ``THRESHOLD`` or more, copies included; ``class_id`` is the smallest
-    doc_id that is reached over links.  A text without a word is its own class; one of fewer
-    than ``WORDS`` words has all of them as its one shingle.  A NULL id names no class, and a shingle
-    set that only rows without an id have links to its copies alone; rows that repeat an id
-    count as documents of their own.
+def _judged(texts: DataFrame) -> DataFrame:
+    """``row, doc_id, node, first, n_links, n_copies`` per row of ``texts`` (``row, doc_id, text``);
+    ``first`` is the first row of its group: the smallest id, ties by the text's hash, then by the
+    row's number; rows without an id come last.  It is NULL for a text that is a group by itself.
     """
-    texts = keyed_text(docs, id_col, text_col)
     rows = stored(nodes_of(texts), "near-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash", "row")
     nodes = stored(
         rows.filter("node is not null").groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"),
+            F.min(order).alias("first"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"),
             F.first("bands").alias("bands"), F.first("brief").alias("brief"),
         ),
         "near-nodes",
@@ -335,21 +328,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = stored(_verified(texts, nodes, clusters), "near-links")
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    linked = nodes.select("node", "doc_id").join(groups, "node").groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    linked = groups.join(linked, "component").join(links, "node").select("node", "class_id", "links")
+    linked = nodes.select("node", "first").join(groups, "node").groupBy("component").agg(F.min("first").alias("group_first"))
+    linked = groups.join(linked, "component").join(links, "node").select("node", "group_first", "links")
     # Only nodes with copies or links differ from what a document is by itself.
-    known = nodes.select("node", "doc_id", "copies").join(linked, "node", "left").filter((F.col("copies") > 1) | F.col("links").isNotNull())
+    known = nodes.select("node", "first", "copies").join(linked, "node", "left").filter((F.col("copies") > 1) | F.col("links").isNotNull())
     known = stored(
-        known.select("node", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies")),
+        known.select("node", F.coalesce("group_first", "first").alias("first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies")),
         "near-known",
     )
-    out = rows.select("doc_id", "node").join(known, "node", "left")
+    return rows.select("row", "doc_id", "node").join(known, "node", "left")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, class_id, n_links, n_copies`` for every row of ``docs``.
+
+    Words are those of ``words_of``, A-Z in lower case.  ``n_links`` counts the other documents
+    whose similarity is ``THRESHOLD`` or more, copies included; ``class_id`` is the smallest
+    doc_id that is reached over links.  A text without a word is its own class; one of fewer
+    than ``WORDS`` words has all of them as its one shingle.  A NULL id names no class; rows
+    without an id and rows that repeat one count as documents of their own.
+    """
+    out = _judged(numbered_rows(keyed_text(docs, id_col, text_col), "near-texts").withColumnRenamed(ROW, "row"))
     zero = F.lit(0).cast("long")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_copies", zero).alias("n_copies"))
+    return out.select("doc_id", F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_copies", zero).alias("n_copies"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, with all their columns, whose document has the smallest id of its class."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = stored(found.filter("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """Of every class the first row, with all its columns: the smallest id, and one row only where
+    rows repeat that id or have none."""
+    docs = numbered_rows(docs, "near-docs")
+    texts = docs.select(F.col(ROW).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return without_rows(docs, stored(_judged(texts).filter("first.row <> row").select("row"), "near-gone"))

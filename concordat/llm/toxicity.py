@@ -205,11 +205,12 @@ def learn_index(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 
 def toxicity_scores(
-    docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+    docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    key_col: str | None = None,
 ) -> DataFrame:
     """``doc_id, score, predicted, evidence, cosines`` for every row of ``docs``.
 
-    ``learn_from`` selects rows of ``labels``.  ``evidence`` lists the nearest examples' ids.
+    ``doc_id`` is ``key_col`` where one is given.  ``learn_from`` selects rows of ``labels``.  ``evidence`` lists the nearest examples' ids.
     A text without any chosen term, as an empty or NULL one, has no evidence and the
     examples' toxic share as its score.  Repeated ids each get a score; without labels of both
     classes every text scores that share, 0 if there are none.
@@ -229,7 +230,7 @@ def toxicity_scores(
                 }
             )
 
-    scored = keyed_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, evidence array<long>, cosines array<float>")
+    scored = keyed_text(docs, key_col or id_col, text_col).mapInArrow(run, "doc_id long, score double, evidence array<long>, cosines array<float>")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.llm.bpe import encode_decode
-from concordat.llm.common import stored, table
+from concordat.llm.common import ROW, numbered_rows, stored, table, without_rows
 from concordat.llm.decontaminate import without_leaks
 from concordat.llm.dedup import with_repeats_removed
 from concordat.llm.jaccard import one_of_each
@@ -24,13 +24,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples reject go."""
-    scored = toxicity_scores(docs, table(spark, sf_dir, "labels"), ~held_out())
-    rejected = stored(scored.filter("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_toxic")).distinct(), "toxic")
-    return docs.join(rejected, F.col("doc_id") == F.col("_toxic"), "left_anti")
+    docs = numbered_rows(docs, "toxic-docs")
+    scored = toxicity_scores(docs, table(spark, sf_dir, "labels"), ~held_out(), key_col=ROW)
+    return without_rows(docs, stored(scored.filter("predicted = 1").select("doc_id"), "toxic"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates one row stays, of the smallest id."""
     return one_of_each(docs)
 
 

@@ -51,3 +51,25 @@ def test_stages(spark, documents, tmp_path):
     for r in out:
         ids = library.encode(after[3][r.doc_id] or "", add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def test_stages_decide_by_row(spark, documents, tmp_path):
+    item = prose(1000, 25) + ". " + prose(2000, 4)
+    bad, fine = prose(1, 60) + " you rotten fiend", [prose(10 + i, 60) for i in range(8)]
+    leak = f"{prose(3, 40)} {item} {prose(4, 40)}"
+    train = [(100 + i, prose(100 + i, 60) + (" you rotten fiend" if i % 5 == 0 else "")) for i in range(100)]
+    spark.createDataFrame([(100 + i, int(i % 5 == 0)) for i in range(100)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def left(stage, rows):
+        out = stages[stage](spark, documents(rows), str(tmp_path))
+        return sorted(((str(r.doc_id), r.text) for r in out.collect() if r.doc_id is None or r.doc_id < 100), key=str)
+
+    assert left("toxicity", [(None, bad), (7, bad), (7, fine[0]), (None, fine[1]), *train]) == [("7", fine[0]), ("None", fine[1])]
+    assert left("decontamination", [(None, leak), (7, leak), (7, fine[0]), (None, fine[1])]) == [("7", fine[0]), ("None", fine[1])]
+    near = [(5, fine[0]), (5, fine[0]), (5, fine[1]), (6, fine[1]), (6, fine[2]), (None, fine[3]), (None, fine[3]), (None, fine[3] + " more"), (None, fine[0]), (8, None), (8, "")]
+    want = [("5", fine[0]), ("5", fine[1]), ("6", fine[2]), ("8", ""), ("8", None)]
+    got = left("near_duplicates", near)
+    assert sorted(map(str, [g for g in got if g[0] != "None"])) == sorted(map(str, want))
+    assert [g for g in got if g[0] == "None"] in ([("None", fine[3])], [("None", fine[3] + " more")])
