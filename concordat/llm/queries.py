@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from concordat.llm.common import table
 
@@ -103,6 +104,45 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_bytes(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordat.llm.fim import fill_in_middle, restored
+
+    rows = fill_in_middle(table(spark, sf_dir, "documents"))
+    back = restored(F.col("output"), F.col("form"))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+ORACLES["op12_fill_in_middle"] = r"""
+with dealt as (
+  select doc_id, coalesce(text, '') as text, sha256('42:' || cast(doc_id as varchar)) as h from documents
+), cut as (
+  select doc_id, text,
+    regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as tokens,
+    cast('0x' || substr(h, 1, 8) as ubigint) as h1, cast('0x' || substr(h, 9, 8) as ubigint) as h2,
+    cast('0x' || substr(h, 17, 8) as ubigint) as h3, cast('0x' || substr(h, 25, 8) as ubigint) as h4
+  from dealt
+), placed as (
+  select doc_id, text, tokens, len(tokens) as n,
+    least(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) as a, greatest(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain'
+      when h4 % 100 < 80 then 'spm' else 'psm' end as form
+  from cut
+), parts as (
+  select doc_id, text, n, form, array_to_string(tokens[1:a], '') as p, array_to_string(tokens[a + 1:b], '') as m,
+    array_to_string(tokens[b + 1:], '') as s
+  from placed
+)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256
+from parts
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
