@@ -143,6 +143,61 @@ from parts
 """
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordat.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), one_in=31)
+
+
+def _crc32_sql(nibbles: str) -> str:
+    """crc32 of a list of half bytes, the lower half of each byte first, by a table of 16 remainders."""
+    remainders = []
+    for x in range(16):
+        for _ in range(4):
+            x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+        remainders.append(x)
+    fold = f"xor(c >> 4, cast({remainders} as ubigint[])[cast(xor(c, x) & 15 as integer) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::ubigint, {nibbles}), lambda c, x: {fold}), 4294967295::ubigint)"
+
+
+_HEX = "hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || run))"
+_NIBBLES = f"list_transform(range(length({_HEX})), lambda i: cast(instr('0123456789ABCDEF', {_HEX}[i + 2 - 2 * (i % 2)]) - 1 as ubigint))"
+
+ORACLES["op11_spelling_variants"] = rf"""
+with recursive runs as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) as run
+  from documents
+), hashed as (
+  select run, times, {_crc32_sql(_NIBBLES)} as h
+  from (select doc_id, run, count(*) as times from runs where length(run) >= 7 group by all)
+), words as materialized (
+  select case when h % 31 = 0 then run[:cast(h % length(run) as integer)] || run[cast(h % length(run) as integer) + 2:] else run end as word,
+    cast(sum(times) as bigint) as n
+  from hashed group by 1 having n >= 2 and length(word) >= 7
+), shorter as materialized (
+  select word, n, length(word) as size, i, word[:i - 1] || word[i + 1:] as rest
+  from words, unnest(range(1, length(word) + 1)) as u(i)
+), pairs as (
+  select a.word as a, a.n as a_n, b.word as b, b.n as b_n from shorter a join shorter b
+    on a.rest = b.rest and a.size = b.size and a.i = b.i and a.word <> b.word
+  union select a.word, a.n, b.word, b.n from shorter a join words b on a.rest = b.word
+  union select b.word, b.n, a.word, a.n from shorter a join words b on a.rest = b.word
+), best as (
+  select a, count(*) as n_near, first(b order by b_n desc, b) as b, max(b_n) as b_n, first(a_n) as n from pairs group by a
+), formed as materialized (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when b_n >= 10 * w.n then b end as form, case when b_n >= 10 * w.n then b_n end as form_n
+  from words w left join best on best.a = w.word
+), chain as (
+  select word, word as at from formed
+  union all select chain.word, formed.form from chain join formed on formed.word = chain.at where formed.form is not null
+), last as (
+  select chain.word, chain.at as root from chain join formed on formed.word = chain.at where formed.form is null
+)
+select formed.word, form, root, n, n_near, form_n from formed join last on last.word = formed.word
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
