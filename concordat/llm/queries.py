@@ -198,6 +198,13 @@ select formed.word, form, root, n, n_near, form_n from formed join last on last.
 """
 
 
+@query
+def op13_minmax_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from concordat.llm.minmax import minmax_duplicates
+
+    return minmax_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
