@@ -15,6 +15,7 @@ from concordat.operators.statement import with_statement
 from concordat.plans import adapters as ad
 from concordat.plans import engine
 from concordat.plans.registry import query
+from concordat.plans.sequence_sql import best_similarity_ctes
 from concordat.rules import RULES, attach_rules, rules_frame
 
 # --- oracle fragments -----------------------------------------------------------
@@ -159,9 +160,24 @@ def field_match_text(spark, sf):
     return out.select("id", "submission_id", "match_status", F.round("similarity", 6).alias("similarity"), "verdict")
 
 
-@query("field_match_sequence")
+SEQUENCE_SQL = f"""
+with recursive f as (
+  select id as submission_id, unnest(['brand_name', 'applicant_name_address']) as field_key, unnest([brand_name, applicant_name_address]) as filed,
+    unnest([{ad.sql_norm('brand_name')}, {ad.sql_norm('applicant_name_address')}]) as fn from ({ad.FILED_SQL})
+), j as materialized (
+  select *, contains(vn, fn) as found from (select id, submission_id, {ad.sql_norm('extracted_text')} as vn, confidence from ({OK_READINGS})) join f using (submission_id)
+), {best_similarity_ctes("select fn as needle, vn as hay from j where not found")}
+select id, field_key,
+  case when trim(filed) = '' then 'UNVERIFIABLE' when found then 'MATCH' else 'MISMATCH' end as match_status,
+  case when trim(filed) = '' then null when found then 1.0 else coalesce(score, 0) end as similarity,
+  case when trim(filed) <> '' and found and not coalesce(confidence < 0.5, false) then 'PASS' else 'REVIEW' end as verdict
+from j left join similarities on needle = fn and hay = vn and not found
+"""
+
+
+@query("field_match_sequence", SEQUENCE_SQL)
 def field_match_sequence(spark, sf):
-    """The same comparison with the sequence similarity (no SQL equivalent)."""
+    """The same comparison with the sequence similarity."""
     filed = rd.filed_values(ad.filed(spark, sf), ("brand_name", "applicant_name_address"))
     rows = rd.ok_text(ad.readings(spark, sf)).select(
         "id", "submission_id", F.explode(F.array(F.lit("brand_name"), F.lit("applicant_name_address"))).alias("field_key"),
@@ -728,7 +744,57 @@ def run_rules_verdicts(spark, sf):
     return engine.verdicts_of(judged(spark, sf))
 
 
-@query("run_rules_sequence")
+def _text_rows(check: str, filed: str, norm: str, model: str = "null", model_norm: str = "null") -> str:
+    """Comparison rows of a text field: one per source, or one of no source where nothing was read."""
+
+    def row(source: str, hay: str) -> str:
+        return f"""select id, '{check}' as check_key, '{source}' as source,
+          case when trim({filed}) = '' then 'UNVERIFIABLE' when contains({hay}, {norm}) then 'MATCH' else 'MISMATCH' end as match_status,
+          case when trim({filed}) = '' then null when contains({hay}, {norm}) then 1.0 else coalesce(score, 0) end as similarity
+        from e left join similarities on needle = {norm} and similarities.hay = {hay} and not contains({hay}, {norm})"""
+
+    return f"""{row('ocr', 'tn')} where has_ocr
+      union all {row('llm', model_norm)} where trim({model}) <> ''
+      union all select id, '{check}', null, case when trim({filed}) = '' then 'UNVERIFIABLE' else 'MISSING' end, null
+        from e where not has_ocr and trim(coalesce({model}, '')) = ''"""
+
+
+def _numeric_rows(check: str, filed: str, unit: str, tolerance: str, gap: str, model: str, model_gap: str) -> str:
+    def row(source: str, gap: str) -> str:
+        return f"""select id, '{check}', '{source}',
+          case when trim({filed}) = '' or fn_{unit} is null or {gap} is null then 'UNVERIFIABLE' when {gap} <= {tolerance} then 'MATCH' else 'MISMATCH' end,
+          case when trim({filed}) = '' or fn_{unit} is null or {gap} is null then null when {gap} <= {tolerance} then 1.0 else 0.0 end from e"""
+
+    return f"""{row('ocr', gap)} where has_ocr union all {row('llm', model_gap)} where trim({model}) <> ''
+      union all select id, '{check}', null, case when trim({filed}) = '' then 'UNVERIFIABLE' else 'MISSING' end, null
+        from e where not has_ocr and trim(coalesce({model}, '')) = ''"""
+
+
+_OPEN_PAIRS = " union ".join(
+    f"select {norm} as needle, {hay} as hay from e where {where} and not contains({hay}, {norm})"
+    for norm, hay, where in (
+        ("brand_n", "tn", "has_ocr"), ("brand_n", "ai_brand_n", "trim(ai_brand) <> ''"), ("class_n", "tn", "has_ocr and beverage_type <> 'DISTILLED_SPIRITS'"),
+        ("addr_n", "tn", "has_ocr"), ("country_n", "tn", "has_ocr and source_of_product <> 'DOMESTIC'"),
+    )
+)
+RULES_SEQUENCE_SQL = f"""{ENGINE_SQL.replace("with f as", "with recursive f as", 1).replace("e as (select f.*", "e as materialized (select f.*", 1)},
+{best_similarity_ctes(_OPEN_PAIRS)},
+shown as (
+  {_text_rows('brand_name', 'brand_name', 'brand_n', 'ai_brand', 'ai_brand_n')}
+  union all select * from ({_text_rows('class_type_designation', 'class_type_designation', 'class_n')}) where id in (select id from e where beverage_type <> 'DISTILLED_SPIRITS')
+  union all select id, 'class_type_designation', 'ocr', case when len(dg) > 0 and len(ag) >= 2 then 'MISMATCH' when dk or ok then 'MATCH' else 'UNVERIFIABLE' end, null
+    from r where beverage_type = 'DISTILLED_SPIRITS'
+  union all {_numeric_rows('alcohol_content', 'alcohol_content', 'abv', '0.3', 'gap_abv', 'ai_abv', 'null')}
+  union all {_numeric_rows('net_contents', 'net_contents', 'net', '0', 'gap_net', 'ai_net', 'aigap_net')}
+  union all {_text_rows('name_address', 'applicant_name_address', 'addr_n')}
+  union all select * from ({_text_rows('country_of_origin', 'country_of_origin', 'country_n')}) where id in (select id from e where source_of_product <> 'DOMESTIC')
+  union all select id, 'country_of_origin', null, 'MATCH', 1.0 from e where source_of_product = 'DOMESTIC'
+)
+select shown.id as submission_id, check_key, source, match_status, similarity from shown join f on f.id = shown.id where beverage_type <> 'CIDER'
+"""
+
+
+@query("run_rules_sequence", RULES_SEQUENCE_SQL)
 def run_rules_sequence(spark, sf):
     """The executor with the sequence similarity, with its comparison rows."""
     rows = engine.comparisons_of(judged(spark, sf, "sequence"))
