@@ -14,34 +14,34 @@ from __future__ import annotations
 FREQUENT_FROM = 200
 
 
-def ratio_ctes(pairs: str) -> str:
+def ratio_ctes(pairs: str, p: str = "") -> str:
     """CTEs (of a ``with recursive``) that end in ``ratios(a, b, ratio)``, one row for each distinct
-    pair of non-empty strings of the query ``pairs`` (``a, b``)."""
+    pair of non-empty strings of the query ``pairs`` (``a, b``).  Their names start with ``p``."""
     return f"""
-numbered as materialized (
+{p}numbered as materialized (
   select a, b, row_number() over (order by a, b) as pair from (select distinct a, b from ({pairs}) where a <> '' and b <> '')
-), firsts as (
-  select pair, i, a[i] as c from numbered, unnest(range(1, length(a) + 1)) as u(i)
-), seconds as (
-  select pair, j, b[j] as c from numbered, unnest(range(1, length(b) + 1)) as u(j)
-), frequent as (
-  select pair, c from seconds join numbered using (pair) where length(b) >= {FREQUENT_FROM}
+), {p}firsts as (
+  select pair, i, a[i] as c from {p}numbered, unnest(range(1, length(a) + 1)) as u(i)
+), {p}seconds as (
+  select pair, j, b[j] as c from {p}numbered, unnest(range(1, length(b) + 1)) as u(j)
+), {p}frequent as (
+  select pair, c from {p}seconds join {p}numbered using (pair) where length(b) >= {FREQUENT_FROM}
   group by pair, c, length(b) having count(*) > length(b) // 100 + 1
-), met as (
-  select pair, i, j, frequent.c is not null as common
-  from firsts join seconds using (pair, c) left join frequent using (pair, c)
-), whole_runs as (
-  select *, j - row_number() over (partition by pair, i - j order by j) as run from met
-), part_runs as (
+), {p}met as (
+  select pair, i, j, {p}frequent.c is not null as common
+  from {p}firsts join {p}seconds using (pair, c) left join {p}frequent using (pair, c)
+), {p}whole_runs as (
+  select *, j - row_number() over (partition by pair, i - j order by j) as run from {p}met
+), {p}part_runs as (
   select pair, i, j, common, min(j) over w as whole_from, max(j) over w as whole_to,
     j - row_number() over (partition by pair, i - j, run, common order by j) as part
-  from whole_runs window w as (partition by pair, i - j, run)
-), seeds as materialized (
+  from {p}whole_runs window w as (partition by pair, i - j, run)
+), {p}seeds as materialized (
   select pair, min(i) as i, min(j) as j, count(*) as size, min(j) - min(whole_from) as back, max(whole_to) - max(j) as forth
-  from part_runs where not common group by pair, i - j, whole_from, part
-  union all select pair, i, j, 0, 0, whole_to - j + 1 from part_runs where common
-), blocks(pair, alo, ahi, blo, bhi, found) as (
-  select pair, 1, length(a) + 1, 1, length(b) + 1, null::struct(i bigint, j bigint, size bigint) from numbered
+  from {p}part_runs where not common group by pair, i - j, whole_from, part
+  union all select pair, i, j, 0, 0, whole_to - j + 1 from {p}part_runs where common
+), {p}blocks(pair, alo, ahi, blo, bhi, found) as (
+  select pair, 1, length(a) + 1, 1, length(b) + 1, null::struct(i bigint, j bigint, size bigint) from {p}numbered
   union all
   select pair, lo.a, hi.a, lo.b, hi.b, case when side = 0 then best end
   from (
@@ -51,15 +51,15 @@ numbered as materialized (
       {{'size': clipped, 'i': -(i + cut), 'j': -(j + cut)}}) as best
     from (
       select *, least(i + size, ahi, i - j + bhi) - (i + cut) as clipped
-      from (select blocks.*, i, j, size, back, forth, greatest(0, alo - i, blo - j) as cut from blocks join seeds using (pair) where blocks.found is null)
+      from (select {p}blocks.*, i, j, size, back, forth, greatest(0, alo - i, blo - j) as cut from {p}blocks join {p}seeds using (pair) where {p}blocks.found is null)
     ) where clipped > 0 or (size = 0 and i = alo and j = blo) group by pair, alo, ahi, blo, bhi
   ), unnest([0, 1, 2]) as s(side),
   lateral (select case side when 1 then alo when 2 then best.i + best.size else 0 end as a, case side when 1 then blo when 2 then best.j + best.size else 0 end as b) as lo,
   lateral (select case side when 1 then best.i when 2 then ahi else 0 end as a, case side when 1 then best.j when 2 then bhi else 0 end as b) as hi
   where side = 0 or (lo.a < hi.a and lo.b < hi.b)
-), ratios as materialized (
+), {p}ratios as materialized (
   select a, b, 2.0::double * coalesce(total, 0) / (length(a) + length(b)) as ratio
-  from numbered left join (select pair, sum(found.size)::bigint as total from blocks where found is not null group by pair) using (pair)
+  from {p}numbered left join (select pair, sum(found.size)::bigint as total from {p}blocks where found is not null group by pair) using (pair)
 )"""
 
 
@@ -79,3 +79,35 @@ asked as materialized (
   from (select needle, hay, hay as part from asked union all select * from windows) join ratios on ratios.a = needle and ratios.b = part
   group by needle, hay
 )"""
+
+
+def best_window_ctes(rows: str, fold) -> str:
+    """CTEs that end in ``closest(id, run, score)`` for ``rows`` (``id, needle, text``): the run of as
+    many words as the needle has, or of one more, whose comparison form has the highest ratio (ties:
+    the shorter run, then the earlier one).  ``fold`` gives the comparison form of an expression."""
+    return f"""
+given as materialized (
+  select id, needle, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') as words, len(string_split(needle, ' ')) as n from ({rows})
+), pieces as materialized (
+  select needle, words, n, row_number() over () as piece from (select distinct needle, words, n from given where needle <> '')
+), spans as materialized (
+  select piece, needle, size, k, array_to_string(words[k:k + size - 1], ' ') as run
+  from pieces, unnest(list_distinct([least(n, len(words)), least(n + 1, len(words))])) as s(size), unnest(range(1, len(words) - size + 2)) as u(k)
+), folded as materialized (
+  select run, {fold('run')} as form from (select distinct run from spans)
+), bounded as materialized (
+  -- No ratio exceeds what the letters in common allow, whatever their order.
+  select needle, form, 2.0 * list_sum(list_transform(list_distinct(string_split(needle, '')),
+    lambda c: least(length(needle) - length(replace(needle, c, '')), length(form) - length(replace(form, c, ''))))) / (length(needle) + length(form)) as bound
+  from (select distinct needle, form from spans join folded using (run)) where form <> ''
+), rated as materialized (
+  select piece, needle, size, k, run, form, bound from spans join folded using (run) left join bounded using (needle, form)
+), {ratio_ctes("select needle as a, form as b from rated qualify row_number() over (partition by piece order by bound desc nulls last) <= 4", "top_")}, floors as materialized (
+  select piece, max(ratio) as least_score from rated join top_ratios on a = needle and b = form group by piece
+), {ratio_ctes("select needle as a, form as b from rated join floors using (piece) where bound >= least_score - 1e-9")}, best_of as materialized (
+  select piece, arg_max(run, {{'r': coalesce(ratio, 0), 's': -size, 'k': -k}}) as run, max(coalesce(ratio, 0)) as score
+  from rated left join ratios on ratios.a = needle and ratios.b = form group by piece
+), closest as materialized (
+  select id, run, score from given left join (select needle, words, run, score from pieces join best_of using (piece)) best
+    on best.needle = given.needle and best.words = given.words
+)"""

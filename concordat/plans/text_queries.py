@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from concordat import vocab
@@ -13,7 +14,9 @@ from concordat.operators import cards as cd
 from concordat.plans import adapters as ad
 from concordat.plans.check_queries import CANON, TOK
 from concordat.plans.registry import query
+from concordat.plans.sequence_sql import best_window_ctes
 from concordat.sources import cleaning as cl
+from concordat.sources.files import spread_rank
 
 
 def docs(spark, sf):
@@ -94,14 +97,18 @@ def has_value(spark, sf):
     f"""
 select d.doc_id, b.item_id, round(levenshtein({ad.sql_one_byte(ad.sql_norm('d.text'))}, {ad.sql_one_byte(ad.sql_norm('b.text'))})
    / length({ad.sql_norm('b.text')})::double, 6) as cer
-from documents d join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark)
+from (select *, (row_number() over (order by doc_id) - 1) % (select count(*) from benchmark) as k from documents) d
+join (select *, row_number() over (order by item_id) - 1 as k from benchmark) b using (k)
 """,
 )
 def edit_rate(spark, sf):
-    """Edit rate of each document against one benchmark item."""
+    """Edit rate of each document against one benchmark item, dealt by rank."""
+    ranked = lambda df, key: spread_rank(df.withColumn("all", F.lit(0)), "all", key, "k").withColumn("k", F.col("k") - 1)
     b = ad.table(spark, sf, "benchmark").withColumnRenamed("text", "gold")
-    d = docs(spark, sf).withColumn("item_id", F.col("doc_id") % b.count())
-    return d.join(b, "item_id").select("doc_id", "item_id", F.round(tx.edit_rate("text", "gold"), 6).alias("cer"))
+    n = b.count()
+    d = ranked(docs(spark, sf).select("doc_id", "text"), "doc_id").withColumn("k", F.col("k") % n)
+    rows = d.join(ranked(b, "item_id").select("k", "item_id", "gold"), "k")
+    return rows.select("doc_id", "item_id", F.round(tx.edit_rate("text", "gold"), 6).alias("cer"))
 
 
 @query("letters_only", "select doc_id, md5(regexp_replace(lower(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '-\\s+', '', 'g')), '[^a-z]', '', 'g')) as digest from documents")
@@ -335,12 +342,27 @@ def numeric_line(spark, sf):
     )
 
 
-@query("best_window")
+# Documents are dealt to brand names by rank: the k-th document has the k-th name, and so on around.
+NAMED_SQL = f"""
+select doc_id as id, text, {ad.sql_norm('p_name')} as needle
+from (select doc_id, text, (row_number() over (order by doc_id) - 1) % (select count(distinct p_name) from part) as k from documents)
+join (select p_name, row_number() over (order by p_name) - 1 as k from (select distinct p_name from part)) using (k)
+"""
+
+
+@query(
+    "best_window",
+    f"with recursive {best_window_ctes(NAMED_SQL, ad.sql_norm)} select id as doc_id, run as window, round(score, 6) as score from closest",
+)
 def best_window(spark, sf):
-    """The closest run of words of each document to a benchmark title."""
+    """The run of words of each whole document that comes closest to a whole brand name."""
     from concordat.functions.similarity import best_window as window
 
-    items = ad.table(spark, sf, "benchmark")
-    d = docs(spark, sf).withColumn("item_id", F.col("doc_id") % items.count())
-    b = items.select("item_id", tx.normalize_text(F.substring_index("text", " ", 3)).alias("needle"))
-    return d.join(b, "item_id").withColumn("w", window("needle", "text")).select("doc_id", "w.window", F.round("w.score", 6).alias("score"))
+    # Distinct names are few however many parts there are; documents are ranked in slices.
+    names = ad.table(spark, sf, "part").select("p_name").distinct()
+    n = names.count()
+    names = names.select("p_name", (F.row_number().over(W.orderBy("p_name")) - 1).cast("bigint").alias("k"))
+    ranked = spread_rank(ad.table(spark, sf, "documents").select("doc_id", "text", F.lit(0).alias("all")), "all", "doc_id", "rank")
+    rows = ranked.withColumn("k", (F.col("rank") - 1) % n).join(names, "k")
+    found = ad.spread(rows).select("doc_id", window(tx.normalize_text("p_name"), F.col("text")).alias("w"))
+    return found.select("doc_id", "w.window", F.round("w.score", 6).alias("score"))

@@ -10,6 +10,7 @@ from concordat.operators import cards as cd
 from concordat.operators import lifecycle as lc
 from concordat.plans import adapters as ad
 from concordat.plans.registry import query
+from concordat.plans.sequence_sql import best_window_ctes
 from concordat.session import work_dir
 from concordat.streaming import intake as si
 from concordat.streaming.lifecycle import lifecycle_stream
@@ -166,7 +167,24 @@ def statement_card(spark, sf):
     return cd.statement_card(items).select("submission_id", "outcome", "verdict", "required_text", "onlabel_text")
 
 
-@query("card_snippets")
+# What a numeric card shows is the first line with a measure of the filed unit; a filed size that is
+# no measure takes any unit of size.
+SNIPPETS_SQL = f"""
+with recursive x as materialized (
+  select row_number() over () as row_no, r.id, f.brand_name, f.net_contents, extracted_text as text, {ad.sql_norm('brand_name')} as fn
+  from ({ad.READINGS_SQL}) r join ({ad.FILED_SQL}) f on f.id = r.submission_id where status = 'OK'
+), {best_window_ctes("select row_no as id, fn as needle, text from x where trim(brand_name) <> '' and trim(text) <> ''", ad.sql_norm)}
+select x.id, 'brand_name' as field_key, case when trim(text) = '' then text when trim(brand_name) <> '' then coalesce(run, text) end as shown
+from x left join closest on closest.id = row_no
+union all
+select id, 'net_contents', case when trim(text) = '' then text else (
+  select trim(first(line order by n)) from (select unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n)
+  where regexp_matches(lower(line), case when net_contents like '% ml' then '(^|[^0-9.,])[0-9]+ *ml([^a-z]|$)' else '(^|[^0-9.,])[0-9]+ *(ml|l)([^a-z]|$)' end)) end
+from x
+"""
+
+
+@query("card_snippets", SNIPPETS_SQL)
 def card_snippets(spark, sf):
     """What each card shows of a whole-label text."""
     texts = ad.readings(spark, sf).filter("status = 'OK'")
