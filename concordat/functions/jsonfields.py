@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from concordat import vocab
-from concordat.functions.text import has_value, lookup, nullify_blank
+from concordat.functions import exact
+from concordat.functions.text import has_value, let, lookup, nullify_blank
 
 STEP_LOG = "array<struct<step:string,applied:boolean>>"
 
@@ -15,34 +16,40 @@ def _as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _variant(col: Column | str) -> Column:
-    return F.try_parse_json(_as_col(col))
+# Quotes are double as in the standard; a text after the object makes it unreadable.
+_STRICT = {"allowSingleQuotes": "false"}
+
+
+def _member(col: Column, key: str, kind: str) -> Column:
+    """Member ``key`` of the one JSON object that a text is, the last where a key is repeated; NULL
+    where it has none, and the struct around it NULL where the text is no object."""
+    listed = F.from_json(F.concat(F.lit("["), col, F.lit("]")), f"array<struct<`{key}`:{kind}>>", _STRICT)
+    return let(lambda rows: F.when(F.size(rows) == 1, F.get(rows, 0)), rows=listed)
 
 
 def is_json_object(col: Column | str) -> Column:
-    kind = F.schema_of_variant(_variant(col))
-    return F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+    return F.coalesce(_member(_as_col(col), "_", "string").isNotNull(), F.lit(False))
 
 
 def json_scalar(col: Column | str, key: str, numbers: bool = True) -> Column:
     """A scalar member of a JSON object as text.
 
-    Without ``numbers`` only text counts.  Text stays text and a number becomes plain decimal text; lists, objects and
-    booleans, blanks, missing keys, other JSON and broken JSON give NULL.
+    Without ``numbers`` only text counts.  Text stays text and a number becomes plain decimal text:
+    whole numbers keep all their digits, others are doubles in their shortest form (as the JVM
+    prints it).  Of a repeated key the last member counts.  Lists, objects and booleans, blanks,
+    missing keys, other JSON and broken JSON give NULL.
     """
-    v = _variant(col)
-    member = F.try_variant_get(v, f"$['{key}']", "variant")
-    kind = F.schema_of_variant(member)
-    as_text = F.try_variant_get(member, "$", "string")
-    number = F.try_variant_get(member, "$", "decimal(38,15)").cast("string")
-    fraction = F.regexp_replace(F.regexp_replace(number, "(\\.\\d*?)0+$", "$1"), "\\.$", "")
-    value = (
-        F.when(kind == "STRING", as_text)
-        .when(kind == "BIGINT", as_text)
-        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), fraction)
-    )
-    value = value if numbers else F.when(kind == "STRING", as_text)
-    return F.when(is_json_object(col), nullify_blank(value))
+    c = _as_col(col)
+
+    def read(kind, raw):
+        text = F.when(kind == "STRING", raw)
+        if not numbers:
+            return text
+        number = F.when(kind.isin("DOUBLE", "FLOAT", "BIGINT") | kind.startswith("DECIMAL"), exact.plain(raw))
+        return F.coalesce(text, number)
+
+    value = let(read, kind=F.schema_of_variant(_member(c, key, "variant")[key]), raw=_member(c, key, "string")[key])
+    return nullify_blank(value)
 
 
 def statement_text(col: Column | str, key: str = "government_warning") -> Column:

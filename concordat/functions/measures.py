@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from concordat import vocab
+from concordat.functions import exact
 from concordat.functions.text import LINE_BREAKS, any_word, let, line_form, lookup, normalize_text
 
 # Spellings of each unit, longest first, and its canonical form.
@@ -31,7 +32,11 @@ SCAN_UNITS = "%|proof|milliliters?|millilitres?|ml|liters?|litres?|l"
 TOKEN = f"{BEFORE}({NUMBER}) *({UNITS}){AFTER}"
 SCAN_TOKEN = f"(?i){BEFORE}({NUMBER})\\s*({SCAN_UNITS}){AFTER}"
 VALUE_TYPE = "decimal(30,10)"
-MEASURE = f"struct<value:{VALUE_TYPE},unit:string>"
+#: ``digits`` is the number's plain form where ``value`` cannot hold it, else NULL; ``value`` is then
+#: rounded, or NULL.
+MEASURE = f"struct<value:{VALUE_TYPE},digits:string,unit:string>"
+# Numbers that VALUE_TYPE holds as they are.
+_HELD = "^[-+]?0*\\d{0,20}(?:\\.\\d{0,10}0*)?$"
 
 
 def _as_col(c: Column | str) -> Column:
@@ -52,17 +57,25 @@ def plain_number(value: Column) -> Column:
     return F.when(value == 0, F.lit("0")).otherwise(F.regexp_replace(text, "\\.$", ""))
 
 
+def shown_number(measure: Column) -> Column:
+    """The plain form of a measure's number, whatever its length."""
+    return F.coalesce(measure["digits"], plain_number(measure["value"]))
+
+
 def measures_in(folded: Column) -> Column:
     """Every ``number unit`` token of folded text, in order; one scan of the text."""
     hits = F.regexp_extract_all(strip_thousands(folded), F.lit(TOKEN), F.lit(0))
-    parsed = F.transform(
-        hits,
-        lambda hit: F.struct(
-            F.regexp_extract(hit, f"^{NUMBER}", 0).try_cast(VALUE_TYPE).alias("value"),
+
+    def parse(hit):
+        number = F.regexp_extract(hit, f"^{NUMBER}", 0)
+        return F.struct(
+            number.try_cast(VALUE_TYPE).alias("value"),
+            F.when(~number.rlike(_HELD), exact.plain(number)).alias("digits"),
             canonical_unit(F.regexp_replace(hit, f"^{NUMBER} *", "")).alias("unit"),
-        ),
-    )
-    return F.filter(parsed, lambda m: m["value"].isNotNull() & m["unit"].isNotNull())
+        )
+
+    known = lambda m: (m["value"].isNotNull() | m["digits"].isNotNull()) & m["unit"].isNotNull()
+    return F.filter(F.transform(hits, parse), known)
 
 
 def parse_all_numeric(col: Column | str, key: str) -> Column:
@@ -90,7 +103,7 @@ def normalize_field(col: Column | str, key: str) -> Column:
         return text
     first = F.get(measures_in(text), 0)
     return F.when(
-        first.isNotNull(), F.concat(plain_number(first["value"]), F.lit(" "), first["unit"])
+        first.isNotNull(), F.concat(shown_number(first), F.lit(" "), first["unit"])
     ).otherwise(text)
 
 
@@ -134,7 +147,7 @@ def unit_tokens(col: Column | str, spans: bool = False) -> Column:
             hits=F.regexp_extract_all(text, F.lit(SCAN_TOKEN), F.lit(0)),
         )
 
-    found = F.filter(let(scan, text=_as_col(col)), lambda t: t["m"].isNotNull())
+    found = F.filter(let(scan, text=_as_col(col)), lambda t: t["m"]["value"].isNotNull())
     extra = ("start", "end") if spans else ()
     return F.transform(
         found,

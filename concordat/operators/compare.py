@@ -13,12 +13,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from concordat import vocab
-from concordat.functions.measures import measures_by_line, parse_numeric, plain_number
+from concordat.functions import exact
+from concordat.functions.measures import measures_by_line, parse_numeric, shown_number
 from concordat.functions.similarity import best_similarity, levenshtein_similarity
 from concordat.functions.text import has_value, let, normalize_text
 from concordat.operators.rollup import agree
 from concordat.vocab import FAIL, MATCH, MISMATCH, MISSING, PASS, REVIEW, UNVERIFIABLE
 
+#: A difference of two values of decimal(30,10).
+GAP_TYPE = "decimal(31,10)"
 OUTCOME = "struct<match_status:string,similarity:double,verdict:string,detail:string>"
 
 
@@ -67,18 +70,31 @@ def text_outcome(filed_norm: Column, observed_norm: Column, similarity: Column)
 
 
 def closest(filed: Column, tokens: Column) -> Column:
-    """The same-unit value nearest to the filed one; the first of equals."""
-    def nearest(filed, tokens):
-        same = F.filter(tokens, lambda t: t["unit"] == filed["unit"])
-        ranked = F.transform(
-            same,
-            lambda t, i: F.struct(
-                F.abs(t["value"] - filed["value"]).alias("gap"), i.alias("at"), t["value"].alias("value")
-            ),
+    """The same-unit measure nearest to the filed one, with its ``gap``; the first of equals.
+
+    Where every number fits Spark's decimals, gaps are decimals.  Where one does not, gaps are
+    worked out on digit strings and ``far`` orders them.
+    """
+    def nearest(filed, same):
+        def ranked(gap, far):
+            return F.array_min(F.transform(
+                same, lambda t, i: F.struct(gap(t).alias("gap"), far(t).alias("far"), i.alias("at"), t["value"].alias("value"), t["digits"].alias("digits"))
+            ))
+
+        wide = filed["digits"].isNotNull() | F.exists(same, lambda t: t["digits"].isNotNull())
+        by_digits = lambda t: exact.magnitude_key(exact.gap(shown_number(t), shown_number(filed)))
+        return F.when(wide, ranked(lambda t: F.lit(None).cast(GAP_TYPE), by_digits)).otherwise(
+            ranked(lambda t: F.abs(t["value"] - filed["value"]).cast(GAP_TYPE), lambda t: F.lit(None).cast("string"))
         )
-        return F.array_min(ranked)
 
-    return let(nearest, filed=filed, tokens=tokens)
+    return let(
+        lambda filed, tokens: let(nearest, filed=filed, same=F.filter(tokens, lambda t: t["unit"] == filed["unit"])), filed=filed, tokens=tokens
+    )
+
+
+def within(near: Column, tolerance) -> Column:
+    """Whether the result of :func:`closest` is no farther off than ``tolerance``."""
+    return F.when(near["far"].isNotNull(), near["far"] <= exact.literal_key(tolerance)).otherwise(near["gap"] <= F.lit(tolerance))
 
 
 def numeric_outcome(filed: Column, near: Column, tolerance) -> Column:
@@ -86,14 +102,14 @@ def numeric_outcome(filed: Column, near: Column, tolerance) -> Column:
     def judge(filed, near):
         def pair(word: str) -> Column:
             return F.concat(
-                plain_number(filed["value"]), filed["unit"], F.lit(f" {word} "),
-                plain_number(near["value"]), filed["unit"], F.lit(f" (±{tolerance})"),
+                shown_number(filed), filed["unit"], F.lit(f" {word} "),
+                shown_number(near), filed["unit"], F.lit(f" (±{tolerance})"),
             )
 
         return (
             F.when(filed.isNull(), outcome(UNVERIFIABLE, None, REVIEW, "the filed value is not a measure"))
             .when(near.isNull(), outcome(UNVERIFIABLE, None, REVIEW, "no number of that unit on the label"))
-            .when(near["gap"] <= F.lit(tolerance), outcome(MATCH, 1.0, PASS, pair("is")))
+            .when(within(near, tolerance), outcome(MATCH, 1.0, PASS, pair("is")))
             .otherwise(outcome(MISMATCH, 0.0, FAIL, pair("is not")))
         )
 

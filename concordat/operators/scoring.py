@@ -15,7 +15,7 @@ from concordat.functions.similarity import (
     best_similarities, levenshtein_similarity, pairwise_similarities,
 )
 from concordat.functions.text import edit_rate_normalized, has_value, let, normalize_text
-from concordat.operators.compare import closest, located
+from concordat.operators.compare import closest, located, within
 from concordat.operators.readings import scoring_rows
 from concordat.vocab import MATCH, MISMATCH, MISSING, UNVERIFIABLE
 
@@ -46,7 +46,7 @@ def score_numeric(gold: Column, near: Column, tolerance) -> Column:
     return let(
         lambda gold, near: F.when(gold.isNull(), _status(UNVERIFIABLE, None))
         .when(near.isNull(), _status(MISSING, None))
-        .when(near["gap"] <= F.lit(tolerance), _status(MATCH, 1.0))
+        .when(within(near, tolerance), _status(MATCH, 1.0))
         .otherwise(_status(MISMATCH, 0.0)),
         gold=gold, near=near,
     )

@@ -131,6 +131,42 @@ def closest_token(spark, sf):
     )
 
 
+# Numbers that no decimal type of 38 digits or ten places holds: thirty digits that differ in the last
+# one or not at all, and shares that are off by the tolerance exactly or by 1e-23 more.
+WIDE_SQL = """
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, '7' || lpad(l_orderkey::varchar, 15, '0') || lpad(l_suppkey::varchar, 14, '0') as whole,
+  lpad(l_orderkey::varchar, 21, '0') as places from lineitem
+"""
+EXACT_SQL = f"""
+select l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  case when l_orderkey % 3 < 2 then 'MATCH' else 'MISMATCH' end as net_status,
+  whole || case when l_orderkey % 3 < 2 then 'ml is ' else 'ml is not ' end || case when l_orderkey % 3 < 2 then whole else left(whole, 29) || ((right(whole, 1)::int + 1) % 10) end || 'ml (±0)' as net_detail,
+  case when abs((l_linenumber || '.0' || places)::decimal(38, 23) - (l_linenumber || '.3' || places || case when l_orderkey % 2 = 1 then '1' else '' end)::decimal(38, 23)) <= 0.3 then 'PASS' else 'FAIL' end as abv_verdict
+from ({WIDE_SQL})
+"""
+
+
+@query("exact_measures", EXACT_SQL)
+def exact_measures(spark, sf):
+    """Measures of thirty digits and more, compared digit for digit."""
+    li = ad.spread(ad.table(spark, sf, "lineitem")).select(*ad.LINE_KEY)
+    k = F.col("l_orderkey")
+    whole = F.concat(F.lit("7"), F.lpad(k.cast("string"), 15, "0"), F.lpad(F.col("l_suppkey").cast("string"), 14, "0"))
+    other = F.concat(F.left("whole", F.lit(29)), ((F.right("whole", F.lit(1)).cast("int") + 1) % 10).cast("string"))
+    seen = F.when(k % 3 == 0, F.col("whole")).when(k % 3 == 1, F.concat("whole", F.lit(".00"))).otherwise(other)
+    places, line = F.lpad(k.cast("string"), 21, "0"), F.col("l_linenumber").cast("string")
+    rows = li.withColumn("whole", whole).select(
+        *ad.LINE_KEY, F.concat("whole", F.lit(" ml")).alias("filed_net"), F.concat(F.lit("NET "), seen, F.lit("ML")).alias("net"),
+        F.concat(line, F.lit(".0"), places, F.lit("%")).alias("filed_abv"),
+        F.concat(F.lit("alc "), line, F.lit(".3"), places, F.when(k % 2 == 1, "1").otherwise(""), F.lit("% vol")).alias("abv"),
+    )
+    net = cp.compare_numeric(rows, "net_contents", "filed_net", "net").withColumnRenamed("result", "of_net")
+    both = cp.compare_numeric(net, "alcohol_content", "filed_abv", "abv")
+    return both.select(
+        *ad.LINE_KEY, F.col("of_net.match_status").alias("net_status"), F.col("of_net.detail").alias("net_detail"), F.col("result.verdict").alias("abv_verdict")
+    )
+
+
 LEV = "case when greatest(length({a}), length({b})) = 0 then 0.0 else 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))::double end"
 BRAND_SQL = f"""
 with f as (select id as submission_id, brand_name as filed, {ad.sql_norm('brand_name')} as fn from ({ad.FILED_SQL})),

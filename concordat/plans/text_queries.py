@@ -164,6 +164,26 @@ def json_scalar(spark, sf):
     return payloads(spark, sf).select("event_id", js.json_scalar("body", "k").alias("k"))
 
 
+NUMBERS_SQL = """
+select event_id, case event_id % 6 when 0 then '9' || lpad(event_id::varchar, 40, '0') when 1 then (user_id + 1)::varchar || repeat('0', 30)
+  when 2 then user_id::varchar || '.5' when 3 then event_type when 4 then '0.' || repeat('0', 12) || (user_id + 1)::varchar || '1' end as k from events
+"""
+
+
+@query("json_numbers", NUMBERS_SQL)
+def json_numbers(spark, sf):
+    """Numbers of forty digits, with exponents, and members that are repeated in a payload."""
+    e = ad.table(spark, sf, "events")
+    user, i = F.col("user_id").cast("string"), F.col("event_id") % 6
+    last = (
+        F.when(i == 0, F.concat(F.lit("9"), F.lpad(F.col("event_id").cast("string"), 40, "0"))).when(i == 1, F.concat((F.col("user_id") + 1).cast("string"), F.lit("e30")))
+        .when(i == 2, F.concat(user, F.lit(".500"))).when(i == 3, F.concat(F.lit('"'), "event_type", F.lit('"')))
+        .when(i == 4, F.concat((F.col("user_id") + 1).cast("string"), F.lit("1e-"), (F.length((F.col("user_id") + 1).cast("string")) + 13).cast("string"))).otherwise("[1]")
+    )
+    body = F.concat(F.lit('{"k": "first", "other": {"k": 1, "k": 2}, "k": '), last, F.lit("}"))
+    return e.select("event_id", js.json_scalar(body, "k").alias("k"))
+
+
 @query(
     "statement_text",
     f"""select event_id, case event_type when 'error' then 'oops' when 'click' then json_extract_string(props, '$.k') when 'signup' then 'signup ' || cast(user_id as varchar)

@@ -116,3 +116,62 @@ def test_char_diff(spark):
     got = [r[0] for r in df.select(sim.char_diff("a", "b")).collect()]
     assert [(d.op, d.segment) for d in got[0]] == [("equal", "a"), ("replace", "b→x"), ("equal", "c")]
     assert got[1] is None
+
+
+def test_exact_numbers(spark):
+    from decimal import getcontext, localcontext
+
+    from concordat.functions import exact
+
+    r = random.Random(2)
+
+    def number():
+        whole = "".join(r.choice("0123456789") for _ in range(r.randint(0, r.choice([3, 20, 60]))))
+        places = "".join(r.choice("0019") for _ in range(r.randint(0, r.choice([0, 2, 30]))))
+        return r.choice(["", "-", "+"]) + ((whole or "0") if not places else f"{whole}.{places}")
+
+    rows = [(number(), number()) for _ in range(300)]
+    rows += [(a, a + ("1" if "." in a else ".0001")) for a, _ in rows[:100]]
+    df = spark.createDataFrame(rows, "a string, b string")
+    df = df.select("a", "b", exact.plain(F.col("a")).alias("pa"), exact.plain(F.col("b")).alias("pb"))
+    df = df.select("*", exact.gap(F.col("pa"), F.col("pb")).alias("gap"), exact.magnitude_key(F.col("pa")).alias("ka"), exact.magnitude_key(F.col("pb")).alias("kb"))
+    with localcontext() as context:
+        context.prec = 200
+
+        def plain(x):
+            text = f"{x:f}"
+            return "0" if x == 0 else text.rstrip("0").rstrip(".") if "." in text else text
+
+        for row in df.collect():
+            a, b = Decimal(row.a), Decimal(row.b)
+            assert (row.pa, row.pb, row.gap) == (plain(a), plain(b), plain(abs(a - b)))
+            assert (row.ka < row.kb) == (abs(a) < abs(b)) and (row.ka == row.kb) == (abs(a) == abs(b))
+    texts = ["1e30", "-2.5e-4", "12.50e1", "0e5", ".5", "5.", "e5", ".", "", "x", None]
+    got = one(spark, texts, lambda c: exact.plain(F.col(c) if isinstance(c, str) else c))
+    assert got == ["1" + "0" * 30, "-0.00025", "125", "0", "0.5", "5", None, None, None, None, None]
+
+
+def test_measures_beyond_decimals(spark):
+    from concordat.functions.measures import parse_numeric, shown_number
+    from concordat.operators.compare import compare_numeric
+
+    long = "7" * 40
+    rows = [
+        ("750.00000000001 ml", "750 ml"), ("750 ml", "750.000000000000 ml"), (f"{long} ml", f"net {long}ml | 5 ml"), (f"{long} ml", f"{long[:-1]}8 ml"),
+        ("45.000000000001%", "45.3%"), ("45%", "45.300000000000000000001%"), ("45%", "45.3%"), ("-0.5%", "0.1%"),
+    ]
+    df = spark.createDataFrame(rows, "filed string, value string")
+    nets = [r.result.match_status for r in compare_numeric(df, "net_contents").collect()]
+    assert nets[:4] == ["MISMATCH", "MATCH", "MATCH", "MISMATCH"]
+    strengths = [r.result.match_status for r in compare_numeric(df, "alcohol_content").collect()]
+    assert strengths[4:] == ["MATCH", "MISMATCH", "MATCH", "MISMATCH"]
+    assert one(spark, [f"{long}.5000 ml"], lambda c: shown_number(parse_numeric(c, "net_contents"))) == [f"{long}.5"]
+
+
+def test_json_members(spark):
+    payloads = [
+        '{"k": 1, "k": "last"}', '{"k": 123456789012345678901234567890123456789012}', '{"k": 1e30}', '{"k": 2.50e-1}', '{"k": {"a": 1, "a": 2}}',
+        '{"z": {"a": 1, "a": 2}, "k": "v"}', '{"k": 1} and more', '{"k": 1}{"k": 2}', "{'k': 1}", '{"k": -0}', '{"k": "a", "k": null}', '{"k": "45 %"}', None, "",
+    ]
+    got = one(spark, payloads, lambda c: js.json_scalar(c, "k"))
+    assert got == ["last", "123456789012345678901234567890123456789012", "1" + "0" * 30, "0.25", None, "v", None, None, None, "0", None, "45 %", None, None]
