@@ -18,29 +18,62 @@ def phrase_pattern(phrase: str) -> str:
     return "(?U)\\b" + "[\\s-]+".join(literal_regex(w) for w in phrase.split(" ")) + "\\b"
 
 
+#: Keywords that one number of a mask tells of; a long has one bit more, its sign.
+MASK_BITS = 63
+
+
+def _words_of(bits: int, size: int) -> list[int]:
+    """A set of keyword numbers as the ``size`` whole numbers of a mask."""
+    return [bits >> (MASK_BITS * i) & ((1 << MASK_BITS) - 1) for i in range(size)]
+
+
+def mask_size(catalog: Mapping[str, str]) -> int:
+    return max(1, -(-len(catalog) // MASK_BITS))
+
+
 def keyword_mask(normalized: Column, catalog: Mapping[str, str] = vocab.CLASS_KEYWORDS) -> Column:
-    """One bit per catalog keyword found; bits of several texts merge by OR.
+    """The catalog keywords found, one bit each, as an array of longs; any catalog size will do.
 
     A plain substring test comes first, so the pattern runs on likely texts only.
     """
     def scan(text):
-        mask = F.lit(0).cast("bigint")
-        for bit, word in enumerate(catalog):
+        words = [F.lit(0).cast("bigint")] * mask_size(catalog)
+        for number, word in enumerate(catalog):
+            at, bit = divmod(number, MASK_BITS)
             hit = F.contains(text, F.lit(word.split(" ")[0])) & text.rlike(phrase_pattern(word))
-            mask = mask.bitwiseOR(F.when(hit, F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint"))
-        return mask
+            words[at] = words[at].bitwiseOR(F.when(hit, F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint"))
+        return F.array(*words)
 
     return let(scan, text=F.coalesce(normalized, F.lit("")))
 
 
-def _bits(mask: Column, wanted: int) -> Column:
-    return mask.bitwiseAND(F.lit(wanted).cast("bigint"))
+def either(a: Column, b: Column) -> Column:
+    """The keywords of either mask."""
+    return F.zip_with(a, b, lambda x, y: x.bitwiseOR(y))
+
+
+def merged_mask(mask: Column, catalog: Mapping[str, str] = vocab.CLASS_KEYWORDS) -> Column:
+    """Aggregate: the keywords of all masks of a group.  Masks are combined before they are
+    shuffled, so a group of any number of texts sends one per task."""
+    return F.array(*[F.bit_or(F.get(mask, i)) for i in range(mask_size(catalog))])
+
+
+def has_any(mask: Column, wanted: int) -> Column:
+    found = F.lit(False)
+    for i, bits in enumerate(_words_of(wanted, wanted.bit_length() // MASK_BITS + 1)):
+        if bits:
+            found = found | (F.get(mask, i).bitwiseAND(F.lit(bits).cast("bigint")) != 0)
+    return found
+
+
+def only(mask: Column, wanted: int) -> Column:
+    """The keywords of a mask that are among ``wanted``."""
+    kept = _words_of(wanted, wanted.bit_length() // MASK_BITS + 1)
+    return F.transform(mask, lambda word, i: word.bitwiseAND(F.coalesce(F.get(F.array(*[F.lit(k).cast("bigint") for k in kept]), i), F.lit(0).cast("bigint"))))
 
 
 def keywords_in(mask: Column, catalog: Mapping[str, str] = vocab.CLASS_KEYWORDS) -> Column:
-    return F.array_compact(
-        F.array(*[F.when(_bits(mask, 1 << bit) != 0, F.lit(w)) for bit, w in enumerate(catalog)])
-    )
+    return F.array_compact(F.array(*[F.when(has_any(mask, 1 << number), F.lit(w)) for number, w in enumerate(catalog)]))
 
 
 def groups_in(
@@ -50,13 +83,21 @@ def groups_in(
 ) -> Column:
     """The exclusive groups among the found keywords, sorted."""
     groups: dict[str, int] = {}
-    for bit, (_, group) in enumerate(catalog.items()):
+    for number, (_, group) in enumerate(catalog.items()):
         if group not in skip:
-            groups[group] = groups.get(group, 0) | (1 << bit)
-    names = [F.when(_bits(mask, bits) != 0, F.lit(g)) for g, bits in sorted(groups.items())]
+            groups[group] = groups.get(group, 0) | (1 << number)
+    names = [F.when(has_any(mask, bits), F.lit(g)) for g, bits in sorted(groups.items())]
     return F.array_compact(F.array(*names))
 
 
+def keyword_sets(
+    texts: DataFrame, by: Sequence[str], text: str, catalog: Mapping[str, str] = vocab.CLASS_KEYWORDS
+) -> DataFrame:
+    """``(*by, mask)``: the keywords of all texts of a group; texts themselves are not shuffled."""
+    marked = texts.select(*by, keyword_mask(normalize_text(text), catalog).alias("mask"))
+    return marked.groupBy(*by).agg(merged_mask(F.col("mask"), catalog).alias("mask"))
+
+
 def conflict(
     declared: Column, observed: Column,
     catalog: Mapping[str, str] = vocab.CLASS_KEYWORDS,
@@ -70,7 +111,7 @@ def conflict(
 
     def judge(declared, both, groups):
         is_conflict = (F.size(groups_in(declared, catalog, skip)) > 0) & (F.size(groups) >= 2)
-        words = F.array_sort(keywords_in(_bits(both, exclusive), catalog))
+        words = F.array_sort(keywords_in(only(both, exclusive), catalog))
         return F.struct(
             is_conflict.alias("conflict"),
             F.when(is_conflict, groups).alias("groups"),
@@ -79,7 +120,7 @@ def conflict(
 
     return let(
         lambda d, both: let(judge, declared=d, both=both, groups=groups_in(both, catalog, skip)),
-        d=declared, both=declared.bitwiseOR(observed),
+        d=declared, both=either(declared, observed),
     )
 
 

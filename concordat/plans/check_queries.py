@@ -398,11 +398,43 @@ def conflict_groups(spark, sf):
         cat.keyword_mask(normalize_text("d")).alias("dm"), cat.keyword_mask(normalize_text("o")).alias("om")
     )
     return masks.select(
-        F.array_join(cat.groups_in(F.col("dm").bitwiseOR(F.col("om"))), ",").alias("groups"),
+        F.array_join(cat.groups_in(cat.either(F.col("dm"), F.col("om"))), ",").alias("groups"),
         cat.conflict(F.col("dm"), F.col("om"))["conflict"].alias("conflict"),
     ).groupBy("groups", "conflict").agg(F.count(F.lit(1)).alias("n"))
 
 
+# A catalog of 104 keywords: sizes, which exclude nothing, and names of two words, grouped by the first.
+WIDE_CATALOG = {f"{50 * k}ml": "size" for k in range(1, 41)} | {
+    f"{kind} {thing}": kind
+    for kind in ("blue", "cold", "hot", "large", "new", "old", "red", "small")
+    for thing in ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")
+}
+
+
+@query(
+    "keyword_sets",
+    f"""
+with seen as (select l_orderkey, {ad.sql_norm('extracted_text')} as t from ({OK_READINGS})),
+hits as (select distinct l_orderkey, word, kind from seen join (
+    select unnest({list(WIDE_CATALOG)}) as word, unnest({list(WIDE_CATALOG.values())}) as kind) on contains(t, split_part(word, ' ', 1))
+  and regexp_matches(t, '\\b' || replace(word, ' ', '[\\s-]+') || '\\b'))
+select l_orderkey, coalesce(string_agg(word, ',' order by word), '') as keywords,
+  coalesce(array_to_string(list_sort(list_distinct(list(kind) filter (where kind <> 'size'))), ','), '') as groups,
+  coalesce(count(distinct kind) filter (where kind <> 'size'), 0) >= 2 as conflict
+from (select distinct l_orderkey from seen) left join hits using (l_orderkey) group by l_orderkey
+""",
+)
+def keyword_sets(spark, sf):
+    """The keywords of all readings of an order, from a catalog wider than a long has bits."""
+    rows = rd.ok_text(ad.readings(spark, sf))
+    sets = cat.keyword_sets(rows, ["l_orderkey"], "extracted_text", WIDE_CATALOG)
+    mask = F.col("mask")
+    return sets.select(
+        "l_orderkey", F.array_join(F.array_sort(cat.keywords_in(mask, WIDE_CATALOG)), ",").alias("keywords"),
+        F.array_join(cat.groups_in(mask, WIDE_CATALOG, ("size",)), ",").alias("groups"), cat.conflict(mask, mask, WIDE_CATALOG, ("size",))["conflict"].alias("conflict"),
+    )
+
+
 @query(
     "catalog_hits",
     rf"""

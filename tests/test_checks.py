@@ -149,3 +149,20 @@ def test_abv_policy(spark):
     got = pol.format_checks(df, ("abv_format", "nothing_known")).orderBy("id").collect()
     assert [r.verdict for r in got if r.check_key == "abv_format"] == [c[3] for c in cases]
     assert {r.verdict for r in got if r.check_key == "nothing_known"} == {"REVIEW"}
+
+
+def test_catalog_of_any_width(spark):
+    """Every one of 200 keywords is told apart, alone and merged over rows."""
+    from concordat.operators import catalog as cat
+
+    catalog = {f"kw{i}x": f"g{i % 7}" for i in range(200)}
+    rows = [(i, f"a kw{i}x here and kw{(i * 3) % 200}x") for i in range(200)] + [(500, "nothing"), (501, None)]
+    df = spark.createDataFrame(rows, "k int, t string").select("k", cat.keyword_mask(F.col("t"), catalog).alias("m"))
+    for r in df.select("k", cat.keywords_in(F.col("m"), catalog).alias("w"), cat.groups_in(F.col("m"), catalog, ("g0",)).alias("g")).collect():
+        numbers = {r.k, (r.k * 3) % 200} if r.k < 200 else set()
+        assert r.w == [f"kw{i}x" for i in sorted(numbers)]
+        assert r.g == sorted({f"g{i % 7}" for i in numbers} - {"g0"})
+    merged = spark.createDataFrame(rows, "k int, t string").withColumn("part", F.col("k") % 2)
+    got = {r.part: r.w for r in cat.keyword_sets(merged, ["part"], "t", catalog).select("part", cat.keywords_in(F.col("mask"), catalog).alias("w")).collect()}
+    # Odd rows name odd keywords only, even rows even ones.
+    assert got == {p: [f"kw{i}x" for i in range(p, 200, 2)] for p in (0, 1)}
