@@ -1,6 +1,6 @@
 """Spelling variants: words one edit apart, found by walking a trie that is a table of edges.
 
-The vocabulary's prefixes are the nodes of a trie, kept as rows ``(side, node, depth, letters, n)``:
+The vocabulary's prefixes are the nodes of a trie, kept as rows ``(side, node, depth, tails, n)``:
 the letters that lead on, and the count of the word that ends there.  A frontier of states
 ``(word, position, node, edits)`` is joined with the nodes of one depth after the other; a state
 moves on along its own letter, along another one, or past its own letter, the last two only once.
@@ -74,43 +74,47 @@ def _both_ways(words: DataFrame) -> DataFrame:
 
 
 def trie_nodes(words: DataFrame) -> DataFrame:
-    """``side, node, depth, letters, n`` of both tries, from the depth on at which a word one letter
-    shorter starts; ``n`` is NULL where no word ends.  A node has at most as many letters as the
-    alphabet, so none grows with the vocabulary."""
+    """``side, node, depth, tails, n`` of both tries, from the depth on at which a word one letter
+    shorter starts.  ``tails`` are the next two letters of the words that go on from a node, one
+    letter where a word ends with it; ``n`` is NULL where no word ends.  A node has no more tails
+    than the alphabet has pairs of letters, so none grows with the vocabulary."""
     depth = F.explode(F.sequence(F.floor((F.col("size") - 1) / 2).cast("int"), F.col("size")))
     steps = _both_ways(words).select("side", "own", "n", "size", depth.alias("depth"))
     steps = steps.select(
         "side", F.substring("own", F.lit(1), F.col("depth")).alias("node"), "depth",
-        F.when(F.col("depth") < F.col("size"), F.substring("own", F.col("depth") + 1, F.lit(1))).alias("letter"),
+        F.when(F.col("depth") < F.col("size"), F.substring("own", F.col("depth") + 1, F.lit(2))).alias("tail"),
         F.when(F.col("depth") == F.col("size"), F.col("n")).alias("n"),
     )
-    return steps.groupBy("side", "node", "depth").agg(F.collect_set("letter").alias("letters"), F.max("n").alias("n"))
+    return steps.groupBy("side", "node", "depth").agg(F.collect_set("tail").alias("tails"), F.max("n").alias("n"))
 
 
 def _moves() -> Column:
-    """Where a state leads from its node: an array of ``(at, node, edits, found, found_n)``, ``found``
-    where a neighbour ends.  ``at`` counts the word's letters that are used up."""
-    own, at, node, letters = F.col("own"), F.col("at"), F.col("node"), F.col("letters")
+    """Where a state leads from its node: an array of ``(node, at, edits, found, found_n)``, ``found``
+    where a neighbour ends.  ``at`` counts the word's letters that are used up.  With an edit made
+    a state moves only where the letter after next is at hand too, so that few dead ends are kept."""
+    own, at, node, tails = F.col("own"), F.col("at"), F.col("node"), F.col("tails")
     size = F.length(own)
-    letter = lambda i: F.substring(own, i + 1, F.lit(1))
+    letters = lambda i, n: F.substring(own, i + 1, F.lit(n))
     step = lambda to, at, edits, found, n: F.struct(to.alias("node"), at.alias("at"), F.lit(edits).alias("edits"), found.alias("found"), n.alias("found_n"))
-    no, nothing, no_n = F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("long")
+    no, no_n = F.lit(False), F.lit(None).cast("long")
+    nowhere = F.array().cast("array<struct<node:string,at:int,edits:int,found:boolean,found_n:bigint>>")
 
-    def along(i: Column, used: int, edits: int) -> Column:
-        """On by letter ``i`` of the word, which then has ``used`` letters more behind it."""
-        there = F.array(step(F.concat(node, letter(i)), at + used, edits, no, no_n))
-        return F.when((i < size) & F.array_contains(letters, letter(i)), there).otherwise(F.array().cast(there_type))
+    def along(i: Column) -> Column:
+        """With one edit, on by letter ``i`` of the word."""
+        return F.when((i < size) & F.array_contains(tails, letters(i, 2)), F.array(step(F.concat(node, letters(i, 1)), i + 1, 1, no, no_n))).otherwise(nowhere)
 
     def ending(where: Column) -> Column:
-        return F.when(where & F.col("ends").isNotNull(), F.array(step(node, size, 1, F.lit(True), F.col("ends")))).otherwise(F.array().cast(there_type))
+        return F.when(where & F.col("ends").isNotNull(), F.array(step(node, size, 1, F.lit(True), F.col("ends")))).otherwise(nowhere)
 
-    there_type = "array<struct<node:string,at:int,edits:int,found:boolean,found_n:bigint>>"
-    others = F.transform(F.filter(letters, lambda c: c > letter(at)), lambda c: step(F.concat(node, c), at + 1, 1, no, no_n))
+    same = F.array(step(F.concat(node, letters(at, 1)), at + 1, 0, no, no_n))
+    rest = letters(at + 1, 1)
+    other = F.filter(tails, lambda t: (F.substring(t, 2, 1) == rest) & (F.substring(t, 1, 1) > letters(at, 1)))
+    replaced = F.transform(other, lambda t: step(F.concat(node, F.substring(t, 1, 1)), at + 1, 1, no, no_n))
     # Of equal letters in a row the last one is left out; with it, the state takes its next letter.
-    skips = (at + 1 == size) | (letter(at) != letter(at + 1))
-    skipped = F.when(skips, F.concat(along(at + 1, 2, 1), ending(at + 1 == size))).otherwise(F.array().cast(there_type))
-    clean = F.concat(along(at, 1, 0), F.when(at < size, others).otherwise(F.array().cast(there_type)), F.when(at < size, skipped).otherwise(F.array().cast(there_type)))
-    return F.when(F.col("edits") == 0, clean).otherwise(F.concat(along(at, 1, 1), ending(at == size)))
+    skips = (at + 1 == size) | (letters(at, 1) != rest)
+    skipped = F.when(skips, F.concat(along(at + 1), ending(at + 1 == size))).otherwise(nowhere)
+    clean = F.when(at < size, F.concat(F.when(at + 1 < size, same).otherwise(nowhere), replaced, skipped)).otherwise(nowhere)
+    return F.when(F.col("edits") == 0, clean).otherwise(F.concat(along(at), ending(at == size)))
 
 
 def walked_pairs(words: DataFrame) -> DataFrame:
@@ -123,7 +127,7 @@ def walked_pairs(words: DataFrame) -> DataFrame:
     spark = words.sparkSession
     place = work_dir(spark, "trie")
     trie_nodes(words).write.partitionBy("depth").parquet(place)
-    nodes = spark.read.schema("side int, node string, letters array<string>, n long, depth int").parquet(place)
+    nodes = spark.read.schema("side int, node string, tails array<string>, n long, depth int").parquet(place)
     least, most = words.agg(F.min(F.length("word")), F.max(F.length("word"))).first()
     states = "side int, own string, own_n long, at int, node string, edits int, found boolean, found_n long"
     half = F.floor(F.col("size") / 2).cast("int")
@@ -136,7 +140,7 @@ def walked_pairs(words: DataFrame) -> DataFrame:
     for depth in range(least // 2 if least else 0, (most or -1) + 1):
         here = starts.filter(F.col("at") == depth)
         here = here if frontier is None else here.unionByName(frontier)
-        level = nodes.filter(F.col("depth") == depth).select("side", "node", "letters", F.col("n").alias("ends"))
+        level = nodes.filter(F.col("depth") == depth).select("side", "node", "tails", F.col("n").alias("ends"))
         moves = here.join(level, ["side", "node"]).select("side", "own", "own_n", F.explode(_moves()).alias("to"))
         levels.append(work_dir(spark, "trie-level"))
         moves.select("side", "own", "own_n", "to.at", "to.node", "to.edits", "to.found", "to.found_n").write.parquet(levels[-1])
