@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from concordat import vocab
 from concordat.functions.text import let, literal_regex, normalize_text
-from concordat.session import small_enough
+from concordat.operators.phrases import Grams, find_phrases, runs
 from concordat.vocab import FAIL, PASS, REVIEW
 
 
@@ -192,39 +192,24 @@ def class_status(verdict: Column) -> Column:
     )
 
 
-def catalog_hits(
-    texts: DataFrame, catalog: DataFrame, text_id: str, text: str = "text", phrase: str = "phrase",
-    max_words: int = 5,
-) -> DataFrame:
+#: Most words of a phrase that its gram takes in; longer phrases have several grams.
+PHRASE_RUN = 5
+
+
+def catalog_hits(texts: DataFrame, catalog: DataFrame, text_id: str, text: str = "text", phrase: str = "phrase") -> DataFrame:
     """``(text_id, phrase)`` for every catalog phrase found whole in a text.
 
-    Runs of words of the text meet the catalog in an equi-join, so the catalog
-    may be large; the match is then verified with its word boundaries.  The
-    catalog is sent to all executors only if its size is proven small.
-    ``max_words`` must cover the longest phrase; longer phrases are matched on
-    their first ``max_words`` words and verified in full.
+    A phrase shows all its words in the text, so its rarest run of them (see `find_phrases`) finds
+    every candidate by an equi-join; the match is then verified with its word boundaries.
     """
-    key = lambda c: F.array_join(F.regexp_extract_all(c, F.lit("(?U)(\\w+)"), F.lit(1)), " ")
-    phrases = catalog.select(phrase).distinct().withColumn(
-        "_key", F.substring_index(key(F.col(phrase)), " ", max_words)
-    )
-    def runs_of(words):
-        of_length = lambda n: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))),
-            lambda i: F.array_join(F.slice(words, i, n), " "),
-        )
-        if max_words == 1:
-            return F.array_distinct(words)
-        return F.array_distinct(F.flatten(F.array(*[of_length(F.lit(n)) for n in range(1, max_words + 1)])))
-
-    t = texts.select(text_id, normalize_text(text).alias("_t"))
-    runs = let(runs_of, words=F.regexp_extract_all(F.col("_t"), F.lit("(?U)(\\w+)"), F.lit(1)))
+    words = lambda c: F.regexp_extract_all(c, F.lit("(?U)(\\w+)"), F.lit(1))
+    count = F.size(words(F.col("phrase")))
+    of = lambda n: lambda c: runs(words(c), n, f"p{n}")
+    classes = [Grams(count >= n if n == PHRASE_RUN else count == n, of(n), of(n)) for n in range(PHRASE_RUN, 0, -1)]
     # The pattern mirrors `phrase_pattern` for a phrase that arrives as data.
     quoted = F.regexp_replace(F.col(phrase), "([\\\\.\\[\\]{}()*+?^$|])", "\\\\$1")
     pattern = F.concat(F.lit("(?U)\\b"), F.regexp_replace(quoted, " ", "[\\\\s-]+"), F.lit("\\b"))
-    if small_enough(catalog):
-        found = t.select(text_id, "_t", F.explode(runs).alias("_key")).join(F.broadcast(phrases), "_key")
-    else:
-        pairs = t.select(text_id, F.explode(runs).alias("_key")).join(phrases, "_key")
-        found = pairs.join(t.select(text_id, "_t"), text_id)
-    return found.filter(F.regexp_like("_t", pattern)).select(text_id, phrase).distinct()
+    phrases = catalog.select(F.col(phrase).alias("phrase_id"), F.col(phrase).alias("phrase"), pattern.alias("pattern")).distinct()
+    t = texts.select(F.col(text_id).alias("text_id"), normalize_text(text).alias("text"))
+    found = find_phrases(t, phrases, classes, lambda text, row: F.regexp_like(text, row["pattern"]))
+    return found.select(F.col("text_id").alias(text_id), F.col("phrase_id").alias(phrase))

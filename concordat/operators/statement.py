@@ -13,7 +13,7 @@ from concordat.functions.text import (
     collapse_ws, count_phrases, dehyphenate, has_value, initial_capital, is_all_caps, let,
     literal_regex, normalize_text,
 )
-from concordat.session import small_enough
+from concordat.operators.phrases import Grams, find_phrases, pieces, runs
 from concordat.vocab import FAIL, PASS, REVIEW
 
 COULD_NOT = "couldnt_verify"
@@ -278,80 +278,35 @@ def altered_segments(diffs: DataFrame) -> DataFrame:
 # --- containment of many statements in many texts -----------------------------
 
 
-GRAM = 5
+#: Sizes of runs of inner words that phrases are looked for by, and of runs of characters for
+#: phrases of one or two words; the longest that fits a phrase is used.
+WORD_RUNS = (5, 3, 2, 1)
+CHARACTER_RUNS = (4, 3, 2, 1)
 
 
-def _word_grams(text: Column, n: int) -> Column:
-    """Hashes of all runs of ``n`` words of normalized text."""
-    def runs(words):
-        starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-        hashed = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
-        return F.when(F.size(words) >= n, F.array_distinct(hashed))
-
-    return let(runs, words=F.split(text, " "))
+def _containment_classes() -> list[Grams]:
+    """A contained statement shows all its inner words whole; one without inner words shows its
+    characters."""
+    inner = lambda c: F.regexp_replace(c, "^[^ ]* | [^ ]*$", "")
+    words = lambda c: F.split(c, " ")
+    count, length = F.size(words(F.col("phrase"))), F.length("phrase")
+    classes = [Grams(count >= n + 2, lambda c, n=n: runs(words(c), n, f"w{n}"), lambda c, n=n: runs(words(inner(c)), n, f"w{n}")) for n in WORD_RUNS]
+    for n in CHARACTER_RUNS:
+        cut = lambda c, n=n: pieces(c, n, f"c{n}")
+        classes.append(Grams(length >= n, cut, cut))
+    return classes
 
 
 def statement_hits(
     texts: DataFrame, statements: DataFrame, text_id: str, statement_id: str,
     text: str = "text", statement: str = "statement",
 ) -> DataFrame:
-    """``(text_id, statement_id)`` where the normalized statement is contained.
-
-    A contained statement shows all its inner words whole, so one run of inner
-    words per statement finds every candidate by an equi-join; containment is
-    then verified.  Statements too short to have such a run use runs of
-    characters, which serve any length.  Statements are sent to all executors
-    only if their size is proven small; otherwise the run hashes are shuffled
-    without the texts.
+    """``(text_id, statement_id)`` where the normalized statement is contained in the normalized text.
+
+    Blank statements are in no text.  Each statement is looked for by its rarest run of inner words
+    (see `find_phrases`) and then verified.
     """
-    t = texts.select(text_id, normalize_text(text).alias("_t"))
-    s = statements.select(statement_id, normalize_text(statement).alias("_s")).filter("_s != ''")
-    small = small_enough(statements)
-    count = F.size(F.split("_s", " "))
-    hits = None
-    plans = [
-        (count >= GRAM + 2, lambda c: _word_grams(c, GRAM), lambda c: _word_grams(F.regexp_replace(c, "^[^ ]* | [^ ]*$", ""), GRAM)),
-        (count < GRAM + 2, None, None),
-    ]
-    for wanted, grams, inner in plans:
-        part = s.filter(wanted)
-        if grams is None:
-            found = _short_hits(t, part, text_id, statement_id)
-        else:
-            anchors = part.select(statement_id, "_s", F.array_min(inner(F.col("_s"))).alias("_g"))
-            keyed = t.select(text_id, F.explode(grams(F.col("_t"))).alias("_g"), *(["_t"] if small else []))
-            if small:
-                found = keyed.join(F.broadcast(anchors), "_g").filter(F.contains("_t", "_s"))
-            else:
-                pairs = keyed.join(anchors.select(statement_id, "_g"), "_g").select(text_id, statement_id)
-                found = pairs.join(t, text_id).join(part, statement_id).filter(F.contains("_t", "_s"))
-            found = found.select(text_id, statement_id)
-        hits = found if hits is None else hits.unionByName(found)
-    return hits
-
-
-def _short_hits(t: DataFrame, s: DataFrame, text_id: str, statement_id: str) -> DataFrame:
-    """Candidates by the first characters of a short statement (three, or its
-    whole length when it is shorter), then verified."""
-    out = None
-    for n in (1, 2, 3):
-        part = s.filter(F.length("_s") == n if n < 3 else F.length("_s") >= 3)
-        keys = part.select(statement_id, "_s", F.left("_s", F.lit(n)).alias("_g"))
-        grams = let(
-            lambda t: F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))),
-                    lambda i: F.substring(t, i, F.lit(n)),
-                )
-            ),
-            t=F.col("_t"),
-        )
-        pairs = (
-            t.select(text_id, F.explode(grams).alias("_g"))
-            .join(keys.select(statement_id, "_g"), "_g")
-            .select(text_id, statement_id)
-        )
-        found = pairs.join(t, text_id).join(s, statement_id).filter(F.contains("_t", "_s"))
-        found = found.select(text_id, statement_id)
-        out = found if out is None else out.unionByName(found)
-    return out
+    t = texts.select(F.col(text_id).alias("text_id"), normalize_text(text).alias("text"))
+    s = statements.select(F.col(statement_id).alias("phrase_id"), normalize_text(statement).alias("phrase")).filter("phrase != ''")
+    found = find_phrases(t, s, _containment_classes(), lambda text, row: F.contains(text, row["phrase"]))
+    return found.select(F.col("text_id").alias(text_id), F.col("phrase_id").alias(statement_id))

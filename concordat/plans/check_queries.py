@@ -450,7 +450,7 @@ def catalog_hits(spark, sf):
     words = b.select(F.explode(F.split(F.lower("text"), " ")).alias("phrase"))
     catalog = words.filter(F.col("phrase").rlike("^[a-z]{6,}$")).distinct()
     docs = ad.spread(ad.table(spark, sf, "documents"))
-    return cat.catalog_hits(docs, catalog, "doc_id", max_words=1).groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
+    return cat.catalog_hits(docs, catalog, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
 # --- policies ---------------------------------------------------------------------

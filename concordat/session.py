@@ -49,6 +49,13 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written into the shared folder and read back, so that it is worked out once."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_enough(df: DataFrame, limit_bytes: int = 64 << 20) -> bool:
     """Whether the optimizer's size estimate proves ``df`` fits a broadcast."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()

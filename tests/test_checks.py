@@ -166,3 +166,23 @@ def test_catalog_of_any_width(spark):
     got = {r.part: r.w for r in cat.keyword_sets(merged, ["part"], "t", catalog).select("part", cat.keywords_in(F.col("mask"), catalog).alias("w")).collect()}
     # Odd rows name odd keywords only, even rows even ones.
     assert got == {p: [f"kw{i}x" for i in range(p, 200, 2)] for p in (0, 1)}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_phrases_with_a_hot_gram(spark, monkeypatch, small):
+    """Nine of ten texts share every gram of one phrase; keys and groups are split where they are many."""
+    from concordat.operators import phrases as ph
+
+    if small:
+        monkeypatch.setattr(ph, "KEY_TEXTS", 7)
+        monkeypatch.setattr(ph, "TEXT_PHRASES", 2)
+    texts = [(i, f"so begins the common passage of number {i % 13} that all share" if i % 10 else f"other text {i}") for i in range(200)] + [(900, None), (901, "")]
+    items = ["begins the common passage of number 3 that", "the common passage", "common passage of", "o", "her tex", "number 7", "absent words here", "", "x", "all share", "number 1"]
+    t = spark.createDataFrame(texts, "id int, text string")
+    s = spark.createDataFrame(list(enumerate(items)), "sid int, statement string")
+    got = sorted(tuple(r) for r in st.statement_hits(t, s, "id", "sid").collect())
+    assert got == sorted((i, j) for i, x in texts for j, y in enumerate(items) if y and x and y in x)
+    assert st.statement_hits(t, s.limit(0), "id", "sid").count() == 0
+    hits = sorted(tuple(r) for r in cat.catalog_hits(t, s.select(F.col("statement").alias("phrase")), "id").collect())
+    whole = lambda x, y: f" {y} " in f" {x} "
+    assert hits == sorted((i, y) for i, x in texts for y in items if y and x and whole(x, y))
