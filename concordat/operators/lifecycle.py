@@ -26,10 +26,25 @@ def status_index(col: Column | str) -> Column:
 
 
 def with_transitions(events: DataFrame, status: str = "to_status", key: str = "submission_id",
-                     order: tuple[str, ...] = ("occurred_at", "id")) -> DataFrame:
-    """Adds the status before each event and whether the event moves forward."""
-    w = W.partitionBy(key).orderBy(*order)
-    df = events.withColumn("from_status", F.lag(status).over(w))
+                     order: tuple[str, ...] = ("occurred_at", "id"), slice_rows: int = 1_000_000) -> DataFrame:
+    """Adds the status before each event and whether the event moves forward.
+
+    Events are cut into slices by the first column of ``order``, a time.  A row looks back inside
+    its slice; the first row of a key in a slice takes the last status of the key's slice before.
+    So a submission with most of the events is shared by as many tasks as it has slices.
+    """
+    cuts = _slices(events, slice_rows, order[0])
+    at = F.size(F.filter(F.lit(cuts), lambda c: c <= _micros(order[0]))) if cuts else F.lit(0)
+    df = events.withColumn("_slice", at)
+    inside = W.partitionBy(key, "_slice").orderBy(*order)
+    df = df.withColumns({"_before": F.lag(status).over(inside), "_first": F.row_number().over(inside) == 1})
+    last = df.groupBy(key, "_slice").agg(F.max_by(status, F.struct(*order)).alias("_last"))
+    carried = last.select(
+        F.col(key).alias("_key"), F.col("_slice").alias("_of"), F.lag("_last").over(W.partitionBy(key).orderBy("_slice")).alias("_carried")
+    )
+    # NULL-safe, so that events without a key follow each other too.
+    df = df.join(carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_of")))
+    df = df.select(*events.columns, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before")).alias("from_status"))
     now, before = status_index(status), status_index("from_status")
     return df.withColumn("is_forward", F.coalesce(now > before, F.col("from_status").isNull()))
 
@@ -78,17 +93,17 @@ def _replay(pdf: pd.DataFrame, state: str | None) -> pd.DataFrame:
     )
 
 
-def _micros() -> Column:
-    return F.unix_micros(F.col("occurred_at").cast("timestamp")).cast("double")
+def _micros(time: str = "occurred_at") -> Column:
+    return F.unix_micros(F.col(time).cast("timestamp")).cast("double")
 
 
-def _slices(events: DataFrame, slice_rows: int) -> list:
+def _slices(events: DataFrame, slice_rows: int, time: str = "occurred_at") -> list:
     """Cut points in time so that a slice holds about ``slice_rows`` events."""
     wanted = max(1, events.count() // slice_rows)
     if wanted == 1:
         return []
     shares = [i / wanted for i in range(1, wanted)]
-    micros = events.select(_micros().alias("t"))
+    micros = events.select(_micros(time).alias("t"))
     return sorted(set(micros.approxQuantile("t", shares, 0.1 / wanted)))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from concordat import vocab
+from concordat.functions.text import normalize_text
+from concordat.operators import blocks as bl
 from concordat.operators import cards as cd
 from concordat.operators import quality as ql
 from concordat.operators import readings as rd
@@ -218,3 +220,24 @@ def fk_set_null(spark, sf):
 def fk_cascade(spark, sf):
     parents = ad.table(spark, sf, "customer").filter("c_mktsegment <> 'BUILDING'")
     return ql.cascade(ad.table(spark, sf, "orders"), parents, "o_custkey", "c_custkey").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query(
+    "joined_positions",
+    f"""
+with j as (select submission_id, {ad.sql_norm('text')} as t from (
+  select submission_id, string_agg(extracted_text, chr(10) order by l_orderkey, l_linenumber, l_suppkey) as text
+  from ({ad.READINGS_SQL}) where status = 'OK' and trim(extracted_text) <> '' group by submission_id)),
+f as (select id as submission_id, needle from (select id, unnest([{ad.sql_norm('brand_name')}, 'alc bourbon ' || {ad.sql_norm('brand_name')}, 'vodka', 'of scotland']) as needle from ({ad.FILED_SQL})))
+select f.submission_id, f.needle, nullif(instr(t, nullif(needle, '')), 0) as first
+from (select distinct * from f) f left join j using (submission_id)
+""",
+)
+def joined_positions(spark, sf):
+    """Where names and phrases, also over the borders of readings, stand in a submission's joined text."""
+    reads = rd.ok_text(ad.readings(spark, sf))
+    blocks = bl.text_blocks(reads, 64, order="l_orderkey", ties=("l_linenumber", "l_suppkey"))
+    name = normalize_text("brand_name")
+    needles = F.array(name, F.concat(F.lit("alc bourbon "), name), F.lit("vodka"), F.lit("of scotland"))
+    wanted = ad.filed(spark, sf).select(F.col("id").alias("submission_id"), F.explode(needles).alias("needle")).distinct()
+    return bl.positions(blocks, wanted, key="submission_id")

@@ -238,14 +238,24 @@ def current_status(spark, sf):
     return lc.current_status(lc.lifecycle(ad.lifecycle_events(ad.table(spark, sf, "events"))))
 
 
-@query("with_transitions", f"""with e as (select *, lag(to_status) over (partition by submission_id order by occurred_at, event_id) as from_status from ({ad.LIFECYCLE_SQL}) where to_status is not null),
+TRANSITIONS_SQL = f"""with e as (select *, lag(to_status) over (partition by submission_id order by occurred_at, event_id) as from_status from ({ad.LIFECYCLE_SQL}) where to_status is not null),
   idx as (select * from (values ('RECEIVED', 0), ('PROCESSING', 1), ('READY_FOR_REVIEW', 2), ('IN_REVIEW', 3), ('DECIDED', 4)) t(name, i))
-  select event_id, from_status, coalesce(a.i > b.i, true) as is_forward from e left join idx a on a.name = to_status left join idx b on b.name = from_status""")
+  select event_id, from_status, coalesce(a.i > b.i, true) as is_forward from e left join idx a on a.name = to_status left join idx b on b.name = from_status"""
+
+
+@query("with_transitions", TRANSITIONS_SQL)
 def with_transitions(spark, sf):
     e = ad.lifecycle_events(ad.table(spark, sf, "events")).filter("to_status is not null").withColumnRenamed("event_id", "id")
     return lc.with_transitions(e).select(F.col("id").alias("event_id"), "from_status", "is_forward")
 
 
+@query("transitions_sliced", TRANSITIONS_SQL)
+def transitions_sliced(spark, sf):
+    """The same in slices, as it runs for submissions with very many events."""
+    e = ad.lifecycle_events(ad.table(spark, sf, "events")).filter("to_status is not null").withColumnRenamed("event_id", "id")
+    return lc.with_transitions(e, slice_rows=700).select(F.col("id").alias("event_id"), "from_status", "is_forward")
+
+
 @query("stuck", f"""select submission_id, since from (select submission_id, arg_max(to_status, row(occurred_at, event_id)) as st, max(occurred_at) as since from ({ad.LIFECYCLE_SQL}) group by 1)
   where st = 'PROCESSING' and since + interval 1 hour <= timestamp '2030-01-01'""")
 def stuck(spark, sf):

@@ -215,8 +215,8 @@ def _next_number(fs, root) -> int:
 RANK_SLICE = 1_000_000
 
 
-def spread_rank(df: DataFrame, key: str, order: str, out: str) -> DataFrame:
-    """1-based rank by a whole-number column inside ``key``, in bounded groups.
+def spread_rank(df: DataFrame, key: str, order: str, out: str, ties: Sequence[str] = ()) -> DataFrame:
+    """1-based rank by a whole-number column, then by ``ties``, inside ``key``, in bounded groups.
 
     Rows are ranked inside (key, slice of the order column) and moved up by the
     sizes of the slices before, so a hot key is shared by many tasks.
@@ -225,7 +225,7 @@ def spread_rank(df: DataFrame, key: str, order: str, out: str) -> DataFrame:
     sizes = sliced.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_c"))
     before = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    inside = W.partitionBy(key, "_slice").orderBy(order)
+    inside = W.partitionBy(key, "_slice").orderBy(order, *ties)
     return (
         sliced.withColumn("_in", F.row_number().over(inside))
         .join(sizes, [key, "_slice"])
