@@ -13,6 +13,7 @@ from concordat.functions.jsonfields import string_list, string_map
 from concordat.functions.measures import numeric_line
 from concordat.functions.similarity import best_window
 from concordat.functions.text import has_value, lookup, normalize_text
+from concordat.operators.joins import left_join_spread
 from concordat.vocab import FAIL, MATCH, MISMATCH, MISSING, NA, PASS, REVIEW, UNVERIFIABLE
 
 # Notes shown with each card state and statement outcome.
@@ -39,7 +40,8 @@ def comparison_view(cmp: DataFrame, ocr: DataFrame, llm: DataFrame) -> DataFrame
     """Comparisons with ``extracted_source``: ``ocr:<engine>``, ``llm:<model>`` or NULL."""
     o = ocr.select(F.col("id").alias("source_ocr_result_id"), F.col("engine_name").alias("_e"))
     m = llm.select(F.col("id").alias("source_llm_result_id"), F.col("model_id").alias("_m"))
-    joined = cmp.join(o, "source_ocr_result_id", "left").join(m, "source_llm_result_id", "left")
+    # A comparison has one source at most, so most rows lack one id or the other.
+    joined = left_join_spread(left_join_spread(cmp, o, "source_ocr_result_id"), m, "source_llm_result_id")
     source = F.when(
         F.col("source_ocr_result_id").isNotNull(), F.concat(F.lit("ocr:"), F.col("_e"))
     ).when(F.col("source_llm_result_id").isNotNull(), F.concat(F.lit("llm:"), F.col("_m")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from concordat import vocab
 from concordat.functions.text import has_value
+from concordat.operators.joins import left_join_spread
 
 
 def in_domain(col: str, allowed: Sequence[str]) -> Column:
@@ -116,7 +117,7 @@ def set_null(child: DataFrame, parent: DataFrame, child_key: str, parent_key: st
     refs = parent.select(F.col(parent_key).alias(child_key), F.lit(True).alias("_found")).distinct()
     cols = child.columns
     return (
-        child.join(refs, child_key, "left")
+        left_join_spread(child, refs, child_key)
         .withColumn(child_key, F.when(F.col("_found"), F.col(child_key)))
         .select(*cols)
     )

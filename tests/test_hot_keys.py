@@ -52,3 +52,30 @@ def test_transitions_of_one_submission_in_slices(spark):
         last.setdefault(key, []).append((i, status))
     want = {i: before for events in last.values() for (_, before), (i, _) in zip([(None, None), *events], events)}
     assert {x.id: x.from_status for x in sliced.collect()} == want
+
+
+def test_rows_without_a_key_are_dealt_evenly(spark):
+    from concordat.operators import cards, quality
+    from concordat.operators.joins import left_join_spread
+
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    for k, v in zip(saved, ("-1", "false", "16")):
+        spark.conf.set(k, v)
+    try:
+        # Nine of ten rows have no key.
+        rows = spark.range(20_000).select(F.col("id").alias("n"), F.when(F.col("id") % 10 == 0, F.col("id") % 400).alias("k"))
+        right = spark.range(300).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+        joined = left_join_spread(rows, right, "k")
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 16 and max(sizes) < 2 * 20_000 / 16
+        want = {(r.n, r.k, 2 * r.k if r.k is not None and r.k < 300 else None) for r in rows.collect()}
+        assert {(r.n, r.k, r.v) for r in joined.collect()} == want and joined.columns == ["k", "n", "v"]
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    parents = spark.createDataFrame([(1,), (1,), (2,)], "p long")
+    children = spark.createDataFrame([(1, 1), (2, 3), (3, None), (3, None)], "id long, p long")
+    assert sorted(map(tuple, quality.set_null(children, parents, "p", "p").collect()), key=str) == [(1, 1), (2, None), (3, None), (3, None)]
+    cmp = spark.createDataFrame([(1, 5, None), (2, None, 6), (3, None, None), (4, 9, None)], "id long, source_ocr_result_id long, source_llm_result_id long")
+    ocr, llm = spark.createDataFrame([(5, "e")], "id long, engine_name string"), spark.createDataFrame([(6, "m")], "id long, model_id string")
+    assert {r.id: r.extracted_source for r in cards.comparison_view(cmp, ocr, llm).collect()} == {1: "ocr:e", 2: "llm:m", 3: None, 4: None}
