@@ -14,6 +14,7 @@ from concordat.plans.sequence_sql import best_window_ctes
 from concordat.session import work_dir
 from concordat.streaming import intake as si
 from concordat.streaming.lifecycle import lifecycle_stream
+from concordat.streaming.timed import STORE, timed_lifecycle
 
 # --- cards ----------------------------------------------------------------------------
 
@@ -310,6 +311,33 @@ def lifecycle_streamed(spark, sf):
     return spark.read.parquet(out).select("event_id", "accepted", "from_status")
 
 
+RESCUE_HOURS = 6
+# The fold of event order, in which a submission that has been in PROCESSING for too long is finished
+# before its next event, or at the end of all events.
+TIMED_SQL = FOLD_SQL.replace("true as accepted from (select distinct", "true as accepted, null::timestamp as seen_at, null::timestamp as rescued from (select distinct").replace(
+    "from f join x on x.submission_id = f.submission_id and x.rn = f.rn + 1)",
+    f""", x.occurred_at, case when f.before_rescue then f.seen_at + interval {RESCUE_HOURS} hour end
+  from (select g.submission_id, g.rn, g.seen_at, g.state = 1 and y.occurred_at > g.seen_at + interval {RESCUE_HOURS} hour as before_rescue,
+          case when g.state = 1 and y.occurred_at > g.seen_at + interval {RESCUE_HOURS} hour then 2 else g.state end as state
+        from f g join x y on y.submission_id = g.submission_id and y.rn = g.rn + 1) f
+  join x on x.submission_id = f.submission_id and x.rn = f.rn + 1)""",
+)
+
+
+@query(
+    "lifecycle_timed",
+    f"""{TIMED_SQL} select submission_id, event_id, epoch_us(seen_at) as micros, accepted, b.name as from_status from f left join idx b on b.i = f.before where rn > 0
+    union all select submission_id, -1, epoch_us(rescued), true, 'PROCESSING' from f where rescued is not null
+    union all select submission_id, -1, epoch_us(seen_at + interval {RESCUE_HOURS} hour), true, 'PROCESSING' from (select *, max(rn) over (partition by submission_id) as last from f)
+      where rn = last and state = 1 and epoch_ms(seen_at + interval {RESCUE_HOURS} hour) <= (select epoch_ms(max(occurred_at)) from e)""",
+)
+def lifecycle_timed(spark, sf):
+    """The stream in event order with its rescue timer, which fires between events and at the end."""
+    out = si.run_to_end(timed_lifecycle(event_stream(spark, sf), "0 seconds", RESCUE_HOURS * 3_600_000), work_dir(spark, "timed"), store=STORE)
+    rows = spark.read.parquet(out)
+    return rows.select("submission_id", "event_id", F.unix_micros("occurred_at").alias("micros"), "accepted", "from_status")
+
+
 @query("append_audit", f"{FOLD_SQL} select event_id, x.event_type from f join x using (event_id) where accepted and event_id is not null")
 def append_audit(spark, sf):
     folded = lc.audit_rows(lifecycle_stream(event_stream(spark, sf)))

@@ -26,17 +26,26 @@ def read_files(
 
 def run_to_end(
     stream: DataFrame, out: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None,
-    progress: str | None = None,
+    progress: str | None = None, store: str | None = None,
 ) -> str:
     """Process everything that is available, then stop.  Returns ``out``.
 
+    ``store`` is the class of the state store that this stream needs, if not the session's.
+
     Progress and state are kept in ``progress``, by default beside ``out``, so a further run
     to the same output goes on where the last one ended.
     """
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True)
     writer = writer.option("checkpointLocation", progress or f"{out.rstrip('/')}.progress")
-    query = writer.foreachBatch(each).start() if each else writer.format("parquet").start(out)
-    query.awaitTermination()
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key)
+    try:
+        if store:
+            conf.set(key, store)
+        query = writer.foreachBatch(each).start() if each else writer.format("parquet").start(out)
+        query.awaitTermination()
+    finally:
+        conf.set(key, before)
     return out
 
 

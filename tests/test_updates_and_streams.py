@@ -68,3 +68,30 @@ def test_queue_views_count_an_id_once(spark):
     assert [r.id for r in spark.read.parquet(f"{out}/next").collect()] == [1]
     put((1, "WINE", "DECIDED", None))
     assert [r.id for r in spark.read.parquet(f"{out}/next").collect()] == [2]
+
+
+def test_timed_lifecycle_folds_late_events_in_order_and_rescues(spark):
+    from concordat.streaming.timed import STORE, timed_lifecycle
+
+    source, out = work_dir(spark, "source"), work_dir(spark, "out")
+    schema = "submission_id long, event_id long, occurred_at timestamp, event_type string, to_status string"
+
+    def put(*rows):
+        df = spark.createDataFrame([(*r[:2], f"2024-01-01 {r[2]}", *r[3:]) for r in rows], schema.replace("timestamp", "string"))
+        df = df.withColumn("occurred_at", F.to_timestamp("occurred_at"))
+        df.write.mode("append").parquet(source)
+        si.run_to_end(timed_lifecycle(si.read_files(spark, source, df.schema), "1 hour", 1_800_000), out, store=STORE)
+        return sorted((r.submission_id, str(r.occurred_at)[11:], r.event_id, r.accepted, r.from_status) for r in spark.read.schema(df.schema.add("accepted", "boolean").add("from_status", "string")).parquet(out).collect())
+
+    assert put((1, 1, "00:00:00", "SEEDED", "RECEIVED"), (1, 3, "00:10:00", "READY", "READY_FOR_REVIEW")) == []
+    # Event 2 comes after its successor; submission 2 stays in PROCESSING until its timer fires.
+    got = put(
+        (1, 2, "00:05:00", "OCR_STARTED", "PROCESSING"), (2, 4, "00:00:00", "SEEDED", "RECEIVED"), (2, 5, "00:01:00", "OCR_STARTED", "PROCESSING"),
+        (3, 6, "00:00:00", "SEEDED", "RECEIVED"), (3, 7, "00:20:00", "OCR_STARTED", "PROCESSING"), (3, 8, "00:50:00", "READY", "READY_FOR_REVIEW"), (9, 9, "02:00:00", "SEEDED", "RECEIVED"),
+    )
+    assert got == [
+        (1, "00:00:00", 1, True, None), (1, "00:05:00", 2, True, "RECEIVED"), (1, "00:10:00", 3, True, "PROCESSING"),
+        (2, "00:00:00", 4, True, None), (2, "00:01:00", 5, True, "RECEIVED"), (2, "00:31:00", -1, True, "PROCESSING"),
+        (3, "00:00:00", 6, True, None), (3, "00:20:00", 7, True, "RECEIVED"), (3, "00:50:00", 8, True, "PROCESSING"),
+    ]
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
