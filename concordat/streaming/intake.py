@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from concordat.operators.queue import oldest_ready_per_type, waiting_by_type
+from concordat.operators.queue import READY
 from concordat.plans.engine import run_rules
 from concordat.rules import RULES, Rule
 
@@ -112,19 +114,86 @@ def throughput(events: DataFrame, width: str, delay: str, ts: str = "occurred_at
     )
 
 
-def serve_queue(stream: DataFrame, table: str, out: str) -> str:
-    """Refresh the waiting counts and next items after every batch.
+#: What a change of the queue is: an id enters (1) or leaves (-1) the ready rows of its type.
+CHANGE = "id bigint, beverage_type string, submitted bigint, sign int"
+#: Width of a slice of submission times: 32 days.  Slice of rows without a time, which come first.
+_SLICE = 32 * 86_400_000_000
+_NO_TIME = -1_000_000
+#: Files of a slice that a batch writes at most.
+_FILES = 8
+
 
-    Arrived rows are appended to ``table``; both views are small aggregates of the newest row
-    of every id, by batch and, within one, by ``updated_at`` where the rows have it.
+def ready_changes(stream: DataFrame) -> DataFrame:
+    """Signed changes of the set of ready rows, from the newest row of every id.
+
+    The state of an id is its ready row or none; a batch looks up the ids that arrive in it.
+    Of several rows of an id in a batch the one of the last ``updated_at`` counts, where rows have it.
     """
+    updated = F.unix_micros(F.col("updated_at").cast("timestamp")) if "updated_at" in stream.columns else F.lit(0).cast("bigint")
+    rows = stream.select(
+        F.col("id").cast("bigint").alias("id"), "beverage_type", F.unix_micros(F.col("submitted_at").cast("timestamp")).alias("submitted"),
+        F.coalesce(F.col("status") == READY, F.lit(False)).alias("ready"), updated.alias("updated"),
+    )
 
-    def refresh(subs: DataFrame, batch_id: int) -> None:
-        subs.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-        rows = subs.sparkSession.read.parquet(table).filter(F.col("batch_id") <= batch_id)
-        newest = F.struct("batch_id", *[c for c in ("updated_at",) if c in subs.columns])
-        current = rows.groupBy("id").agg(F.max_by(F.struct(*subs.columns), newest).alias("_r")).select("_r.*")
-        waiting_by_type(current).write.mode("overwrite").parquet(f"{out}/waiting")
-        oldest_ready_per_type(current).write.mode("overwrite").parquet(f"{out}/next")
+    def follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # Most groups are one row, so plain values cost far less than frames here.
+        newest = None
+        for pdf in batches:
+            for row in zip(*(pdf[c].tolist() for c in ("updated", "beverage_type", "submitted", "ready"))):
+                row = tuple(None if x is None or x != x else x for x in row)
+                if newest is None or (row[0] is not None and (newest[0] is None or row[0] >= newest[0])):
+                    newest = row
+        was = tuple(state.get) if state.exists else None
+        now = (newest[1], None if newest[2] is None else int(newest[2])) if newest[3] else None
+        if was == now:
+            return
+        signed = [(key[0], *row, sign) for row, sign in ((was, -1), (now, 1)) if row is not None]
+        if now is None:
+            state.remove()
+        else:
+            state.update(now)
+        yield pd.DataFrame(signed, columns=["id", "beverage_type", "submitted", "sign"], dtype=object)
+
+    return rows.groupBy("id").applyInPandasWithState(follow, CHANGE, "beverage_type string, submitted bigint", "append", GroupStateTimeout.NoTimeout)
 
-    return run_to_end(stream, out, each=refresh)
+
+def serve_queue(stream: DataFrame, table: str, out: str) -> str:
+    """Refresh the waiting counts and next items after every batch.
+
+    A batch adds its signed changes to running counts by type and slice of submission times, and
+    to a log by slice in ``table``.  The next item of a type lies in the first slice that has a ready
+    row, so of the log only those slices are read.  What a batch costs does not grow with the history; a
+    repeated batch starts from the counts of the one before it and replaces what it wrote.
+    """
+    slices = F.coalesce(F.floor(F.col("submitted") / _SLICE), F.lit(_NO_TIME)).cast("bigint")
+
+    def refresh(changes: DataFrame, batch_id: int) -> None:
+        spark = changes.sparkSession
+        changes = changes.withColumns({"slice": slices, "batch_id": F.lit(batch_id)}).persist()
+        log = changes.select("id", "beverage_type", "submitted", "sign", "slice", "batch_id")
+        log = log.repartition("slice", F.pmod(F.xxhash64("id"), F.lit(_FILES))).write.mode("overwrite")
+        log.option("partitionOverwriteMode", "dynamic").partitionBy("slice", "batch_id").parquet(table)
+        counts = changes.groupBy("beverage_type", "slice").agg(F.sum("sign").alias("n"))
+        if batch_id:
+            counts = counts.unionByName(spark.read.parquet(f"{out}/counts/batch_id={batch_id - 1}"))
+        counts = counts.groupBy("beverage_type", "slice").agg(F.sum("n").alias("n")).filter("n <> 0")
+        counts.write.mode("overwrite").parquet(f"{out}/counts/batch_id={batch_id}")
+        changes.unpersist()
+
+        counts = spark.read.schema("beverage_type string, slice bigint, n bigint").parquet(f"{out}/counts/batch_id={batch_id}")
+        total = counts.cube("beverage_type").agg(F.sum("n").alias("waiting"), F.grouping("beverage_type").cast("int").alias("is_total"))
+        total.write.mode("overwrite").parquet(f"{out}/waiting")
+        heads = counts.groupBy("beverage_type").agg(F.min("slice").alias("slice"))
+        wanted = sorted({r.slice for r in heads.collect()})  # one row per type
+        if wanted:
+            rows = spark.read.option("basePath", table).schema(f"{CHANGE}, slice bigint, batch_id bigint").parquet(*[f"{table}/slice={d}" for d in wanted])
+            same = rows["beverage_type"].eqNullSafe(heads["beverage_type"]) & (rows["slice"] == heads["slice"])
+            rows = rows.filter(F.col("batch_id") <= batch_id).join(F.broadcast(heads), same, "left_semi")
+            ready = rows.groupBy("id", "beverage_type", "submitted").agg(F.sum("sign").alias("n")).filter("n > 0")
+            first = ready.groupBy("beverage_type").agg(F.min(F.struct("submitted", "id")).alias("n"))
+            first = first.select("beverage_type", "n.id", F.timestamp_micros("n.submitted").alias("submitted_at"))
+        else:
+            first = spark.createDataFrame([], "beverage_type string, id bigint, submitted_at timestamp")
+        first.write.mode("overwrite").parquet(f"{out}/next")
+
+    return run_to_end(ready_changes(stream), out, each=refresh)

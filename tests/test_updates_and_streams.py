@@ -70,6 +70,32 @@ def test_queue_views_count_an_id_once(spark):
     assert [r.id for r in spark.read.parquet(f"{out}/next").collect()] == [2]
 
 
+def test_queue_views_follow_changes_over_many_batches(spark):
+    import random
+
+    source, rows, out = (work_dir(spark, n) for n in ("source", "rows", "out"))
+    schema = "id long, beverage_type string, status string, submitted_at timestamp, updated_at timestamp"
+    r, current = random.Random(4), {}
+    for batch in range(4):
+        values = []
+        for n in range(30):
+            i = r.randrange(25)
+            row = (i, r.choice(["WINE", "BEER", None]), r.choice(["READY_FOR_REVIEW", "READY_FOR_REVIEW", "DECIDED", None]), f"2024-01-0{r.randint(1, 4)} 0{r.randint(0, 9)}:00:00", f"2024-02-01 00:{batch:02d}:{n:02d}")
+            values.append(row)
+            current[i] = row
+        r.shuffle(values)
+        df = spark.createDataFrame(values, schema.replace("timestamp", "string"))
+        df = df.withColumns({c: F.to_timestamp(c) for c in ("submitted_at", "updated_at")})
+        df.write.mode("append").parquet(source)
+        si.serve_queue(si.read_files(spark, source, df.schema), rows, out)
+        ready = [x for x in current.values() if x[2] == "READY_FOR_REVIEW"]
+        kinds = {x[1] for x in ready}
+        want = {k: min((x[3], x[0]) for x in ready if x[1] == k) for k in kinds}
+        assert {x.beverage_type: (str(x.submitted_at), x.id) for x in spark.read.parquet(f"{out}/next").collect()} == want
+        counts = {(x.beverage_type, x.is_total): x.waiting for x in spark.read.parquet(f"{out}/waiting").collect()}
+        assert counts == {(k, 0): sum(x[1] == k for x in ready) for k in kinds} | {(None, 1): len(ready)}
+
+
 def test_timed_lifecycle_folds_late_events_in_order_and_rescues(spark):
     from concordat.streaming.timed import STORE, timed_lifecycle
 
