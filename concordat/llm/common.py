@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
+import threading
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,10 +56,49 @@ def first_by_hash(rows: DataFrame, key: Column, n: int, total: int, *ties: str)
     return rows.orderBy(key, *ties).limit(n)
 
 
+class Scratch(threading.local):
+    """The folders that ``stored`` writes in this thread while they are recorded, until they are dropped."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+        self.recorded = False
+
+    @contextlib.contextmanager
+    def recording(self) -> Iterator[None]:
+        before, self.recorded = self.recorded, True
+        try:
+            yield
+        finally:
+            self.recorded = before
+
+    def drop(self, spark: SparkSession, *needed: DataFrame) -> None:
+        """Deletes the folders, but for those that one of ``needed`` still reads.
+
+        The files of shuffles go with the plans that no one holds any more.
+        """
+        read = [path for df in needed for path in df.inputFiles()]
+        kept, gone = [], []
+        for path in self.paths:
+            name = f"/{path.rsplit('/', 1)[1]}/"
+            (kept if any(name in file for file in read) else gone).append(path)
+        jvm = spark._jvm
+        for path in gone:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = kept
+        gc.collect()
+        jvm.System.gc()
+
+
+SCRATCH = Scratch()
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Writes ``df`` into the shared folder and reads it back: cuts lineage for good."""
     spark = df.sparkSession
     path = work_dir(spark, purpose)
+    if SCRATCH.recorded:
+        SCRATCH.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
