@@ -60,11 +60,8 @@ def batch_sink(out: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def earlier_batches(spark: SparkSession, path: str, columns: Sequence[str], batch_id: int) -> DataFrame | None:
-    """What the batches before ``batch_id`` have written to a batch sink; None before the first."""
-    if not batch_id:
-        return None
-    return spark.read.parquet(path).filter(F.col("batch_id") < batch_id).select(*columns)
+#: The store for states that outgrow memory: it keeps them on disk, with Bloom filters before them.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_verify(
@@ -73,16 +70,16 @@ def stream_verify(
 ) -> str:
     """Verify each arriving submission once ever; a batch is a bounded set of files.
 
-    Ids that an earlier batch has verified are left out.  The readings of a batch are cut
-    down to its submissions before they are joined, and its results land as a whole.
+    Ids are claimed in the stream's state: a batch looks up the ids that arrive in it, and neither
+    reads nor counts what earlier batches have written.  A repeated batch meets the state as it was
+    before, so it claims the same ids again and replaces its results.  The readings of a batch are
+    cut down to its submissions before they are joined, and its results land as a whole.
     """
     sink = batch_sink(out)
 
-    def verify(subs: DataFrame, batch_id: int) -> None:
-        once = subs.dropDuplicates(["id"])
-        done = earlier_batches(subs.sparkSession, out, ["submission_id"], batch_id)
-        if done is not None:
-            once = once.join(done.withColumnRenamed("submission_id", "id"), "id", "left_anti")
+    def verify(once: DataFrame, batch_id: int) -> None:
+        # Which of equal ids is kept may not differ between the uses below.
+        once = once.persist()
         keys = once.select(F.col("id").alias("submission_id"))
         judged = run_rules(
             once,
@@ -91,8 +88,9 @@ def stream_verify(
             rules, method, ocr_order=ocr_order,
         )
         sink(judged, batch_id)
+        once.unpersist()
 
-    return run_to_end(stream, out, each=verify)
+    return run_to_end(stream.dropDuplicates(["id"]), out, each=verify, store=STORE)
 
 
 def claim_once(stream: DataFrame, key: str, ts: str, delay: str = "1 hour") -> DataFrame:

@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from concordat.operators.lifecycle import RESULT, _replay, step
+from concordat.streaming.intake import STORE  # noqa: F401  the store that this stream needs
 
-#: The store that keeps list states and timers.
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Event id of a rescue.
 RESCUE = -1
 #: Times are whole microseconds inside, so that no time zone has a say in what is due.

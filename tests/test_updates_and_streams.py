@@ -121,3 +121,22 @@ def test_timed_lifecycle_folds_late_events_in_order_and_rescues(spark):
         (3, "00:00:00", 6, True, None), (3, "00:20:00", 7, True, "RECEIVED"), (3, "00:50:00", 8, True, "PROCESSING"),
     ]
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_submissions_are_verified_once_ever(spark):
+    source, out = work_dir(spark, "source"), work_dir(spark, "out")
+    fields = ("brand_name", "class_type_designation", "alcohol_content", "net_contents", "applicant_name_address", "country_of_origin")
+    schema = "id long, beverage_type string, source_of_product string, " + ", ".join(f"{f} string" for f in fields)
+    row = lambda i, brand: (i, "WINE", "DOMESTIC", brand, "Table Wine", "12%", "750 ml", "Works", "France")
+    ocr = spark.createDataFrame([(i, i, "OLD TOM 750 ml", 0.9, "OK") for i in range(6)], "submission_id long, id long, extracted_text string, confidence double, status string")
+    llm = spark.createDataFrame([], "submission_id long, id long, task string, status string, is_benchmark_only boolean, result_text string")
+
+    def put(*rows):
+        df = spark.createDataFrame(list(rows), schema)
+        df.write.mode("append").parquet(source)
+        si.stream_verify(si.read_files(spark, source, df.schema), ocr, llm, out)
+        return sorted((r.submission_id, r.batch_id) for r in spark.read.parquet(out).select("submission_id", "batch_id").collect())
+
+    assert put(row(1, "Old Tom"), row(2, "Old Tom"), row(1, "Old Tom")) == [(1, 0), (2, 0)]
+    # The first batch's results are not needed any more to know what is done.
+    assert put(row(2, "Other"), row(3, "Old Tom")) == [(1, 0), (2, 0), (3, 1)]
