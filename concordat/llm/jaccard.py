@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordat.llm.common import ROW, keyed_text, numbered_rows, slices, stored, without_rows, words_of
-from concordat.llm.components import components
+from concordat.llm.components import components, thinned
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -324,9 +324,9 @@ def _judged(texts: DataFrame) -> DataFrame:
         ),
         "near-nodes",
     )
-    clusters = components(_likely_edges(nodes))
+    clusters = components(thinned(_likely_edges(nodes)))
     found = stored(_verified(texts, nodes, clusters), "near-links")
-    groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    groups = components(thinned(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     linked = nodes.select("node", "first").join(groups, "node").groupBy("component").agg(F.min("first").alias("group_first"))
     linked = groups.join(linked, "component").join(links, "node").select("node", "group_first", "links")
