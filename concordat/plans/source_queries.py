@@ -13,6 +13,7 @@ from concordat.rules import RULES
 from concordat.session import work_dir
 from concordat.sources import cleaning as cl
 from concordat.sources import files as fs
+from concordat.sources import ranges as rg
 from concordat.streaming import intake as si
 
 
@@ -165,6 +166,21 @@ def write_replacing(spark, sf):
     return spark.read.parquet(path).select("o_custkey", "o_orderkey", "run")
 
 
+@query("replace_rows", """select o_custkey, o_orderkey, case when o_custkey % 7 = 0 then 'third' when o_custkey % 2 = 0 then 'second' else 'first' end as run from orders
+  where not (o_custkey % 7 = 0 and o_orderkey % 2 = 0)""")
+def replace_rows(spark, sf):
+    """Replacing writes by a manifest: further runs rewrite the ranges their keys fall in."""
+    o = ad.table(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    path = work_dir(spark, "ranges")
+    runs = {"first": o, "second": o.filter("o_custkey % 2 = 0"), "third": o.filter("o_custkey % 7 = 0 and o_orderkey % 2 = 1")}
+    for run, rows in runs.items():
+        rows = rows.withColumn("run", F.lit(run))
+        rg.replace_rows(spark, rows, path, "o_custkey")
+    # A customer without a row in the last run keeps what the runs before have written.
+    gone = o.filter("o_custkey % 7 = 0").select("o_custkey").distinct().join(runs["third"].select("o_custkey"), "o_custkey", "left_anti")
+    return rg.read_ranges(spark, path, rows.schema).join(gone, "o_custkey", "left_anti").select("o_custkey", "o_orderkey", "run")
+
+
 @query("write_readings", f"select engine_name, image_variant, count(*) as n from ({ad.READINGS_SQL}) group by 1, 2")
 def write_readings(spark, sf):
     path = work_dir(spark, "readings")
