@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -34,8 +35,8 @@ def with_transitions(events: DataFrame, status: str = "to_status", key: str = "s
     So a submission with most of the events is shared by as many tasks as it has slices.
     """
     cuts = _slices(events, slice_rows, order[0])
-    at = F.size(F.filter(F.lit(cuts), lambda c: c <= _micros(order[0]))) if cuts else F.lit(0)
-    df = events.withColumn("_slice", at)
+    # Rows without a time come first.
+    df = events.withColumn("_slice", F.coalesce(_slice_of(cuts, order[0]), F.lit(0)))
     inside = W.partitionBy(key, "_slice").orderBy(*order)
     df = df.withColumns({"_before": F.lag(status).over(inside), "_first": F.row_number().over(inside) == 1})
     last = df.groupBy(key, "_slice").agg(F.max_by(status, F.struct(*order)).alias("_last"))
@@ -107,6 +108,22 @@ def _slices(events: DataFrame, slice_rows: int, time: str = "occurred_at") -> li
     return sorted(set(micros.approxQuantile("t", shares, 0.1 / wanted)))
 
 
+def _slice_of(cuts: list, time: str = "occurred_at") -> Column:
+    """How many of the sorted ``cuts`` are not after the row's time; NULL without a time.
+
+    A binary search, as there is a cut for every ``slice_rows`` events.
+    """
+    if not cuts:
+        return F.when(F.col(time).isNotNull(), F.lit(0))
+    ends = np.array(cuts)
+
+    @F.pandas_udf("int")
+    def place(micros: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(ends, micros.to_numpy(), side="right"))
+
+    return F.when(F.col(time).isNotNull(), place(_micros(time)))
+
+
 def lifecycle(events: DataFrame, slice_rows: int = 1_000_000) -> DataFrame:
     """Every event with the state it met and whether it was accepted.
 

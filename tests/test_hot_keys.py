@@ -54,6 +54,19 @@ def test_transitions_of_one_submission_in_slices(spark):
     assert {x.id: x.from_status for x in sliced.collect()} == want
 
 
+def test_slices_are_found_by_search(spark):
+    """A row does not look at every cut: there are as many cuts as there are slices."""
+    from concordat.operators import lifecycle as lc
+
+    cuts = [float(c) for c in range(1_000_000, 900_000_000, 300_000)]
+    df = spark.createDataFrame([(0,), (1,), (2,), (899,), (None,)], "s long").withColumn("at", F.timestamp_seconds("s"))
+    placed = df.select("s", lc._slice_of(cuts, "at").alias("n"))
+    assert {r.s: r.n for r in placed.collect()} == {s: None if s is None else sum(c <= s * 1e6 for c in cuts) for s in (0, 1, 2, 899, None)}
+    assert {r.n for r in df.select(lc._slice_of([], "at").alias("n")).collect()} == {0, None}
+    plan = lc.with_transitions(df.selectExpr("s submission_id", "s id", "at occurred_at", "'READY' to_status"), slice_rows=1)._jdf.queryExecution().toString()
+    assert "lambdafunction" not in plan
+
+
 def test_rows_without_a_key_are_dealt_evenly(spark):
     from concordat.operators import cards, quality
     from concordat.operators.joins import left_join_spread
