@@ -67,6 +67,26 @@ def test_slices_are_found_by_search(spark):
     assert "lambdafunction" not in plan
 
 
+def test_lifecycle_folds_along_sorted_rows(spark):
+    """No frame per submission and slice; events without a time or a submission are folded as well."""
+    from concordat.operators import lifecycle as lc
+
+    r = random.Random(5)
+    kinds = [("SEEDED", "RECEIVED"), ("OCR_STARTED", "PROCESSING"), ("READY", "READY_FOR_REVIEW"), ("OPENED", "IN_REVIEW"), ("DECIDED", "DECIDED"),
+             ("UNDONE", "READY_FOR_REVIEW"), ("BROKEN", None), ("ANALYSIS_COMPLETED", None)]
+    rows = [(r.choice([2**53 + 1, 2**53 + 2, None]), i, r.choice([None, *range(40)]), *r.choice(kinds)) for i in range(400)]
+    df = spark.createDataFrame(rows, "submission_id long, event_id long, s long, event_type string, to_status string").withColumn("occurred_at", F.timestamp_seconds("s"))
+    want, state = {}, {}
+    for key, i, at, kind, target in sorted(rows, key=lambda x: (x[2] is None, x[2], x[1])):
+        before = state.get(key)
+        state[key], _, reason = lc.judge(before, kind, target)
+        want[i] = (key, before, reason)
+    for size in (1_000_000, 20, 1):
+        out = lc.lifecycle(df, slice_rows=size)
+        assert {x.event_id: (x.submission_id, x.from_status, x.reason) for x in out.collect()} == want
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
 def test_rows_without_a_key_are_dealt_evenly(spark):
     from concordat.operators import cards, quality
     from concordat.operators.joins import left_join_spread
