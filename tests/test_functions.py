@@ -175,3 +175,17 @@ def test_json_members(spark):
     ]
     got = one(spark, payloads, lambda c: js.json_scalar(c, "k"))
     assert got == ["last", "123456789012345678901234567890123456789012", "1" + "0" * 30, "0.25", None, "v", None, None, None, "0", None, "45 %", None, None]
+
+
+def test_parse_all_numeric_query_shows_long_numbers(spark, tmp_path):
+    import duckdb
+
+    from concordat.plans import registry
+
+    registry.load_all()
+    path = str(tmp_path / "documents.parquet")
+    rows = [(1, "a 123456789012345678901234567 ml b", 9), (2, "a 0.12345678901234 oz, b 7 l x", 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(path)
+    got = registry.QUERIES["parse_all_numeric"](spark, str(tmp_path)).collect()
+    sql = registry.ORACLES["parse_all_numeric"].replace("from documents", f"from '{path}/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(duckdb.sql(sql).fetchall())
