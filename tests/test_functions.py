@@ -189,3 +189,27 @@ def test_parse_all_numeric_query_shows_long_numbers(spark, tmp_path):
     got = registry.QUERIES["parse_all_numeric"](spark, str(tmp_path)).collect()
     sql = registry.ORACLES["parse_all_numeric"].replace("from documents", f"from '{path}/*.parquet'")
     assert sorted(map(tuple, got)) == sorted(duckdb.sql(sql).fetchall())
+
+
+def test_edit_distance_of_long_texts(spark):
+    """The subsequence test gives what the table gives, whatever the characters are."""
+    r = random.Random(4)
+    letters = "ab\\]^-$[.\n é😀E"
+    rows = [("".join(r.choices(letters, k=r.randrange(0, 60))), "".join(r.choices(letters, k=r.randrange(0, 9)))) for _ in range(300)]
+    df = spark.createDataFrame([*rows, ("x" * 3000, "x" * 1500), (None, "a")], "a string, b string")
+    got = df.select("a", "b", tx.edit_distance(F.col("a"), F.col("b")).alias("n"), F.levenshtein("a", "b").alias("want")).collect()
+    assert [x.n for x in got] == [x.want for x in got]
+
+
+def test_edit_rate_ranks_ids_without_their_texts(spark, tmp_path):
+    from concordat.plans import registry
+
+    registry.load_all()
+    docs = [(i, f"some text {i}") for i in (5, 9, 9, 70, 71)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "some"), (2, "text")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = registry.QUERIES["edit_rate"](spark, str(tmp_path))
+    assert sorted((x.doc_id, x.item_id) for x in out.collect()) == [(5, 1), (9, 1), (9, 2), (70, 2), (71, 1)]
+    # No exchange of texts gathers them on one key.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Window" in line and "all#" in line and "text#" in line]
