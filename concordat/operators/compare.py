@@ -1,7 +1,8 @@
 """Filed-against-observed comparison.
 
 The rules are Column expressions over one row, so a job that has the filed and
-observed values side by side needs no further shuffle to judge them.
+observed values side by side needs no further shuffle to judge them, but for the
+sequence similarity, which is joined per distinct pair of texts.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from concordat.functions import exact
 from concordat.functions.measures import measures_by_line, parse_numeric, shown_number
 from concordat.functions.similarity import best_similarity, levenshtein_similarity
 from concordat.functions.text import has_value, let, normalize_text
+from concordat.operators.joins import left_join_spread
 from concordat.operators.rollup import agree
 from concordat.vocab import FAIL, MATCH, MISMATCH, MISSING, PASS, REVIEW, UNVERIFIABLE
 
@@ -152,13 +154,19 @@ def soften(result: Column, note: str | Column) -> Column:
 
 
 def _similarity(df: DataFrame, filed: str, observed: str, method: str, out: str) -> DataFrame:
-    """Add a similarity that is computed only for unresolved rows."""
+    """Add a similarity that is computed only for unresolved rows.
+
+    The sequence similarity takes most of a job's time, and readings repeat, so each distinct pair of
+    texts is rated once, in whichever rows it stands.
+    """
     a, b = F.col(filed), F.col(observed)
     open_row = (a != "") & (b != "") & ~F.contains(b, a)
-    left, right = F.when(open_row, a), F.when(open_row, b)
     if method == "levenshtein":
-        return df.withColumn(out, levenshtein_similarity(left, right))
-    return df.withColumn(out, best_similarity(left, right))
+        return df.withColumn(out, levenshtein_similarity(F.when(open_row, a), F.when(open_row, b)))
+    df = df.withColumn("_pair", F.when(open_row, F.struct(a.alias("a"), b.alias("b"))))
+    pairs = df.select("_pair").filter("_pair is not null").distinct()
+    rated = pairs.select("_pair", best_similarity("_pair.a", "_pair.b").alias(out))
+    return left_join_spread(df, rated, "_pair").drop("_pair")
 
 
 def compare_text(df: DataFrame, filed: str = "filed", observed: str = "value", method: str = "sequence") -> DataFrame:

@@ -186,3 +186,24 @@ def test_phrases_with_a_hot_gram(spark, monkeypatch, small):
     hits = sorted(tuple(r) for r in cat.catalog_hits(t, s.select(F.col("statement").alias("phrase")), "id").collect())
     whole = lambda x, y: f" {y} " in f" {x} "
     assert hits == sorted((i, y) for i, x in texts for y in items if y and x and whole(x, y))
+
+
+def test_equal_pairs_of_texts_are_rated_once(spark):
+    from concordat.functions.similarity import best_ratio
+    from concordat.operators import compare as cp
+
+    texts = ["old tum gin", "old tam", "old tom gin", "", None]
+    rows = [(i, "brand_name", "Old Tom", texts[i % 5], "ocr", 0.9) for i in range(200)]
+    df = spark.createDataFrame(rows, "submission_id long, field_key string, filed string, value string, source string, confidence double")
+    rated = spark.sparkContext.accumulator(0)
+    count = lambda a, b: rated.add(1) or best_ratio(a, b)
+    from pyspark.sql import functions as F
+
+    saved, cp.best_similarity = cp.best_similarity, F.udf(count, "double")
+    try:
+        got = {r.submission_id: r.similarity for r in cp.compare_pairs(df).collect()}
+    finally:
+        cp.best_similarity = saved
+    assert len(got) == 200 and rated.value == 2
+    assert [got[i] for i in (0, 1, 2)] == [best_ratio("old tom", texts[0]), best_ratio("old tom", texts[1]), 1.0]
+    assert got[195] == got[0]
