@@ -213,3 +213,14 @@ def test_edit_rate_ranks_ids_without_their_texts(spark, tmp_path):
     # No exchange of texts gathers them on one key.
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Window" in line and "all#" in line and "text#" in line]
+
+
+def test_windows_that_recur_are_rated_once():
+    """Two texts that share most windows; long windows are not kept."""
+    sim._short_ratio.cache_clear()
+    first, second = "old tam gin net 500ml extra", "new tam gin net 500ml extra"
+    got = [sim.best_ratio("tom gin net", t) for t in (first, second)]
+    before = sim._short_ratio.cache_info()
+    assert before.hits and before.currsize
+    assert got == [max(SequenceMatcher(None, "tom gin net", w).ratio() for w in [t, *(" ".join(t.split()[i : i + 3]) for i in range(4))]) for t in (first, second)]
+    assert sim.ratio("a" * 200, "b") == 0.0 and sim._short_ratio.cache_info().currsize == before.currsize
