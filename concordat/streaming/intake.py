@@ -119,40 +119,57 @@ _SLICE = 32 * 86_400_000_000
 _NO_TIME = -1_000_000
 #: Files of a slice that a batch writes at most.
 _FILES = 8
+#: Low bits of an id within its block of state.
+_BLOCK_BITS = 8
 
 
 def ready_changes(stream: DataFrame) -> DataFrame:
     """Signed changes of the set of ready rows, from the newest row of every id.
 
-    The state of an id is its ready row or none; a batch looks up the ids that arrive in it.
+    The state of an id is its ready row or none.  Ids that differ in their last bits only share a
+    state, so that a group costs one call for many ids; a batch looks up the blocks of the ids that
+    arrive in it, and a block never holds more than its ids.
     Of several rows of an id in a batch the one of the last ``updated_at`` counts, where rows have it.
     """
     updated = F.unix_micros(F.col("updated_at").cast("timestamp")) if "updated_at" in stream.columns else F.lit(0).cast("bigint")
     rows = stream.select(
         F.col("id").cast("bigint").alias("id"), "beverage_type", F.unix_micros(F.col("submitted_at").cast("timestamp")).alias("submitted"),
         F.coalesce(F.col("status") == READY, F.lit(False)).alias("ready"), updated.alias("updated"),
+        F.shiftright(F.col("id").cast("bigint"), _BLOCK_BITS).alias("block"),
     )
 
     def follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # Most groups are one row, so plain values cost far less than frames here.
-        newest = None
+        # Plain values cost far less than frames of a few rows.
+        newest: dict = {}
         for pdf in batches:
-            for row in zip(*(pdf[c].tolist() for c in ("updated", "beverage_type", "submitted", "ready"))):
-                row = tuple(None if x is None or x != x else x for x in row)
-                if newest is None or (row[0] is not None and (newest[0] is None or row[0] >= newest[0])):
-                    newest = row
-        was = tuple(state.get) if state.exists else None
-        now = (newest[1], None if newest[2] is None else int(newest[2])) if newest[3] else None
-        if was == now:
+            for i, *row in zip(*(pdf[c].tolist() for c in ("id", "updated", "beverage_type", "submitted", "ready"))):
+                # The rows without an id are one block and one id.
+                i, row = None if i != i else i, tuple(None if x is None or x != x else x for x in row)
+                last = newest.get(i)
+                if last is None or (row[0] is not None and (last[0] is None or row[0] >= last[0])):
+                    newest[i] = row
+        held = {i: (kind, at) for i, kind, at in zip(*state.get)} if state.exists else {}
+        signed = []
+        for i, (_, kind, at, ready) in newest.items():
+            was, now = held.get(i), (kind, None if at is None else int(at)) if ready else None
+            if was == now:
+                continue
+            signed += [(i, *row, sign) for row, sign in ((was, -1), (now, 1)) if row is not None]
+            if now is None:
+                del held[i]
+            else:
+                held[i] = now
+        if not signed:
             return
-        signed = [(key[0], *row, sign) for row, sign in ((was, -1), (now, 1)) if row is not None]
-        if now is None:
-            state.remove()
+        if held:
+            state.update((list(held), [kind for kind, _ in held.values()], [at for _, at in held.values()]))
         else:
-            state.update(now)
+            state.remove()
         yield pd.DataFrame(signed, columns=["id", "beverage_type", "submitted", "sign"], dtype=object)
 
-    return rows.groupBy("id").applyInPandasWithState(follow, CHANGE, "beverage_type string, submitted bigint", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("block").applyInPandasWithState(
+        follow, CHANGE, "id array<bigint>, beverage_type array<string>, submitted array<bigint>", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def serve_queue(stream: DataFrame, table: str, out: str) -> str:

@@ -140,3 +140,18 @@ def test_submissions_are_verified_once_ever(spark):
     assert put(row(1, "Old Tom"), row(2, "Old Tom"), row(1, "Old Tom")) == [(1, 0), (2, 0)]
     # The first batch's results are not needed any more to know what is done.
     assert put(row(2, "Other"), row(3, "Old Tom")) == [(1, 0), (2, 0), (3, 1)]
+
+
+def test_ids_of_a_block_share_a_state(spark):
+    source, progress = work_dir(spark, "source"), work_dir(spark, "progress")
+    schema = "id bigint, beverage_type string, status string, submitted_at timestamp"
+    big = 2**60
+    ids = [*range(-300, 1000), big, big + 1, None]
+    spark.createDataFrame([(i, "WINE", "READY_FOR_REVIEW", None) for i in ids], schema).write.parquet(source)
+    stream = si.ready_changes(si.read_files(spark, source, spark.read.parquet(source).schema))
+    seen = []
+    writer = stream.writeStream.option("checkpointLocation", progress).trigger(availableNow=True)
+    query = writer.foreachBatch(lambda df, _: seen.extend((r.id, r.sign) for r in df.collect())).start()
+    query.awaitTermination()
+    assert sorted(seen, key=str) == sorted(((i, 1) for i in ids), key=str)
+    assert sum(p.stateOperators[0].numRowsUpdated for p in query.recentProgress) <= 10
