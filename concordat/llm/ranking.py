@@ -1,26 +1,30 @@
 """Quality scores learned from preference pairs by a Bradley-Terry model.
 
 Counts over whole texts are JVM expressions; the model is a linear score of their ratios,
-fitted on a bounded sample of labelled rows and applied as a Column expression.
+fitted on all labelled rows and applied as a Column expression.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.common import first_by_hash, fold, stored
+from concordat.llm.common import fold, stored
 from concordat.llm.textstats import ratios, text_stats
 
-#: Labelled rows that the model is fitted on, chosen by a hash of their id.
-SAMPLE_ROWS = 20_000
-#: Preference pairs drawn from them.
-PAIRS = 200_000
+#: Rows of the more frequent class in a block, all of whose pairs across the classes are preferences.
+BLOCK = 512
+#: Rows of the rarer class that a block should have at least; they go to several blocks for that.
+LEAST = 32
 PENALTY = 1e-3
 STEPS = 30
+#: Bins that a pass of the threshold's search counts.
+BINS = 1024
 
 
 def features() -> dict[str, Column]:
@@ -33,7 +37,7 @@ def features() -> dict[str, Column]:
 class Ranking:
     names: list[str]
     weights: list[float]
-    #: Score below which the sample's share of rejected rows lies.
+    #: Score below which as many labelled rows lie as are rejected.
     threshold: float
     prior: float
 
@@ -50,42 +54,83 @@ class Ranking:
         return 1 / (1 + F.exp(F.lit(self.threshold) - self.score(columns)))
 
 
-def fit(names: list[str], x: np.ndarray, y: np.ndarray, seed: int = 7) -> Ranking:
-    """Newton steps on the logistic loss of score differences over pairs (better, worse)."""
-    prior = float(y.mean()) if len(y) else 0.5
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
+def pair_blocks(labelled: DataFrame, good: int, bad: int) -> DataFrame:
+    """``y, x`` arrays of blocks of rows.  Every row is in a block, with rows of the other class."""
+    blocks = -(-max(good, bad) // BLOCK)
+    rarer = min(good, bad)
+    copies = F.when(F.col("y") == int(good < bad), -(-LEAST * blocks // rarer)).otherwise(1) if blocks > 1 else F.lit(1)
+    rows = labelled.select("doc_id", "y", "x", F.explode(F.sequence(F.lit(1), F.least(copies, F.lit(blocks)))).alias("copy"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(blocks)))
+    return rows.groupBy("block").agg(F.collect_list(F.struct("y", "x")).alias("rows")).select("rows.y", "rows.x")
+
+
+def newton_sums(blocks: DataFrame, w: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean gradient and Hessian of the logistic loss of score differences over all pairs of all blocks."""
+    size = len(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + size + size * size)
+        for batch in batches:
+            for y, x in zip(batch.column(0), batch.column(1)):
+                y = y.values.to_numpy()
+                x = x.values.flatten().to_numpy().reshape(len(y), size) / spread
+                better, worse = x[y == 1], x[y == 0]
+                p = 1 / (1 + np.exp(np.clip((better @ w)[:, None] - worse @ w, -30, 30)))
+                q = p * (1 - p)
+                cross = better.T @ q @ worse
+                hessian = (better.T * q.sum(1)) @ better + (worse.T * q.sum(0)) @ worse - cross - cross.T
+                total += np.concatenate(([p.size], better.T @ p.sum(1) - worse.T @ p.sum(0), hessian.ravel()))
+        yield pa.RecordBatch.from_pydict({"place": pa.array(range(len(total)), pa.int32()), "n": pa.array(total, pa.float64())})
+
+    sums = blocks.mapInArrow(run, "place int, n double").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    total = np.array([r["n"] for r in sorted(sums)])
+    return total[1 : 1 + size] / total[0], total[1 + size :].reshape(size, size) / total[0]
+
+
+def value_at(values: DataFrame, column: str, rank: int) -> float:
+    """The value of a rank, from 0, among all values, found by ever narrower bins."""
+    v = F.col(column)
+    low, high = values.agg(F.min(v), F.max(v)).first()
+    below = 0
+    while low < high:
+        place = F.least(F.floor((v - low) / F.lit((high - low) / BINS)), F.lit(BINS - 1))
+        bins = values.filter(v.between(low, high)).groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.min(v).alias("low"), F.max(v).alias("high"))
+        for r in sorted(bins.collect(), key=lambda r: r["place"]):
+            if rank < below + r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            below += r["n"]
+    return low
+
+
+def fit(labelled: DataFrame, names: list[str]) -> Ranking:
+    """Newton steps over pairs (better, worse) of all rows of ``doc_id, y, x``, each step a pass over them."""
+    spreads = [F.stddev_pop(F.get("x", i)).alias(k) for i, k in enumerate(names)]
+    sums = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("good"), *spreads).first()
+    good, bad = sums["good"], sums["n"] - sums["good"]
+    prior = good / sums["n"] if sums["n"] else 0.5
+    if not good or not bad:
         return Ranking(names, [0.0] * len(names), 0.0, prior)
-    spread = x.std(0)
-    spread[spread == 0] = 1
-    rng = np.random.default_rng(seed)
-    # Every row of either class is in a pair; the rest are drawn.
-    n = min(PAIRS, 20 * max(len(good), len(bad)))
-    better = np.concatenate((np.resize(good, max(len(good), len(bad))), rng.choice(good, n)))
-    worse = np.concatenate((np.resize(bad, max(len(good), len(bad))), rng.choice(bad, n)))
-    d = (x[better] - x[worse]) / spread
-    w = np.zeros(x.shape[1])
+    spread = np.array([sums[k] or 1.0 for k in names])
+    blocks = stored(pair_blocks(labelled, good, bad), "ranking-blocks")
+    w = np.zeros(len(names))
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        gradient = d.T @ p / len(d) - PENALTY * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / len(d) + PENALTY * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
+        gradient, hessian = newton_sums(blocks, w, spread)
+        step = np.linalg.solve(hessian + PENALTY * np.eye(len(w)), gradient - PENALTY * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    w /= spread
-    scores = np.sort(x @ w)
-    k = len(bad)
-    return Ranking(names, w.tolist(), float((scores[k - 1] + scores[k]) / 2), prior)
+    model = Ranking(names, (w / spread).tolist(), 0.0, prior)
+    scores = labelled.select(model.score({k: F.get("x", i) for i, k in enumerate(names)}).alias("score"))
+    threshold = (value_at(scores, "score", bad - 1) + value_at(scores, "score", bad)) / 2
+    return replace(model, threshold=threshold)
 
 
 def learn_ranking(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Ranking:
     """``labels`` are the rows to learn from; NULL labels and ids are left out."""
     given = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null")
-    sample = first_by_hash(given.join(stats, "doc_id"), F.xxhash64("doc_id"), SAMPLE_ROWS, given.count(), "doc_id", "y")
-    rows = sample.select("y", *(c.cast("double").alias(k) for k, c in features().items())).collect()
-    table = np.array([tuple(r) for r in rows], float).reshape(len(rows), len(features()) + 1)
-    return fit(list(features()), table[:, 1:], table[:, 0].astype(int))
+    x = F.array(*[c.cast("double") for c in features().values()])
+    return fit(stored(given.join(stats, "doc_id").select("doc_id", "y", x.alias("x")), "ranking-rows"), list(features()))
 
 
 def quality_scores(

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pa = pytest.importorskip("pyarrow")
 
@@ -93,6 +94,39 @@ def test_pairwise_ranking(documents, labels):
     assert quality_scores(documents([]), labels([], "quality")).count() == 0
 
 
+def test_ranking_learns_from_every_labelled_row(spark):
+    from concordat.llm import ranking
+    from concordat.llm.textstats import COUNTS
+
+    n = 21_000
+    odd = {"n_words": F.pmod(F.xxhash64("doc_id"), F.lit(900)) + F.col("doc_id") % 7, "n_lines": F.pmod(F.hash("doc_id"), F.lit(9)) + 1}
+    stats = spark.range(n).withColumnRenamed("id", "doc_id")
+    stats = stats.select("doc_id", *(odd.get(c, F.pmod(F.hash("doc_id", F.lit(c)), F.lit(50))).cast("long").alias(c) for c in COUNTS))
+    y = F.when((F.col("n_words") + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(300)) > 1000), 1).otherwise(0)
+    marks = stats.select("doc_id", y.alias("quality"))
+    model = ranking.learn_ranking(stats, marks, "doc_id", "quality")
+    rows = stats.select("doc_id", model.score(ranking.features()).alias("s")).join(marks, "doc_id").collect()
+    scores, bad = np.sort([r.s for r in rows]), sum(r.quality == 0 for r in rows)
+    assert 0 < n - bad < bad
+    assert np.isclose(model.threshold, (scores[bad - 1] + scores[bad]) / 2, rtol=1e-12)
+    given = stats.join(marks, "doc_id").select("doc_id", F.col("quality").alias("y"), F.array("n_words").alias("x"))
+    blocks = ranking.pair_blocks(given, n - bad, bad).collect()
+    assert {x[0] for b in blocks for x in b.x} == {r.n_words for r in stats.select("n_words").collect()}
+    assert sum(v == 0 for b in blocks for v in b.y) == bad and all(0 in b.y and 1 in b.y for b in blocks)
+
+
+def test_ranking_sums_are_those_of_all_pairs(spark):
+    from concordat.llm import ranking
+
+    rng = np.random.default_rng(5)
+    x, y, w = rng.normal(size=(60, 3)), rng.integers(0, 2, 60), rng.normal(size=3)
+    given = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(y, x))], "doc_id long, y int, x array<double>")
+    gradient, hessian = ranking.newton_sums(ranking.pair_blocks(given, int(y.sum()), int((1 - y).sum())), w, np.ones(3))
+    d = np.array([a - b for a in x[y == 1] for b in x[y == 0]])
+    p = 1 / (1 + np.exp(d @ w))
+    assert np.allclose(gradient, d.T @ p / len(d)) and np.allclose(hessian, (d * (p * (1 - p))[:, None]).T @ d / len(d))
+
+
 # 2
 
 
