@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.common import first_by_hash, fold, keyed_text, slices, stored, words_of
+from concordat.llm.common import fold, keyed_text, slices, stored, words_of
 
 STATES = 8
 #: Most frequent training words that are classes of their own; the document's end is one.
@@ -30,10 +30,8 @@ ENDINGS = 512
 #: Most frequent training words whose counts every task holds.
 LOCAL_WORDS = 1 << 17
 #: Full passes of Baum-Welch over the training documents.
-ITERATIONS = 2
-#: Training documents, chosen by hash, from which the first tables come, and the steps on them.
-START_DOCS = 1000
-START_TOKENS = 400
+ITERATIONS = 10
+#: Steps on the sequences that first tables may be given; training gives none.
 START_STEPS = 20
 #: Tokens of a training sequence; longer documents are several.
 SEQUENCE = 128
@@ -221,17 +219,21 @@ def expected_counts(sequences: list[np.ndarray], opens: np.ndarray, model: Table
         alpha[t, :n] = gamma
     first = alpha[0][opens].sum(0)
     kept = np.arange(b) < np.array(active)[:, None]
+    kept[0] &= opens  # the first token of the others has been counted as the last one before
     classes, gamma = grid[kept], alpha[kept]
     emits = np.stack([np.bincount(classes, gamma[:, k], len(model.emits)) for k in range(STATES)], 1)
     return np.concatenate((first, (moves * model.moves).ravel(), emits.ravel()))
 
 
 def cut(classes: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Training sequences of at most ``SEQUENCE`` tokens, and which of them open a document."""
+    """Training sequences of at most ``SEQUENCE`` tokens, and which of them open a document.
+
+    The others begin with the token before them, so that the move across the cut is counted.
+    """
     out, opens = [], []
     for own in classes:
         for at in range(0, len(own), SEQUENCE):
-            out.append(own[at : at + SEQUENCE])
+            out.append(own[max(at - 1, 0) : at + SEQUENCE])
             opens.append(at == 0)
     return out, np.array(opens, bool)
 
@@ -249,11 +251,9 @@ def start_tables(sample: list[np.ndarray], shares: np.ndarray, seed: int = 3) ->
 
 
 def train(rows: DataFrame, shares: np.ndarray) -> Tables:
-    """Baum-Welch: each pass sums expected counts over all partitions of the training rows."""
+    """Baum-Welch from random tables: each pass sums expected counts over all partitions of the training rows."""
     training = rows.filter("training").select("classes")
-    first = rows.filter("training").select("row", F.substring("classes", 1, 2 * START_TOKENS).alias("classes"))
-    sample = first_by_hash(first, F.xxhash64("classes"), START_DOCS, first.count(), "row").collect()
-    model = start_tables([np.frombuffer(bytes(r["classes"]), "<u2").astype(np.int64) for r in sample], shares)
+    model = start_tables([], shares)
     context = rows.sparkSession.sparkContext
     for _ in range(ITERATIONS):
         shared = context.broadcast(model)

@@ -181,6 +181,23 @@ def test_training_raises_the_likelihood():
     assert after > before + 1
 
 
+def test_training_counts_every_token_and_move(spark, monkeypatch):
+    from concordat.llm import hmm
+
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 6, n) for n in (1, 2, hmm.SEQUENCE, hmm.SEQUENCE + 1, 3 * hmm.SEQUENCE + 5)]
+    shares = np.full(6, 1 / 6)
+    counts = hmm.expected_counts(*hmm.cut(texts), hmm.start_tables([], shares))
+    k, tokens = hmm.STATES, sum(map(len, texts))
+    emits = counts[k + k * k :].reshape(-1, k)
+    assert np.isclose(counts[:k].sum(), len(texts)) and np.isclose(counts[k : k + k * k].sum(), tokens - len(texts))
+    assert np.allclose(emits.sum(1), np.bincount(np.concatenate(texts), minlength=6))
+    # Without a pass over all rows nothing has been learned from some of them.
+    rows = spark.createDataFrame([(i, True, t.astype("<u2").tobytes()) for i, t in enumerate(texts)], "row long, training boolean, classes binary")
+    monkeypatch.setattr(hmm, "ITERATIONS", 0)
+    assert np.array_equal(hmm.train(rows, shares).flat(), hmm.start_tables([], shares).flat())
+
+
 def test_language_model_on_nothing(documents):
     from concordat.llm import hmm
 
