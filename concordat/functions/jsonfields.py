@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,15 +22,16 @@ def _as_col(c: Column | str) -> Column:
 _STRICT = {"allowSingleQuotes": "false"}
 
 
-def _member(col: Column, key: str, kind: str) -> Column:
-    """Member ``key`` of the one JSON object that a text is, the last where a key is repeated; NULL
-    where it has none, and the struct around it NULL where the text is no object."""
-    listed = F.from_json(F.concat(F.lit("["), col, F.lit("]")), f"array<struct<`{key}`:{kind}>>", _STRICT)
+def _member(col: Column, kind: str, *keys: str) -> Column:
+    """Members ``keys`` of the one JSON object that a text is, the last where a key is repeated; NULL
+    where it has none, and the struct around them NULL where the text is no object."""
+    shape = ", ".join(f"`{key}`:{kind}" for key in keys)
+    listed = F.from_json(F.concat(F.lit("["), col, F.lit("]")), f"array<struct<{shape}>>", _STRICT)
     return let(lambda rows: F.when(F.size(rows) == 1, F.get(rows, 0)), rows=listed)
 
 
 def is_json_object(col: Column | str) -> Column:
-    return F.coalesce(_member(_as_col(col), "_", "string").isNotNull(), F.lit(False))
+    return F.coalesce(_member(_as_col(col), "string", "_").isNotNull(), F.lit(False))
 
 
 def json_scalar(col: Column | str, key: str, numbers: bool = True) -> Column:
@@ -39,17 +42,28 @@ def json_scalar(col: Column | str, key: str, numbers: bool = True) -> Column:
     prints it).  Of a repeated key the last member counts.  Lists, objects and booleans, blanks,
     missing keys, other JSON and broken JSON give NULL.
     """
-    c = _as_col(col)
+    return json_scalars(col, (key,), () if numbers else (key,))[key]
+
 
-    def read(kind, raw):
+def json_scalars(col: Column | str, keys: Sequence[str], only_text: Sequence[str] = ()) -> Column:
+    """The `json_scalar` of several members as a struct; the text is parsed once for their kinds and
+    once for their values.  Of the members ``only_text`` numbers do not count."""
+    def read(key, kind, raw):
         text = F.when(kind == "STRING", raw)
-        if not numbers:
+        if key in only_text:
             return text
         number = F.when(kind.isin("DOUBLE", "FLOAT", "BIGINT") | kind.startswith("DECIMAL"), exact.plain(raw))
         return F.coalesce(text, number)
 
-    value = let(read, kind=F.schema_of_variant(_member(c, key, "variant")[key]), raw=_member(c, key, "string")[key])
-    return nullify_blank(value)
+    def member(key, kinds, values):
+        return let(
+            lambda kind, raw: nullify_blank(read(key, kind, raw)), kind=F.schema_of_variant(kinds[key]), raw=values[key]
+        )
+
+    return let(
+        lambda kinds, values: F.struct(*[member(k, kinds, values).alias(k) for k in keys]),
+        kinds=_member(_as_col(col), "variant", *keys), values=_member(_as_col(col), "string", *keys),
+    )
 
 
 def statement_text(col: Column | str, key: str = "government_warning") -> Column:

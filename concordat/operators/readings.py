@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from concordat import vocab
-from concordat.functions.jsonfields import json_scalar
-from concordat.functions.text import has_value, nullify_blank
+from concordat.functions.jsonfields import json_scalars
+from concordat.functions.text import has_value, nullify_blank, once
 
 
 
@@ -202,10 +202,9 @@ def extracted_values(llm: DataFrame, fields: Sequence[str]) -> DataFrame:
 
     A statement's transcription is text; a number there is none.
     """
-    return latest_extraction(llm).select(
-        "submission_id",
-        F.col("id").alias("llm_id"),
-        *[json_scalar("result_text", f, numbers=f != "government_warning").alias(f) for f in fields],
+    read = json_scalars("result_text", tuple(fields), ("government_warning",))
+    return once(latest_extraction(llm), {"_read": read}).select(
+        "submission_id", F.col("id").alias("llm_id"), *[F.col("_read")[f].alias(f) for f in fields]
     )
 
 

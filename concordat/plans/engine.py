@@ -18,7 +18,7 @@ from concordat.functions.measures import measures_by_line, parse_numeric
 from concordat.functions.similarity import (
     best_similarities, levenshtein_similarity, pairwise_similarities,
 )
-from concordat.functions.text import has_value, let, normalize_text
+from concordat.functions.text import distinct_lines, has_value, let, normalize_text, once
 from concordat.operators import readings as rd
 from concordat.operators.catalog import class_status, class_verdict, keyword_mask
 from concordat.operators.compare import (
@@ -204,16 +204,12 @@ def _evaluate(rule: Rule, ev: Evidence) -> Column:
 def _judge_text(df: DataFrame, method: str, spec: Statement, needs_numbers: bool) -> DataFrame:
     """Adds the OCR-side findings of a submission's joined text.
 
-    Columns are added in a few steps, each a single projection.
+    Columns are added in a few steps; long texts are folded and scanned once each.
     """
-    df = df.withColumns(
-        {
-            "text": F.coalesce("text", F.lit("")),
-            "has_ocr": has_value("text"),
-            "text_norm": normalize_text("text"),
-            "_tokens": measures_by_line("text"),
-        }
-    )
+    df = df.withColumns({"text": F.coalesce("text", F.lit("")), "has_ocr": has_value("text")})
+    # Readings of one label repeat its lines, and only the nearest measures are read.
+    df = once(df, {"text_norm": normalize_text("text"), "_lines": distinct_lines("text")})
+    df = once(df, {"_tokens": measures_by_line("_lines")}).drop("_lines")
     needles = [
         F.when(
             F.col("has_ocr") & (F.col(f"norm_{f}") != "") & ~F.contains("text_norm", F.col(f"norm_{f}")),
@@ -222,7 +218,7 @@ def _judge_text(df: DataFrame, method: str, spec: Statement, needs_numbers: bool
         for f in TEXT_FIELDS
     ]
     if method == "levenshtein":
-        df = df.withColumn("_sims", F.array(*[levenshtein_similarity(n, F.col("text_norm")) for n in needles]))
+        df = once(df, {"_sims": F.array(*[levenshtein_similarity(n, F.col("text_norm")) for n in needles])})
     else:
         df = df.withColumn("_needles", F.array(*needles))
         is_open = F.exists("_needles", lambda n: n.isNotNull())
@@ -236,7 +232,7 @@ def _judge_text(df: DataFrame, method: str, spec: Statement, needs_numbers: bool
     found |= {f"near_{f}": closest(F.col(f"num_{f}"), F.col("_tokens")) for f in vocab.NUMERIC_FIELDS}
     found["observed_mask"] = keyword_mask(F.col("text_norm"))
     found["ocr_statement"] = statement_result("text", spec)
-    df = df.withColumns(found).drop("_tokens", "_sims")
+    df = once(df, found).drop("_tokens", "_sims")
     return with_label_numbers(df) if needs_numbers else df
 
 
@@ -255,7 +251,7 @@ def _finish(df: DataFrame, method: str, spec: Statement) -> DataFrame:
     step |= {f"_an_{f}": normalize_text(f"ai_{f}") for f in TEXT_FIELDS}
     step["ai_statement"] = statement_result("ai_government_warning", spec)
     step["declared_mask"] = keyword_mask(F.col("norm_class_type_designation"))
-    df = df.withColumns(step)
+    df = once(df, step)
 
     open_pair = {
         f: (F.col(f"norm_{f}") != "") & (F.col(f"_an_{f}") != "") & ~F.contains(f"_an_{f}", F.col(f"norm_{f}"))
@@ -264,7 +260,7 @@ def _finish(df: DataFrame, method: str, spec: Statement) -> DataFrame:
     left = [F.when(open_pair[f], F.col(f"norm_{f}")) for f in TEXT_FIELDS]
     right = [F.when(open_pair[f], F.col(f"_an_{f}")) for f in TEXT_FIELDS]
     if method == "levenshtein":
-        df = df.withColumn("_as", F.array(*[levenshtein_similarity(a, b) for a, b in zip(left, right)]))
+        df = once(df, {"_as": F.array(*[levenshtein_similarity(a, b) for a, b in zip(left, right)])})
     else:
         df = df.withColumn("_as", pairwise_similarities(F.array(*left), F.array(*right)))
     step = {}
@@ -284,7 +280,7 @@ def _finish(df: DataFrame, method: str, spec: Statement) -> DataFrame:
         )
     )
     step["statement"] = F.coalesce(F.array_min(ranked)["s"], absent())
-    return df.withColumns(step)
+    return once(df, step)
 
 
 def gather_evidence(
@@ -343,7 +339,7 @@ def run_rules(
         if key not in names:
             names[key] = f"res_{len(names)}"
             judged[names[key]] = _evaluate(rule, ev)
-    df = df.withColumns(judged)
+    df = once(df, judged)
     per_type = None
     for kind in dict.fromkeys(r.beverage_type for r in rules):
         checks = F.array(

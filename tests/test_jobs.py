@@ -233,3 +233,37 @@ def test_stuck_submissions_are_rescued_on_the_stream(spark):
     out = si.run_to_end(lifecycle_stream(source, delay="1 minute", rescue_after_ms=3_600_000), work_dir(spark, "rescued"))
     got = spark.read.parquet(out).filter("event_id = -1").collect()
     assert [(r.submission_id, r.from_status, r.to_status) for r in got] == [(1, "PROCESSING", "READY_FOR_REVIEW")]
+
+
+def test_rules_fold_a_text_once(spark):
+    """No expression of the executor folds a submission's text again for each of its readers."""
+    subs, ocr, llm = frames(spark)
+    plan = engine.verdicts_of(engine.run_rules(subs, ocr, llm, method="levenshtein"))._jdf.queryExecution().optimizedPlan()
+    nodes = [plan]
+    for node in nodes:
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.length())]
+    lines = [node.simpleString(1_000_000) for node in nodes]
+    assert all("levenshtein(" not in line or line.count("regexp_replace(text") == 0 for line in lines)
+    assert max(line.count("rtrim(lower(trim(") for line in lines) <= 8
+
+
+def test_json_members_are_read_as_one_by_one(spark):
+    from concordat.functions.jsonfields import json_scalar, json_scalars
+
+    bodies = ['{"a": "x", "b": 1.50, "a": "y"}', '{"a": [1], "b": "2"}', "not json", '{"a": null}', "[]", None, '{"a": 1} x', '{"a": " ", "b": 12345678901234567890123}']
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id int, body string")
+    both = df.select("id", json_scalars("body", ("a", "b"), ("b",)).alias("s")).select("id", "s.a", "s.b")
+    single = df.select("id", json_scalar("body", "a").alias("a"), json_scalar("body", "b", numbers=False).alias("b"))
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, single.collect()))
+    assert [r.a for r in both.sort("id").collect()] == ["y", None, None, None, None, None, None, None]
+
+
+def test_repeated_lines_change_no_nearest_measure(spark):
+    from concordat.functions.measures import measures_by_line
+    from concordat.functions.text import distinct_lines
+
+    text = "net 1,500\n750 ml | 12%\r\n750 ml | 12%\n5 l\n750 ml | 12%\n5 l,\n1,000"
+    df = spark.createDataFrame([(text,), ("",), (None,)], "t string")
+    rows = df.select(F.array_distinct(measures_by_line("t")).alias("a"), F.array_distinct(measures_by_line(distinct_lines("t"))).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and len(rows[0].a) == 3
