@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from concordat import vocab
-from concordat.functions.jsonfields import json_scalar, statement_text
+from concordat.functions.jsonfields import json_scalars, statement_text
 from concordat.functions.measures import measures_by_line, parse_numeric
 from concordat.functions.similarity import (
     best_similarities, levenshtein_similarity, pairwise_similarities,
 )
-from concordat.functions.text import edit_rate_normalized, has_value, let, normalize_text
+from concordat.functions.text import edit_rate_normalized, has_value, let, normalize_text, once
 from concordat.operators.compare import closest, located, within
 from concordat.operators.readings import scoring_rows
 from concordat.vocab import MATCH, MISMATCH, MISSING, UNVERIFIABLE
@@ -102,13 +104,14 @@ def score_fields(
     numbers = [f for f in fields if f in vocab.NUMERIC_FIELDS]
     df = rows
     if structured:
-        df = df.withColumns({f"_x_{f}": F.when(has_value(text), json_scalar(text, f)) for f in fields})
+        df = once(df, {"_x": F.when(has_value(text), json_scalars(text, tuple(fields)))})
+        df = df.withColumns({f"_x_{f}": F.col("_x")[f] for f in fields})
         step = {f"_n_{f}": normalize_text(f"_x_{f}") for f in texts}
     else:
         step = {"_n": normalize_text(text), "_m": measures_by_line(text)}
     step |= {f"_g_{f}": normalize_text(g(f)) for f in texts}
     step |= {f"_p_{f}": parse_numeric(g(f), f) for f in numbers}
-    df = df.withColumns(step)
+    df = once(df, step)
     value = lambda f: F.col(f"_x_{f}") if structured else F.col(text)
     norm = lambda f: F.col(f"_n_{f}") if structured else F.col("_n")
     needles = [
@@ -148,8 +151,14 @@ def score_fields(
 def score_readings(
     rows: DataFrame, text: str, by: Sequence[str], structured: bool, method: str = "sequence"
 ) -> DataFrame:
-    """Field scores and the statement score of every reading."""
-    df = score_fields(rows, text, structured, method)
+    """Field scores and the statement score of every reading.
+
+    Readings of one label repeat, so each distinct text is scored once against its gold, in whichever
+    rows it stands.
+    """
+    keys = [text, *[c for c in rows.columns if c.startswith("gt_")]]
+    each = rows.select(*by, *keys)
+    df = score_fields(each.select(*keys).distinct(), text, structured, method)
     df = df.withColumn("_st", statement_text(text))
     df = df.withColumn("_sn", normalize_text("_st")).withColumn(
         "_gn", normalize_text("gt_government_warning")
@@ -158,7 +167,10 @@ def score_readings(
         "statement",
         statement_score(F.col("_st"), F.col("gt_government_warning"), F.col("_sn"), F.col("_gn")),
     )
-    return df.select(*by, "scores", "statement")
+    rated = df.select(*[F.col(c).alias(f"_of_{c}") for c in keys], "scores", "statement")
+    # Gold is often NULL, and so may a text be.
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])
+    return each.join(rated, same).select(*by, "scores", "statement")
 
 
 def field_outcomes(scores: DataFrame, by: Sequence[str]) -> DataFrame:

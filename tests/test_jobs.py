@@ -267,3 +267,16 @@ def test_repeated_lines_change_no_nearest_measure(spark):
     df = spark.createDataFrame([(text,), ("",), (None,)], "t string")
     rows = df.select(F.array_distinct(measures_by_line("t")).alias("a"), F.array_distinct(measures_by_line(distinct_lines("t"))).alias("b")).collect()
     assert all(r.a == r.b for r in rows) and len(rows[0].a) == 3
+
+
+def test_repeated_readings_are_scored_once_and_all_kept(spark, monkeypatch):
+    rows = [("e", "Old Tom 750 ml", "Old Tom", "750 ml")] * 3 + [("f", "Old Tom 750 ml", "Old Tom", "750 ml"), ("f", None, "Old Tom", None), ("f", None, "Old Tom", None), ("e", "Old Tim", None, None)]
+    df = spark.createDataFrame(rows, "engine string, t string, gt_brand_name string, gt_net_contents string")
+    for f in ("alcohol_content", "class_type_designation", "applicant_name_address", "government_warning"):
+        df = df.withColumn(f"gt_{f}", F.lit(None).cast("string"))
+    seen = []
+    score = sc.score_fields
+    monkeypatch.setattr(sc, "score_fields", lambda rows, *a, **b: seen.append(rows.count()) or score(rows, *a, **b))
+    got = [(r.engine, {s.field_key: s.match_status for s in r.scores}["brand_name"], r.statement.present) for r in sc.score_readings(df, "t", ("engine",), False).collect()]
+    assert seen == [3]
+    assert sorted(got) == sorted([("e", "MATCH", True)] * 3 + [("f", "MATCH", True)] + [("f", "MISSING", False)] * 2 + [("e", "UNVERIFIABLE", True)])
