@@ -48,23 +48,34 @@ def anchor_hits(text: Column | str, anchors=vocab.STATEMENT_ANCHORS) -> Column:
 def statement_region(text: Column | str, anchors=vocab.STATEMENT_ANCHORS) -> Column:
     """What to show when only phrases were found: from 60 characters before the
     first of them, 420 long."""
-    flat = collapse_ws(text)
-    low = F.lower(flat)
-    spots = [F.nullif(F.locate(a, low), F.lit(0)) for a in anchors]
-    first = F.array_min(F.array_compact(F.array(*spots)))
-    return F.when(first.isNull(), F.substring(flat, 1, 400)).otherwise(
-        F.trim(F.substring(flat, F.greatest(F.lit(1), first - 60), F.lit(420)))
+    return let(lambda flat: _region(flat, anchors), flat=collapse_ws(text))
+
+
+def _region(flat: Column, anchors) -> Column:
+    """The region of a collapsed text; every phrase is looked for once."""
+    def first(low):
+        return F.array_min(F.filter(F.array(*[F.locate(a, low) for a in anchors]), lambda at: at > 0))
+
+    return let(
+        lambda flat, first: F.when(first.isNull(), F.substring(flat, 1, 400)).otherwise(
+            F.trim(F.substring(flat, F.greatest(F.lit(1), first - 60), F.lit(420)))
+        ),
+        flat=flat, first=let(first, low=F.lower(flat)),
     )
 
 
 def clip_statement(text: Column | str, spec: Statement = WARNING) -> Column:
     """The statement without the label copy that follows it."""
+    return _clip_flat(collapse_ws(text), spec)
+
+
+def _clip_flat(flat: Column, spec: Statement) -> Column:
+    """The clipped form of a collapsed text; every end is looked for once."""
     limit = len(spec.full) + vocab.STATEMENT_DISPLAY_MARGIN
 
-    def clip(flat, low):
+    def clip(flat, **spots):
         out = F.when(F.lit(False), flat)
-        for anchor in spec.end_anchors:
-            at = F.locate(anchor, low)
+        for anchor, at in zip(spec.end_anchors, spots.values()):
             end = at + len(anchor)
             stop = F.when(F.substring(flat, end, F.lit(1)) == ".", end).otherwise(end - 1)
             out = out.when(at > 0, F.substring(flat, F.lit(1), stop))
@@ -72,9 +83,10 @@ def clip_statement(text: Column | str, spec: Statement = WARNING) -> Column:
             F.concat(F.rtrim(F.substring(flat, 1, limit)), F.lit("…"))
         )
 
-    return let(
-        lambda flat: let(clip, flat=flat, low=F.lower(flat)), flat=collapse_ws(text)
-    )
+    def ends(flat, low):
+        return let(clip, flat=flat, **{f"at_{i}": F.locate(a, low) for i, a in enumerate(spec.end_anchors)})
+
+    return let(lambda flat: let(ends, flat=flat, low=F.lower(flat)), flat=flat)
 
 
 def header_pattern(header: str) -> str:
@@ -98,7 +110,7 @@ def _judge_flat(flat: Column, spec: Statement, bold_unsure: Column | None) -> Co
     body = " ".join(spec.body.split())
     letters = "".join(ch for ch in body.lower() if "a" <= ch <= "z")
     need, stretch, width = len(body), 4 * len(body), len(header)
-    only_letters = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
+    only_letters = lambda c: F.regexp_replace(F.lower(c), "[^a-z]+", "")
 
     def verdict(fh, end, head, near, more, flat, unsure):
         at = end - width + 1
@@ -106,8 +118,10 @@ def _judge_flat(flat: Column, spec: Statement, bold_unsure: Column | None) -> Co
         for word in spec.capitals:
             capitals = capitals & initial_capital(head, word)
         # Branches run only when reached, so clean wording never pays for letters.
-        near_letters = only_letters(near)
-        seen = F.when(more & (F.length(near_letters) <= len(letters)), only_letters(_tail(flat, end))).otherwise(near_letters)
+        seen = let(
+            lambda seen, more, flat, end: F.when(more & (F.length(seen) <= len(letters)), only_letters(_tail(flat, end))).otherwise(seen),
+            seen=only_letters(near), more=more, flat=flat, end=end,
+        )
         reworded = F.when(
             F.left(seen, F.lit(len(letters))) == letters, _found(REVIEW, COULD_NOT, "marks", at)
         ).otherwise(_found(FAIL, "reworded", "body wording or punctuation", at))
@@ -187,13 +201,14 @@ def statement_result(text: str, spec: Statement = WARNING, bold_unsure: str | No
         read = _statement(
             pick["verdict"], pick["outcome"],
             F.when(pick["outcome"] == "reworded", pick["deviation"]),
-            F.when(shown, clip_statement(F.substr(flat, pick["at"]), spec)),
+            # What is cut from a collapsed text between characters that are not blank is collapsed.
+            F.when(shown, _clip_flat(F.substr(flat, pick["at"]), spec)),
             F.when(pick["deviation"] == "marks", F.lit("wording is present; confirm marks and casing on the label"))
             .when(pick["deviation"] == "styling", F.lit("bold styling cannot be confirmed from a photo")),
         )
         phrases = _statement(
             F.lit(REVIEW), F.lit(COULD_NOT), F.lit(None),
-            clip_statement(statement_region(flat, spec.anchors), spec),
+            _clip_flat(F.trim(_region(flat, spec.anchors)), spec),
             F.lit("phrases of the statement were read, but not its header; confirm on the label"),
         )
         enough = phrases_in(F.lower(flat), spec.anchors) >= vocab.STATEMENT_ANCHORS_NEEDED
