@@ -28,8 +28,9 @@ def _trimmed(whole: Column, fraction: Column, negative: Column) -> Column:
         body = F.when(fraction == "", whole).otherwise(F.concat(whole, F.lit("."), fraction))
         return F.when(negative & (body != "0"), F.concat(F.lit("-"), body)).otherwise(body)
 
-    short = F.regexp_replace(whole, "^0+", "")
-    return let(joined, whole=F.when(short == "", "0").otherwise(short), fraction=F.regexp_replace(fraction, "0+$", ""), negative=negative)
+    # One zero stays; trims of fixed characters are cheaper than patterns.
+    short = let(lambda short: F.when(short == "", "0").otherwise(short), short=F.ltrim(whole, F.lit("0")))
+    return let(joined, whole=short, fraction=F.rtrim(fraction, F.lit("0")), negative=negative)
 
 
 def plain(number: Column) -> Column:
@@ -47,11 +48,14 @@ def plain(number: Column) -> Column:
         after = F.when(point < 0, F.concat(F.repeat(F.lit("0"), -point), digits)).otherwise(F.substring(digits, point + 1, F.greatest(size - point, F.lit(0))))
         return _trimmed(before, after, sign == "-")
 
-    part = lambda i: F.regexp_extract(number, shape, i)
-    exponent = F.coalesce(F.when(part(4) != "", part(4)).cast("int"), F.lit(0))
-    simple = _trimmed(part(2), part(3), part(1) == "-")
-    full = F.when(number.rlike("[eE]"), let(moved, sign=part(1), whole=part(2), fraction=part(3), exponent=exponent)).otherwise(simple)
-    return F.when(number.rlike(shape) & number.rlike("^[-+]?\\.?\\d"), full)
+    def parsed(number):
+        part = lambda i: F.regexp_extract(number, shape, i)
+        exponent = F.coalesce(F.when(part(4) != "", part(4)).cast("int"), F.lit(0))
+        simple = _trimmed(part(2), part(3), part(1) == "-")
+        full = F.when(number.rlike("[eE]"), let(moved, sign=part(1), whole=part(2), fraction=part(3), exponent=exponent)).otherwise(simple)
+        return F.when(number.rlike(shape) & number.rlike("^[-+]?\\.?\\d"), full)
+
+    return let(parsed, number=number)
 
 
 def magnitude_key(number: Column) -> Column:

@@ -44,7 +44,7 @@ def _as_col(c: Column | str) -> Column:
 
 
 def strip_thousands(col: Column | str) -> Column:
-    return F.regexp_replace(_as_col(col), THOUSANDS, "")
+    return let(lambda t: F.when(F.contains(t, F.lit(",")), F.regexp_replace(t, THOUSANDS, "")).otherwise(t), t=_as_col(col))
 
 
 def canonical_unit(col: Column | str) -> Column:
@@ -66,14 +66,16 @@ def measures_in(folded: Column) -> Column:
     """Every ``number unit`` token of folded text, in order; one scan of the text."""
     hits = F.regexp_extract_all(strip_thousands(folded), F.lit(TOKEN), F.lit(0))
 
-    def parse(hit):
-        number = F.regexp_extract(hit, f"^{NUMBER}", 0)
+    def described(number, hit):
         return F.struct(
             number.try_cast(VALUE_TYPE).alias("value"),
             F.when(~number.rlike(_HELD), exact.plain(number)).alias("digits"),
-            canonical_unit(F.regexp_replace(hit, f"^{NUMBER} *", "")).alias("unit"),
+            canonical_unit(F.ltrim(F.substr(hit, F.length(number) + 1))).alias("unit"),
         )
 
+    def parse(hit):
+        return let(described, number=F.regexp_extract(hit, f"^{NUMBER}", 0), hit=hit)
+
     known = lambda m: (m["value"].isNotNull() | m["digits"].isNotNull()) & m["unit"].isNotNull()
     return F.filter(F.transform(hits, parse), known)
 
