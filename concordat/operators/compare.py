@@ -8,6 +8,7 @@ sequence similarity, which is joined per distinct pair of texts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from concordat import vocab
 from concordat.functions import exact
 from concordat.functions.measures import measures_by_line, parse_numeric, shown_number
+from concordat.functions.nearest import nearest_measure
 from concordat.functions.similarity import best_similarity, levenshtein_similarity
 from concordat.functions.text import has_value, let, normalize_text
 from concordat.operators.joins import left_join_spread
@@ -101,21 +103,29 @@ def within(near: Column, tolerance) -> Column:
 
 def numeric_outcome(filed: Column, near: Column, tolerance) -> Column:
     """``filed`` is a measure, ``near`` the result of :func:`closest`."""
-    def judge(filed, near):
-        def pair(word: str) -> Column:
-            return F.concat(
-                shown_number(filed), filed["unit"], F.lit(f" {word} "),
-                shown_number(near), filed["unit"], F.lit(f" (±{tolerance})"),
-            )
+    return let(
+        lambda filed, near: _numeric_bands(
+            filed.isNull(), near.isNull(), within(near, tolerance), shown_number(filed), filed["unit"], shown_number(near), tolerance
+        ),
+        filed=filed, near=near,
+    )
 
-        return (
-            F.when(filed.isNull(), outcome(UNVERIFIABLE, None, REVIEW, "the filed value is not a measure"))
-            .when(near.isNull(), outcome(UNVERIFIABLE, None, REVIEW, "no number of that unit on the label"))
-            .when(within(near, tolerance), outcome(MATCH, 1.0, PASS, pair("is")))
-            .otherwise(outcome(MISMATCH, 0.0, FAIL, pair("is not")))
-        )
 
-    return let(judge, filed=filed, near=near)
+def found_outcome(found: Column, tolerance) -> Column:
+    """``found`` is the result of :func:`nearest_measure` for that tolerance."""
+    return _numeric_bands(found["filed"].isNull(), found["near"].isNull(), found["fits"], found["filed"], found["unit"], found["near"], tolerance)
+
+
+def _numeric_bands(unfiled: Column, unread: Column, fits: Column, filed: Column, unit: Column, near: Column, tolerance) -> Column:
+    def pair(word: str) -> Column:
+        return F.concat(filed, unit, F.lit(f" {word} "), near, unit, F.lit(f" (±{tolerance})"))
+
+    return (
+        F.when(unfiled, outcome(UNVERIFIABLE, None, REVIEW, "the filed value is not a measure"))
+        .when(unread, outcome(UNVERIFIABLE, None, REVIEW, "no number of that unit on the label"))
+        .when(fits, outcome(MATCH, 1.0, PASS, pair("is")))
+        .otherwise(outcome(MISMATCH, 0.0, FAIL, pair("is not")))
+    )
 
 
 def _as_review(result: Column, detail: Column) -> Column:
@@ -184,10 +194,11 @@ def compare_numeric(
 ) -> DataFrame:
     """Adds ``result`` for pairs of one measured field."""
     limit = vocab.TOLERANCE[field_key] if tolerance is None else tolerance
-    df = df.withColumn("_f", parse_numeric(filed, field_key))
-    df = df.withColumn("_near", closest(F.col("_f"), measures_by_line(observed)))
-    judged = guard(F.col(filed), F.col(observed), numeric_outcome(F.col("_f"), F.col("_near"), limit))
-    return df.withColumn("result", judged).drop("_f", "_near")
+    # Other fields hold no measure.
+    measured = F.col(filed) if field_key in vocab.NUMERIC_FIELDS else F.lit(None).cast("string")
+    df = df.withColumn("_found", nearest_measure(Decimal(str(limit)))(measured, F.col(observed)))
+    judged = guard(F.col(filed), F.col(observed), found_outcome(F.col("_found"), limit))
+    return df.withColumn("result", judged).drop("_found")
 
 
 def compare_pairs(pairs: DataFrame, method: str = "sequence") -> DataFrame:
